@@ -2,7 +2,8 @@
 
 The base patterns (assign, access, hex) report their matches as they stand. Besides, every other run of key characters
 is scored: the log-likelihood of its character pairs under a model of random strings less that under a model of
-ordinary identifiers, per character. Runs above the calibrated threshold are added as spans of kind `markov`.
+ordinary identifiers, per character. Runs above the calibrated threshold are added as spans of kind `markov`; plain
+numbers are left to the scan for personal data.
 
 The models are fitted on labelled samples from a bounded, hash-chosen set of documents (`sample_rows`): what the base
 patterns match is random, words and identifiers outside of matches are ordinary; seeded uniform strings over the usual
@@ -129,7 +130,7 @@ def scan(text: str, model: Markov, known: dict[str, bool]) -> list[tuple[int, in
         if token not in known:
             if len(known) > 100_000:
                 known.clear()
-            known[token] = model.score(token) > model.threshold
+            known[token] = not token.isdigit() and model.score(token) > model.threshold
         if known[token] and not _covered(spans, *m.span()):
             added.append((m.start(), 3, m.end()))
     return sorted(spans + added)
