@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, exact_dedup, line_dedup, secrets, toxicity
+from foliant.llm import decontam, exact_dedup, line_dedup, secrets, spiece, toxicity
 from foliant.llm.common import table
 
 
@@ -18,6 +20,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(*exact_dedup.split_at_middle(table(spark, sf_dir, "documents")))
 
 
+#: The SentencePiece model whose pieces the queries use; a parameter of the operator.
+PIECES = os.environ.get("FOLIANT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.digest(spiece.encode(table(spark, sf_dir, "documents"), PIECES, decoded=True))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -35,6 +45,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op10_secrets": op10_secrets,

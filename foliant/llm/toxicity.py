@@ -124,11 +124,12 @@ def _dictionaries(docs: list[tuple[list[str], int]], size: int, odds: float) ->
 def fit_rows(rows: Iterable[tuple[str, int]], size: int = 4096, odds: float = 40.0) -> Model:
     """The model of labelled texts. Two halves of the sample are scored by dictionaries of the other half to fit the
     curve, since a dictionary knows its own samples too well; the dictionaries kept are those of the whole sample."""
-    docs, known = [], set()
+    docs, known, shared = [], set(), {}
     for text, toxic in rows:
-        if text not in known:
-            known.add(text)
-            docs.append((words_of(text), int(toxic)))
+        mark = hash(text)
+        if mark not in known:
+            known.add(mark)
+            docs.append(([shared.setdefault(w, w) for w in words_of(text)], int(toxic)))
     y = np.array([t for _, t in docs], dtype=float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
@@ -151,7 +152,7 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Model:
     """Fit on rows outside the held-out fold. Labels beyond `sample_rows` are sampled by a hash of doc_id, so the
     broadcast side and what reaches the driver are bounded by that parameter."""
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -159,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
     chosen = hash_sample(usable, "doc_id", sample_rows)
     rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text"])
-    return fit_rows(zip(rows["text"], rows["toxic"], strict=True))
+    texts, kinds = rows["text"].tolist(), rows["toxic"].tolist()
+    del rows
+    return fit_rows((texts.pop(0), kind) for kind in kinds)
 
 
 _GAINS: dict[Model, Gains] = {}
