@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, exact_dedup, line_dedup, secrets, spiece, toxicity
+from foliant.llm import decontam, exact_dedup, line_dedup, near_dedup, secrets, spiece, toxicity
 from foliant.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.find_secrets(docs, secrets.fit(docs)))
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op10_secrets": op10_secrets,
 }
 
