@@ -289,9 +289,9 @@ def residual_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, thre
     own_asked, own_met = F.pmod(F.xxhash64("node"), blocks("outside")), F.pmod(F.xxhash64("node"), blocks("n"))
     asked = rows.where("NOT main").withColumn("i", own_asked).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
     met = rows.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outside") - 1))).withColumn("j", own_met)
-    columns = ["key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "node", "label", "main", "n_words", "words", "counts", "buckets"]
-    groups = (x.select(columns).groupBy("key", "i", "j") for x in (asked, met))
-    return next(groups).cogroup(next(groups)).applyInPandas(lambda a, b: _links_of_blocks(a, b, threshold), "a long, b long").distinct()
+    names = ("key", "i", "j", "node", "label", "main", "n_words", "words", "counts", "buckets")
+    asked, met = (x.select([F.col(c).alias(c) for c in names]).groupBy("key", "i", "j") for x in (asked, met))
+    return asked.cogroup(met).applyInPandas(lambda a, b: _links_of_blocks(a, b, threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
