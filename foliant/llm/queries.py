@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, exact_dedup, line_dedup, near_dedup, secrets, spiece, toxicity
+from foliant.llm import decontam, exact_dedup, html_extract, line_dedup, near_dedup, pii, secrets, spiece, toxicity
 from foliant.llm.common import table
 
 
@@ -28,10 +28,22 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.digest(spiece.encode(table(spark, sf_dir, "documents"), PIECES, decoded=True))
 
 
+#: The key of the pseudonyms; whoever publishes a corpus sets their own.
+KEY = os.environ.get("FOLIANT_PSEUDONYM_KEY", "foliant")
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pseudonymise(table(spark, sf_dir, "documents"), KEY))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -50,7 +62,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_decontamination": op5_decontamination,
+    "op6_main_text": op6_main_text,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op10_secrets": op10_secrets,
