@@ -41,6 +41,11 @@ KINDS = tuple(PATTERNS)
 FIRST_DAY, DAYS_ROOT = "1900-01-01", 270
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once: lambdas are the only names inside of a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _chars(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
@@ -62,29 +67,36 @@ def permute_pair(x: Column, y: Column, mx: int, my: int, key: str, kind: str) ->
 
 def permute_symbols(s: Column, alphabet: str, key: str, kind: str) -> Column:
     """A keyed permutation of the strings of one length over an alphabet."""
-    codes = F.transform(_chars(s), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("int"))
-    half = F.floor(F.length(s) / 2).cast("int")
-    start = F.struct(F.slice(codes, F.lit(1), half).alias("x"), F.slice(codes, half + 1, F.length(s)).alias("y"))
 
     def step(p: Column, r: Column) -> Column:
+        def add(word: Column) -> Column:
+            return F.transform(
+                p["x"], lambda c, i: F.pmod(c + F.conv(F.substring(word, (i % 30) * 2 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(len(alphabet))).cast("int")
+            )
+
         word = _round(key, kind, r, F.array_join(F.transform(p["y"], lambda c: c.cast("string")), "."))
-        added = F.transform(
-            p["x"], lambda c, i: F.pmod(c + F.conv(F.substring(word, (i % 30) * 2 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(len(alphabet))).cast("int")
-        )
-        return F.struct(p["y"].alias("x"), added.alias("y"))
+        return F.struct(p["y"].alias("x"), _let(word, add).alias("y"))
+
+    def walk(codes: Column) -> Column:
+        half = F.floor(F.size(codes) / 2).cast("int")
+        start = F.struct(F.slice(codes, F.lit(1), half).alias("x"), F.slice(codes, half + 1, F.size(codes) + 1).alias("y"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda p: F.concat(p["x"], p["y"]))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return F.array_join(F.transform(F.concat(done["x"], done["y"]), lambda c: F.substring(F.lit(alphabet), c + 1, F.lit(1))), "")
+    codes = F.transform(_chars(s), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("int"))
+    return F.array_join(F.transform(_let(codes, walk), lambda c: F.substring(F.lit(alphabet), c + 1, F.lit(1))), "")
 
 
 def _refill(value: Column, fresh: Column, symbols: str) -> Column:
     """value with its characters of the class `symbols`, in order, replaced by those of fresh."""
-    before = F.length(F.regexp_replace(value, f"[^{symbols}]", ""))
-    filled = F.transform(
-        _chars(value),
-        lambda c, i: F.when(c.rlike(f"[{symbols}]"), F.substring(fresh, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), f"[^{symbols}]", "")), F.lit(1))).otherwise(c),
-    )
-    return F.when(before > 0, F.array_join(filled, "")).otherwise(value)
+
+    def fill(f: Column) -> Column:
+        def place(c: Column, i: Column) -> Column:
+            nth = F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), f"[^{symbols}]", ""))
+            return F.when(c.rlike(f"[{symbols}]"), F.substring(f, nth, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(_chars(value), place), "")
+
+    return _let(fresh, fill)
 
 
 def _luhn(digits: Column) -> Column:
@@ -103,75 +115,89 @@ def _mod97(text: Column) -> Column:
 
 
 def _card(x: Column, key: str) -> Column:
-    digits = F.regexp_replace(x, "[^0-9]", "")
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    fresh = permute_symbols(payload, DIGITS, key, "card")
-    check = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(fresh, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(_luhn(digits), F.lit(10)) == 0, _refill(x, F.concat(fresh, check.cast("string")), "0-9"))
+    def fresh(digits: Column) -> Column:
+        payload = permute_symbols(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
+        check = lambda p: F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(p, F.lit("0"))), F.lit(10)), F.lit(10))
+        return F.when(F.pmod(_luhn(digits), F.lit(10)) == 0, _refill(x, _let(payload, lambda p: F.concat(p, check(p).cast("string"))), "0-9"))
+
+    return _let(F.regexp_replace(x, "[^0-9]", ""), fresh)
 
 
 def _iban(x: Column, key: str) -> Column:
-    plain = F.replace(x, F.lit(" "), F.lit(""))
-    country, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-    fresh = _refill(rest, permute_symbols(F.regexp_replace(rest, "[^0-9]", ""), DIGITS, key, "iban"), "0-9")
-    check = F.lpad((F.lit(98) - _mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1
-    return F.when(valid & F.length(plain).between(15, 34), _refill(x, F.concat(country, check, fresh), "A-Z0-9"))
+    def fresh(plain: Column) -> Column:
+        country, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        body_ = _refill(rest, permute_symbols(F.regexp_replace(rest, "[^0-9]", ""), DIGITS, key, "iban"), "0-9")
+        check = lambda b: F.lpad((F.lit(98) - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+        valid = _mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1
+        return F.when(valid & F.length(plain).between(15, 34), _refill(x, _let(body_, lambda b: F.concat(country, check(b), b)), "A-Z0-9"))
+
+    return _let(F.replace(x, F.lit(" "), F.lit("")), fresh)
 
 
 def _ip(x: Column, key: str) -> Column:
-    o = F.transform(F.split(x, r"\."), lambda p: p.cast("int"))
-    new = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
-    fresh = F.concat_ws(".", *[n.cast("string") for p in ("x", "y") for n in (F.floor(new[p] / 256), new[p] % 256)])
-    return F.when(F.forall(o, lambda n: n <= 255), fresh)
+    def fresh(o: Column) -> Column:
+        new = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        dotted = _let(new, lambda p: F.concat_ws(".", *[n.cast("string") for h in ("x", "y") for n in (F.floor(p[h] / 256), p[h] % 256)]))
+        return F.when(F.forall(o, lambda n: n <= 255), dotted)
+
+    return _let(F.transform(F.split(x, r"\."), lambda p: p.cast("int")), fresh)
 
 
 def _date(x: Column, key: str) -> Column:
     iso = x.rlike("^[0-9]{4}-")
     day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(x, "./", "--"), "dd-MM-yyyy"))
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    new = permute_pair(F.floor(n / DAYS_ROOT), n % DAYS_ROOT, DAYS_ROOT, DAYS_ROOT, key, "date")
-    fresh = F.date_add(F.lit(FIRST_DAY).cast("date"), (new["x"] * DAYS_ROOT + new["y"]).cast("int"))
-    digits = F.when(iso, F.date_format(fresh, "yyyyMMdd")).otherwise(F.date_format(fresh, "ddMMyyyy"))
-    return F.when((n >= 0) & (n < DAYS_ROOT * DAYS_ROOT), _refill(x, digits, "0-9"))
+
+    def fresh(n: Column) -> Column:
+        new = permute_pair(F.floor(n / DAYS_ROOT), n % DAYS_ROOT, DAYS_ROOT, DAYS_ROOT, key, "date")
+        moved = _let(new, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS_ROOT + p["y"]).cast("int")))
+        digits = _let(moved, lambda d: F.when(iso, F.date_format(d, "yyyyMMdd")).otherwise(F.date_format(d, "ddMMyyyy")))
+        return F.when((n >= 0) & (n < DAYS_ROOT * DAYS_ROOT), _refill(x, digits, "0-9"))
+
+    return _let(F.datediff(day, F.lit(FIRST_DAY).cast("date")), fresh)
 
 
 def _ssn(x: Column, key: str) -> Column:
     area, group, serial = (p.cast("int") for p in (F.substring(x, 1, 3), F.substring(x, 5, 2), F.substring(x, 8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = area - 1 - F.when(area > 666, F.lit(1)).otherwise(F.lit(0))
-    new = permute_pair(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
-    new_place = F.floor(new["x"] / 99)
-    new_area = new_place + 1 + F.when(new_place >= 665, F.lit(1)).otherwise(F.lit(0))
-    parts = ((new_area, 3), (new["x"] % 99 + 1, 2), (new["y"] + 1, 4))
-    return F.when(valid, F.concat_ws("-", *[F.lpad(n.cast("string"), w, "0") for n, w in parts]))
+
+    def written(new: Column) -> Column:
+        at = F.floor(new["x"] / 99)
+        parts = ((at + 1 + F.when(at >= 665, F.lit(1)).otherwise(F.lit(0)), 3), (new["x"] % 99 + 1, 2), (new["y"] + 1, 4))
+        return F.concat_ws("-", *[F.lpad(n.cast("string"), w, "0") for n, w in parts])
+
+    return F.when(valid, _let(permute_pair(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn"), written))
 
 
 def _phone(x: Column, key: str) -> Column:
-    code = F.regexp_extract(x, r"^\+[0-9]+", 0)
-    rest = F.substring(x, F.length(code) + 1, F.length(x))
-    digits = F.regexp_replace(rest, "[^0-9]", "")
-    fresh = permute_symbols(digits, DIGITS, key, "phone")
-    return F.when(F.length(digits).between(7, 14), F.concat(code, _refill(rest, fresh, "0-9")))
+    def fresh(code: Column) -> Column:
+        rest = F.substring(x, F.length(code) + 1, F.length(x))
+        digits = F.regexp_replace(rest, "[^0-9]", "")
+        return F.when(F.length(digits).between(7, 14), F.concat(code, _refill(rest, permute_symbols(digits, DIGITS, key, "phone"), "0-9")))
+
+    return _let(F.regexp_extract(x, r"^\+[0-9]+", 0), fresh)
 
 
 def _email(x: Column, key: str) -> Column:
-    local = F.substring_index(x, "@", 1)
-    fresh = permute_symbols(F.regexp_replace(local, "[^A-Za-z0-9]", ""), ALPHABET, key, "email")
-    return F.concat(_refill(local, fresh, "A-Za-z0-9"), F.substring(x, F.length(local) + 1, F.length(x)))
+    def fresh(local: Column) -> Column:
+        new = permute_symbols(F.regexp_replace(local, "[^A-Za-z0-9]", ""), ALPHABET, key, "email")
+        return F.concat(_refill(local, new, "A-Za-z0-9"), F.substring(x, F.length(local) + 1, F.length(x)))
+
+    return _let(F.substring_index(x, "@", 1), fresh)
 
 
 _REPLACE = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def _finding(x: Column, key: str) -> Column:
-    """struct(kind, value, pseudonym) of a candidate; kind and pseudonym are null if it isn't valid."""
-    kind = reduce(lambda rest, k: F.when(x.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
+    """struct(kind, value, pseudonym) of a candidate; the pseudonym is null if it isn't valid."""
 
-    def fresh(of: Column) -> Column:
-        return reduce(lambda rest, k: F.when(of == k, _REPLACE[k](x, key)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
+    def fresh(kind: Column) -> Column:
+        new = reduce(lambda rest, k: F.when(kind == k, _REPLACE[k](x, key)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
+        return F.struct(kind.alias("kind"), x.alias("value"), new.alias("pseudonym"))
 
-    return F.struct(kind.alias("kind"), x.alias("value"), fresh(kind).alias("pseudonym"))
+    kind = reduce(lambda rest, k: F.when(x.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
+    return _let(kind, fresh)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
