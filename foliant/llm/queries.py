@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, exact_dedup, html_extract, line_dedup, near_dedup, pii, secrets, spiece, toxicity
+from foliant.llm import decontam, exact_dedup, html_extract, line_dedup, near_dedup, pii, quality, secrets, spiece, toxicity
 from foliant.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.find_secrets(docs, secrets.fit(docs)))
@@ -67,6 +71,7 @@ QUERIES = {
     "op6_main_text": op6_main_text,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 
