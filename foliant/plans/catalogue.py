@@ -1,15 +1,391 @@
-"""The registered queries of the catalogue and page layers, and their SQL."""
+"""Registered queries of the catalogue layer over the star-schema tables, and their SQL.
+
+Stand-ins: orders are the parents, lineitem or conversations their ordered children, part the tags, nation and region
+the dimensions, events the logs and the queue.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import rules
+from foliant.functions.text import has_text
+from foliant.operators import catalogue as C
+from foliant.operators import crawl, export, mutate, queue
+from foliant.runtime import make_importable
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its own name, with its SQL if it has one."""
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            make_importable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, n) for n in names]
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_distribution(spark, d):
+    return C.counts_by(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status"), "status")
+
+
+@query("""SELECT (SELECT count(*) FROM orders) AS parents, (SELECT count(*) FROM lineitem) AS children, (SELECT count(*) FROM nation) AS categories,
+          (SELECT count(*) FROM part) AS tags, (SELECT CAST(coalesce(sum(l_quantity), 0) AS BIGINT) FROM lineitem) AS words""")
+def dashboard_totals(spark, d):
+    lines = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("children"), F.coalesce(F.sum("l_quantity"), F.lit(0)).cast("long").alias("words"))
+    counts = [table(spark, d, t).agg(F.count(F.lit(1)).alias(n)) for t, n in (("orders", "parents"), ("nation", "categories"), ("part", "tags"))]
+    for c in counts:  # one row each
+        lines = lines.join(F.broadcast(c), how="cross")
+    return lines.select("parents", "children", "categories", "tags", "words")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 8")
+def recent_top8(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(8).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE (p_name LIKE '%1%' OR p_brand LIKE '%1%' OR p_type LIKE '%1%') AND p_size = 10
+          ORDER BY p_retailprice DESC, p_partkey LIMIT 12 OFFSET 12""")
+def catalog_page(spark, d):
+    parts = C.where_equal(table(spark, d, "part"), p_size=10, p_brand="").where(C.contains_any("1", "p_name", "p_brand", "p_type"))
+    return C.page_of(parts, C.Page.of(2, 12), F.desc("p_retailprice"), F.col("p_partkey")).select("p_partkey", "p_name", "p_brand")
+
+
+@query("SELECT count(*) AS total, CAST(ceil(count(*) / 100.0) AS BIGINT) AS total_pages FROM orders WHERE o_orderstatus = 'F'")
+def catalog_total_pages(spark, d):
+    return C.page_totals(C.where_equal(table(spark, d, "orders"), o_orderstatus="F"), C.Page.of(-1, 9999))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= 7)")
+def point_lookup(spark, d):
+    orders = table(spark, d, "orders")
+    key = orders.where("o_orderkey >= 7").agg(F.min("o_orderkey")).first()[0]
+    return C.find_one_or_raise(orders, o_orderkey=key).select("o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""")
+def keyset_page(spark, d):
+    orders = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    return C.page_after(orders, 20, "o_orderdate", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT c_custkey, n_name AS nation, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def parent_with_category(spark, d):
+    customer, nation, region = tables(spark, d, "customer", "nation", "region")
+    named = C.with_parent(nation, region, "n_regionkey", "r_regionkey", region="r_name").select("n_nationkey", "n_name", "region")
+    return C.with_parent(customer, named, "c_nationkey", "n_nationkey", nation="n_name", region="region").select("c_custkey", "nation", "region")
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) AS n_children FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def parent_with_child_count(spark, d):
+    orders, lines = tables(spark, d, "orders", "lineitem")
+    return C.with_child_count(orders.select("o_orderkey"), lines, "o_orderkey", "l_orderkey")
+
+
+@query("""SELECT o_orderkey, coalesce(string_agg(p_name, '|' ORDER BY p_name), '') AS tags FROM orders
+          LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def parent_with_tags_nested(spark, d):
+    orders, lines, part = tables(spark, d, "orders", "lineitem", "part")
+    nested = C.with_tags(orders.select("o_orderkey"), lines, part, "o_orderkey", "l_orderkey", "l_partkey", "p_partkey", "p_name")
+    return nested.select("o_orderkey", F.array_join("tags", "|").alias("tags"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_size = 7)""")
+def has_tag_semi(spark, d):
+    orders, lines, part = tables(spark, d, "orders", "lineitem", "part")
+    tagged = lines.join(part.where("p_size = 7").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    return C.having(orders, tagged, "o_orderkey", "l_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
+def fk_violations_anti(spark, d):
+    orders, lines = tables(spark, d, "orders", "lineitem")
+    return C.violations(lines, orders.where("o_orderstatus <> 'P'"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT count(*) = (SELECT count(*) FROM nation WHERE n_nationkey <= 5) AS ok FROM nation WHERE n_nationkey BETWEEN 0 AND 5""")
+def all_ids_known(spark, d):
+    nation = table(spark, d, "nation")
+    return C.all_known(nation.where("n_nationkey <= 5").select("n_nationkey"), nation, "n_nationkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def deletable_parents_anti(spark, d):
+    orders, lines = tables(spark, d, "orders", "lineitem")
+    return mutate.deletable(orders.select("o_orderkey"), lines, "o_orderkey", "l_orderkey")
+
+
+@query("""SELECT user_id, event_id, event_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50""")
+def logs_top50_per_parent(spark, d):
+    return C.newest_per_parent(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT conv_id, string_agg(role || ':' || CAST(turn AS VARCHAR), ',' ORDER BY turn) AS children FROM conversations GROUP BY 1""")
+def ordered_children(spark, d):
+    nested = C.ordered_children(table(spark, d, "conversations"), "conv_id", ["turn"], "role")
+    return nested.select("conv_id", F.array_join(F.transform("children", lambda x: F.concat(x["role"], F.lit(":"), x["turn"].cast("string"))), ",").alias("children"))
+
+
+@query("""SELECT o_orderkey, coalesce(max(l_linenumber), 0) + 1 AS next_order FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def next_sort_order(spark, d):
+    orders, lines = tables(spark, d, "orders", "lineitem")
+    return C.next_order(lines, orders, "o_orderkey", "l_orderkey", "l_linenumber")
+
+
+@query("""WITH old AS (SELECT user_id, event_id FROM events WHERE event_type <> 'purchase'), top AS (SELECT user_id, max(event_id) AS t FROM old GROUP BY 1)
+          SELECT event_id, coalesce(t, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY event_id) AS sort_order
+          FROM events e LEFT JOIN top USING (user_id) WHERE event_type = 'purchase'""")
+def append_in_order(spark, d):
+    events = table(spark, d, "events")
+    old = events.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("sort_order"))
+    new = events.where("event_type = 'purchase'").select("user_id", "event_id")
+    return C.append_children(new, old, "user_id", "sort_order", "event_id").select("event_id", "sort_order")
+
+
+@query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS word_count, count(*) AS n_children FROM conversations GROUP BY 1")
+def word_count_rollup(spark, d):
+    return mutate.rollup(table(spark, d, "conversations"), "conv_id", "text")
+
+
+@query("""SELECT conv_id, CAST(floor(100.0 * count(*) FILTER (WHERE role <> 'user' AND length(trim(text)) > 0) / count(*) + 0.5) AS BIGINT) AS pct FROM conversations GROUP BY 1""")
+def content_coverage_pct(spark, d):
+    rows = table(spark, d, "conversations")
+    return C.coverage(rows, "conv_id", has_text(F.when(F.col("role") != "user", F.col("text"))))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'view') AS view FROM events""")
+def queue_stats(spark, d):
+    return C.state_counts(table(spark, d, "events"), "event_type", ("click", "error", "view"))
+
+
+def _queue(events: DataFrame) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "view", "in_progress").otherwise("pending")
+    return events.select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("task_id"), F.concat(F.lit("u"), (F.col("event_id") * 7 % 997).cast("string")).alias("url"), status.alias("status"),
+        (F.col("event_id") % 5).alias("retries"), F.lit(3).alias("max_retries"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
+    )
+
+
+_QUEUE_SQL = """queue AS (SELECT event_id AS id, user_id % 20 AS task_id, 'u' || CAST(event_id * 7 % 997 AS VARCHAR) AS url,
+    CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'in_progress' ELSE 'pending' END AS status,
+    event_id % 5 AS retries, 3 AS max_retries, ts AS created_at, ts AS updated_at FROM events)"""
+
+
+@query(f"""WITH {_QUEUE_SQL}, half AS (SELECT max(id) // 2 AS h FROM queue),
+    held AS (SELECT task_id, url, min(id) AS id FROM queue, half WHERE id <= h AND status <> 'failed' GROUP BY 1, 2),
+    asked AS (SELECT task_id, url, min(id) AS id FROM queue, half WHERE id > h GROUP BY 1, 2)
+    SELECT a.task_id, a.url, coalesce(q.id, a.id) AS id, q.id IS NULL AS added FROM asked a LEFT JOIN held q USING (task_id, url)""")
+def enqueue_ignore(spark, d):
+    rows = _queue(table(spark, d, "events"))
+    half = rows.agg(F.max("id")).first()[0] // 2
+    return queue.enqueue(rows.where(F.col("id") <= half), rows.where(F.col("id") > half), F.col("id"))[1]
+
+
+@query(f"""WITH {_QUEUE_SQL} SELECT id, CASE WHEN status = 'in_progress' AND id % 3 = 0 THEN 'completed' WHEN status = 'in_progress' AND retries < max_retries THEN 'pending'
+    WHEN status = 'in_progress' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'in_progress' AND id % 3 <> 0 AND retries < max_retries THEN retries + 1 ELSE retries END AS retries FROM queue""")
+def retry_transition(spark, d):
+    rows = _queue(table(spark, d, "events"))
+    outcomes = rows.where("status = 'in_progress'").select("id", (F.col("id") % 3 == 0).alias("ok"))
+    return queue.settle(rows, outcomes, F.lit("2024-02-01").cast("timestamp_ntz")).select("id", "status", "retries")
+
+
+@query(f"WITH {_QUEUE_SQL} SELECT id, CASE WHEN status = 'failed' AND task_id = 3 THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' AND task_id = 3 THEN 0 ELSE retries END AS retries FROM queue")
+def requeue_failed(spark, d):
+    return queue.requeue_failed(_queue(table(spark, d, "events")), F.lit("2024-02-01").cast("timestamp_ntz"), 3).select("id", "status", "retries")
+
+
+@query(f"WITH {_QUEUE_SQL} SELECT id FROM queue WHERE NOT (status IN ('completed', 'failed') AND updated_at < TIMESTAMP '2024-01-14')")
+def queue_ttl_cleanup(spark, d):
+    return queue.clean_up(_queue(table(spark, d, "events")), F.lit("2024-01-15").cast("timestamp_ntz")).select("id")
+
+
+@query(f"WITH {_QUEUE_SQL} SELECT id, url FROM queue WHERE status = 'pending' AND task_id = 4 ORDER BY created_at, id LIMIT 10")
+def dequeue_batch(spark, d):
+    return queue.take_batch(_queue(table(spark, d, "events")), F.lit("2024-02-01").cast("timestamp_ntz"), 4)[1].select("id", "url")
+
+
+@query(f"WITH {_QUEUE_SQL} SELECT DISTINCT task_id, url FROM queue q WHERE EXISTS (SELECT 1 FROM queue p WHERE p.task_id = q.task_id AND p.url = q.url AND p.status IN ('completed', 'in_progress'))")
+def processed_urls(spark, d):
+    rows = _queue(table(spark, d, "events"))
+    return queue.processed(rows, rows.select("task_id", "url").distinct())
+
+
+_STATES = "CASE event_type WHEN 'click' THEN 'pending' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'running' ELSE 'cancelled' END"
+
+
+@query(f"""WITH moves AS (SELECT event_id, lag({_STATES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old, {_STATES} AS new FROM events)
+    SELECT event_id, coalesce(old || '>' || new IN ('pending>running', 'pending>cancelled', 'pending>failed', 'running>completed', 'running>failed', 'running>cancelled', 'failed>pending', 'failed>running'), false) AS valid FROM moves""")
+def status_transitions_valid(spark, d):
+    from pyspark.sql.window import Window
+
+    e = F.col("event_type")
+    state = F.when(e == "click", "pending").when(e == "error", "failed").when(e == "purchase", "completed").when(e == "view", "running").otherwise("cancelled")
+    before = F.lag(state).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select("event_id", before.alias("old"), state.alias("new")).select("event_id", mutate.allowed(F.col("old"), F.col("new")).alias("valid"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-20 10:00:00'")
+def stale_rows(spark, d):
+    tasks = table(spark, d, "events").withColumn("status", F.when(F.col("event_type") == "view", "running").otherwise("done"))
+    return mutate.stale(tasks, "ts", "status", F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")).select("event_id")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'renamed' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS c_name,
+    CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+def partial_update_merge(spark, d):
+    customer = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    patch = customer.where("c_custkey % 3 = 0").select(
+        "c_custkey", F.concat(F.lit("renamed"), F.col("c_custkey").cast("string")).alias("c_name"), F.lit(True).alias("has_c_name"),
+        F.lit(None).cast("string").alias("c_mktsegment"), (F.col("c_custkey") % 6 == 0).alias("has_c_mktsegment"),
+    )
+    return mutate.merge_update(customer, patch, "c_custkey")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL
+    SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT), 1.0 FROM lineitem WHERE l_orderkey % 10 = 0""")
+def replace_children(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    new = lines.where("l_orderkey % 10 = 0").select("l_orderkey").distinct().select("l_orderkey", F.lit(0).cast("long").alias("l_partkey"), F.lit(1.0).alias("l_quantity"))
+    return mutate.replace_children(lines, new, "l_orderkey")
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 1000 - turn ELSE turn END AS sort_order FROM conversations")
+def batch_reorder(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("sort_order"))
+    orders = rows.select("turn", F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")).otherwise(-1).alias("conv_id"), (1000 - F.col("turn")).alias("sort_order"))
+    return mutate.reorder(rows, orders, "turn", "conv_id", "sort_order")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
+def cascade_delete(spark, d):
+    customer, orders = tables(spark, d, "customer", "orders")
+    return mutate.delete_cascade(customer, orders, customer.where("c_nationkey = 3"), "c_custkey", "o_custkey")[1].select("o_orderkey")
+
+
+@query("SELECT c_custkey, CASE WHEN n_regionkey = 1 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def set_null_delete(spark, d):
+    customer, nation = tables(spark, d, "customer", "nation")
+    return mutate.delete_set_null(nation, customer, nation.where("n_regionkey = 1"), "n_nationkey", "c_nationkey")[1].select("c_custkey", "c_nationkey")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey IN (1, 2)")
+def unique_conflicts(spark, d):
+    nation = table(spark, d, "nation")
+    return mutate.conflicts(nation.where("n_regionkey < 3"), nation.where("n_regionkey > 0"), "n_name").select("n_name")
+
+
+@query("""SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sort_order
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1""")
+def first_seen_dedupe(spark, d):
+    events = table(spark, d, "events")
+    rows = events.select("user_id", F.col("event_type").alias("url"), F.col("event_type").alias("title"), "event_id", F.lit(0).alias("page"))
+    numbered = crawl.number_chapters(rows, "user_id", "page", "event_id")
+    return numbered.select("user_id", F.col("url").alias("event_type"), "event_id", F.col("sort_order").cast("long").alias("sort_order"))
+
+
+@query()
+def dedupe_both(spark, d):
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") * 13 % 701).cast("string").alias("url"), (F.col("event_id") * 29 % 811).cast("string").alias("title"))
+    return crawl.dedupe_books(rows, "both", "event_id").select("event_id")
+
+
+@query("""WITH stored AS (SELECT * FROM pages WHERE page_id % 2 = 0), new AS (SELECT * FROM pages WHERE page_id % 3 = 0)
+    SELECT n.page_id, coalesce(u.page_id, t.page_id) AS match FROM new n
+    LEFT JOIN stored u ON u.url = n.url
+    LEFT JOIN (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, max(page_id) AS page_id FROM stored GROUP BY 1) t ON t.title = regexp_extract(n.html, '<title>([^<]*)</title>', 1) AND t.title <> ''
+    WHERE u.page_id IS NULL OR t.page_id IS NULL OR u.page_id >= t.page_id
+    UNION ALL SELECT n.page_id, t.page_id FROM new n JOIN stored u ON u.url = n.url
+    JOIN (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, max(page_id) AS page_id FROM stored GROUP BY 1) t ON t.title = regexp_extract(n.html, '<title>([^<]*)</title>', 1) AND t.title <> ''
+    WHERE u.page_id < t.page_id""")
+def incremental_new_parents(spark, d):
+    pages = table(spark, d, "pages").withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    stored = pages.where("page_id % 2 = 0").select(F.col("page_id").alias("id"), "url", "title", F.col("page_id").alias("updated_at"))
+    return crawl.match_books(pages.where("page_id % 3 = 0").select("page_id", "url", "title"), stored).select("page_id", "match")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem n WHERE l_linenumber > 3
+    AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_linenumber <= 3 AND o.l_orderkey = n.l_orderkey AND o.l_partkey = n.l_partkey)
+    AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_linenumber <= 3 AND o.l_orderkey = n.l_orderkey AND o.l_suppkey = n.l_suppkey)""")
+def incremental_new_children(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("url"), F.col("l_suppkey").cast("string").alias("title"), "l_partkey", "l_suppkey", "l_linenumber")
+    return crawl.new_chapters(lines.where("l_linenumber > 3"), lines.where("l_linenumber <= 3"), "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) % 3 = 0 AS nth FROM conversations")
+def every_nth(spark, d):
+    return export.every_nth(table(spark, d, "conversations"), "conv_id", ["turn"], 3).select("conv_id", "turn", "nth")
+
+
+_INFO = "《{title}》{siteName}"
+_AD = "[{chapterTitle}/{chapterCount}]"
+
+
+@query(f"""WITH parts AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+        list_filter(string_split(text, chr(10)), lambda p: length(regexp_replace(p, '\\s', '', 'g')) > 0) AS ps, text FROM conversations),
+    n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1),
+    blocks AS (SELECT conv_id, turn, role || chr(10) || chr(10) || coalesce(list_reduce(list_prepend('', list_transform(ps, lambda p: p || chr(10) || chr(10))), lambda a, b: a || b), '')
+        || CASE WHEN i % 2 = 0 THEN chr(10) || '[' || role || '/' || CAST(n AS VARCHAR) || ']' || chr(10) || chr(10) ELSE '' END AS block FROM parts JOIN n USING (conv_id))
+    SELECT conv_id, sha256('《c' || CAST(conv_id AS VARCHAR) || '》本站' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY turn) || chr(10) || '《c' || CAST(conv_id AS VARCHAR) || '》本站') AS text_sha256,
+        'c' || CAST(conv_id AS VARCHAR) || ' - a_b.txt' AS file_name FROM blocks GROUP BY conv_id""")
+def export_txt(spark, d):
+    rows = table(spark, d, "conversations")
+    chapters = rows.select("conv_id", F.col("turn").alias("sort_order"), F.col("turn").alias("id"), F.col("role").alias("title"), F.col("text").alias("content"))
+    books = rows.select("conv_id").distinct().select("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("title"), F.lit("a/b").alias("author"))
+    config = export.ExportConfig(ad=_AD, ad_every=2, ad_at="end", site_info=_INFO)
+    done = export.export_text(books, chapters, "conv_id", config, F.lit("2024-01-01").cast("date"))
+    return done.select("conv_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "file_name")
+
+
+def _keyword_sql() -> str:
+    fixed = [(f"p_name || '{e}'", "百度") for e in export.TITLE_ENDINGS] + [(f"p_brand || '{e}'", "搜狗") for e in export.AUTHOR_ENDINGS]
+    fixed += [("cat || '小说推荐'", "必应"), ("cat || '小说排行榜'", "必应"), ("'热门' || cat || '小说'", "360搜索"), ("p_type || '小说推荐'", "神马搜索")]
+    fixed += [("p_name || p_brand", "百度"), ("p_name || '在线阅读'", "搜狗"), ("p_name || 'txt'", "360搜索")]
+    rows = " UNION ALL ".join(f"SELECT p_partkey, {k} AS keyword, '{s}' AS source FROM p" for k, s in fixed)
+    return f"WITH p AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'c' || CAST(p_size AS VARCHAR) END AS cat FROM part) SELECT DISTINCT * FROM ({rows}) WHERE keyword IS NOT NULL"
+
+
+@query(_keyword_sql())
+def keyword_generation(spark, d):
+    category = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("c"), F.col("p_size").cast("string")))
+    books = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("author"), category.alias("category"), F.array("p_type").alias("tags"))
+    return export.search_keywords(books, "p_partkey").select("p_partkey", "keyword", "source")
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS type FROM events""")
+def selector_json_parse(spark, d):
+    parsed = rules.json_or(F.col("props"), "k long", F.struct(F.lit(None).cast("long").alias("k")))
+    return table(spark, d, "events").select("event_id", parsed["k"].alias("k"), rules.selector(F.col("props"))["type"].alias("type"))
+
 
-def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+@query("""SELECT event_id, CASE WHEN CAST(trunc(value) AS BIGINT) = 0 THEN 3 ELSE least(20, greatest(1, CAST(trunc(value) AS BIGINT))) END AS threads,
+    CASE WHEN CAST(trunc(value) AS BIGINT) = 0 THEN 1000 ELSE greatest(0, CAST(trunc(value) AS BIGINT)) END AS min_delay, least(100.0, greatest(0.0, value)) AS progress FROM events""")
+def params_clamp(spark, d):
+    value = F.col("value").cast("decimal(20,6)")
+    return table(spark, d, "events").select("event_id", rules.threads(value).alias("threads"), rules.delays(value, value)[0].alias("min_delay"), rules.progress(F.col("value")).alias("progress"))
 
 
-QUERIES = {"status_distribution": status_distribution}
-ORACLES = {"status_distribution": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1"}
+@query("SELECT count(*) > 0 AND bool_and(l_quantity > 0) AS every, bool_or(l_returnflag = 'R' AND l_quantity > 0) OR bool_or(l_quantity > 0) AS some FROM lineitem")
+def quantifiers(spark, d):
+    return C.all_of(table(spark, d, "lineitem"), F.col("l_quantity") > 0)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -14,3 +15,12 @@ def make_importable(spark: SparkSession) -> None:
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder all executors share (a temporary one only where none is set)."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="foliant-"))
+    return df.checkpoint()
