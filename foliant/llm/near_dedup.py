@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body, discard, materialise
+from foliant.llm.common import body, discard, materialise, small_or_not
 
 WORD = re.compile(r"[^\W_]+")
 K = 5
@@ -273,15 +273,20 @@ def _links_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -
     return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
 
 
-def residual_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links across components, from the buckets that hold several. The nodes outside a bucket's main component meet
-    the whole bucket, block by block, so a task holds two blocks whatever the size of the bucket."""
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes of the buckets that hold several components: (key, node, label, main, n, outside), main for nodes of the
+    bucket's largest component, outside the number of the others."""
     held = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     each = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     mixed = mixed.select("key", F.col("main.label").alias("main_label"), "n", (F.col("n") - F.col("main.n")).alias("outside"))
-    rows = held.join(mixed, "key").select("key", "node", "label", (F.col("label") == F.col("main_label")).alias("main"), "n", "outside")
-    rows = materialise(rows, "mixed").join(texts, "node")
+    return held.join(mixed, "key").select("key", "node", "label", (F.col("label") == F.col("main_label")).alias("main"), "n", "outside")
+
+
+def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links across components, from the buckets that hold several. The nodes outside a bucket's main component meet
+    the whole bucket, block by block, so a task holds two blocks whatever the size of the bucket."""
+    rows = mixed.join(texts, "node")
 
     def blocks(of: str):
         return F.ceil(F.col(of) / BLOCK).cast("int")
@@ -294,19 +299,29 @@ def residual_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, thre
     return asked.cogroup(met).applyInPandas(lambda a, b: _links_of_blocks(a, b, threshold), "a long, b long").distinct()
 
 
+def fetch_words(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n_words, words, counts, buckets) of some nodes, one row each; the packed words are read for these alone."""
+    needed = materialise(texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("digest").alias("of")), "needed")
+    needed = small_or_not(needed, needed.count())
+    found = rows.join(needed, (rows["doc_id"] == needed["node"]) & (rows["digest"] == needed["of"]))
+    return materialise(found.select("node", "n_words", "words", "counts", "buckets").dropDuplicates(["node"]), "words")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept) of every row: the smallest doc_id of its class, and whether that is the row's own."""
     rows = materialise(sketch_rows(docs, text), "sketches")
-    named = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    texts = rows.join(named, "digest").where("doc_id = node").select("node", "n_words", "words", "counts", "buckets").dropDuplicates(["node"])
+    named = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("buckets").alias("buckets")), "nodes")
+    texts = named.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("digest", "buckets")).alias("one")).select("node", "one.*")
     texts = materialise(texts, "texts")
     buckets = texts.select("node", F.explode("buckets").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialise(buckets.join(shared, "key").select("key", "node", "a"), "buckets")
-    pairs = buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    edges = materialise(verify(pairs, texts, threshold), "edges")
+    pairs = materialise(buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    words = fetch_words(rows, texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    edges = materialise(verify(pairs, words, threshold), "edges")
     labels = components(edges)
-    more = materialise(residual_links(buckets, labels, texts, threshold), "links")
+    mixed = materialise(mixed_buckets(buckets, labels), "mixed")
+    more = materialise(residual_links(mixed, words, threshold), "links")
     labels = components(edges.union(more))
     known = named.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
