@@ -16,6 +16,10 @@ from foliant.functions.urls import _resolve
 # Fixed lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+IMPLIED = (
+    (("li",), frozenset({"ul", "ol", "menu"})), (("dt", "dd"), frozenset({"dl"})), (("td", "th"), frozenset({"tr", "table"})),
+    (("tr",), frozenset({"table", "tbody", "thead", "tfoot"})), (("option",), frozenset({"select"})),
+)
 SCRIPTS = "script, style, iframe, noscript, object, embed, applet"
 AD_SELECTORS = (
     '[class*="ad"]', '[class*="Ad"]', '[class*="AD"]', '[class*="advert"]', '[class*="sponsor"]', '[class*="promo"]', '[class*="banner"]', '[class*="popup"]',
@@ -60,11 +64,21 @@ class _Builder(HTMLParser):
         if node.up is not None:
             self.here = node.up
 
+    def _leave(self, tags: tuple[str, ...], within: frozenset) -> None:
+        """Close the nearest of some elements, unless one that bounds them comes first."""
+        node = self.here
+        while node.up is not None and node.tag not in within:
+            if node.tag in tags:
+                self.here = node.up
+                return
+            node = node.up
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CLOSES_P and self.here.tag == "p":
-            self.here = self.here.up
-        elif tag == self.here.tag and tag in ("li", "option", "td", "tr", "dt", "dd"):
-            self.here = self.here.up
+        if tag in CLOSES_P:
+            self._leave(("p",), CLOSES_P - {"p"} | {"td", "th", "li", "dd", "body"})
+        for tags, within in IMPLIED:
+            if tag in tags:
+                self._leave(tags, within)
         node = Element(tag, {k: v or "" for k, v in attrs}, self.here)
         self.here.parts.append(node)
         if tag not in VOID:

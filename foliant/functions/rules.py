@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.text import ws_trim
+
 SELECTOR = "type string, value string"
 PAGINATION = "type string, selector string, maxPage double"
 KINDS = ("css", "xpath", "regex")
@@ -52,7 +54,7 @@ def pagination_error(json: Column, most: int = 10_000) -> Column:
 def fenced_json(text: Column) -> Column:
     """The JSON of a model's reply: inside a code fence, else from the first to the last brace."""
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.when(fence != "", F.trim(fence)).otherwise(F.regexp_extract(text, r"(?s)\{.*\}", 0))
+    return F.when(fence != "", ws_trim(fence)).otherwise(F.regexp_extract(text, r"(?s)\{.*\}", 0))
 
 
 def integer(c: Column, default: int, low: int | None = None, high: int | None = None) -> Column:
@@ -128,10 +130,10 @@ def normal_rule(json: Column, url: Column) -> Column:
         F.struct(
             text(page["type"], F.lit("next")).alias("type"),
             F.coalesce(page["selector"], F.lit("")).alias("selector"),
-            F.coalesce(F.least(page["maxPage"], F.lit(500.0)), F.lit(50.0)).cast("int").alias("maxPage"),
+            F.when(page["maxPage"].isNull(), 50).otherwise(F.least(page["maxPage"], F.lit(500.0)).cast("int")).alias("maxPage"),
         ).alias("listPagination"),
         *[coerced(raw[f]).alias(f) for f in SELECTOR_FIELDS],
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(raw["confidence"] + 0.5))), F.lit(50.0)).cast("int").alias("confidence"),
+        F.when(raw["confidence"].isNull(), 50).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw["confidence"] + 0.5))).cast("int")).alias("confidence"),
         F.coalesce(raw["notes"], F.array().cast("array<string>")).alias("notes"),
     )
 

@@ -17,9 +17,8 @@ def find_one(df: DataFrame, **key) -> DataFrame:
 
 def find_one_or_raise(df: DataFrame, **key) -> DataFrame:
     """The same, failing when the query runs without a row for the key."""
-    found = find_one(df, **key)
-    none = found.agg(F.count(F.lit(1)).alias("_n")).where(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"no row with {key}")).cast("boolean")).otherwise(True))
-    return found.join(F.broadcast(none), how="cross").drop("_n")  # one counted row
+    one = find_one(df, **key).agg(F.first(F.struct(*df.columns)).alias("row"))
+    return one.select(F.when(F.col("row").isNull(), F.raise_error(F.lit(f"no row with {key}"))).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def where_equal(df: DataFrame, **wanted) -> DataFrame:
