@@ -34,8 +34,9 @@ MARK = "▁"
 MARK_BYTES = MARK.encode()
 UNKNOWN_COST = 10.0
 CACHE_SEGMENTS = 200_000
-#: Segments that go through the trie together.
+#: Segments, and table cells (segments times the longest one's bytes), that go through the trie together; one segment always may.
 CHUNK = 4096
+CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -131,8 +132,9 @@ def viterbi(segments: list[bytes], model: Pieces) -> list[np.ndarray]:
     """The ids of each segment (markers already in place)."""
     order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(segments)
-    for at in range(0, len(order), CHUNK):
-        some = order[at : at + CHUNK]
+    while order:  # the longest first, so that a very long segment doesn't widen the rows of thousands of others
+        count = max(1, min(CHUNK, CELLS // (len(segments[order[-1]]) + 1)))
+        order, some = order[:-count], order[-count:]
         for i, ids in zip(some, _paths([segments[i] for i in some], model), strict=True):
             out[i] = ids
     return out

@@ -74,4 +74,4 @@ def test_markov_parts_random_strings_from_identifiers():
 def test_added_spans_leave_base_ones():
     model = x.train(ordinary())
     text = "token=Zk3xQ9vLw7Tt2Bn8Yp4R and Hq8Zr2Wk9Lx4Vb7Nm3Tc6"
-    assert x.joined(x.scan(text, model, {})) == "assign:0:26,markov:31:53"
+    assert x.joined(x.scan(text, model, {})) == "assign:0:26,markov:31:52"

@@ -65,6 +65,12 @@ def test_round_trip(text):
     assert x.decode_ids(x.Encoder(model).encode([text])[0], model) == text
 
 
+def test_very_long_segment_among_many(model):
+    """A table of all segments by the longest one's bytes would not fit in memory."""
+    text = "x" * 200_000 + " " + " ".join(f"word{i}" for i in range(5000))
+    assert x.decode_ids(x.Encoder(model).encode([text])[0], model) == text
+
+
 def test_trie_holds_the_pieces_alone(model):
     trie = model.trie
 
