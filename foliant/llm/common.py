@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from foliant.runtime import make_importable
 
+_WORKER: dict = {}
+
 #: A side with at most this many rows of a few machine words may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,6 +64,15 @@ def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def worker_cache(key, make):
+    """The one cache a Python worker keeps between its tasks. Another key's replaces it, so that operators that run one
+    after the other in the same worker don't add up their memory."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids (one column doc_id)."""
     ids = materialise(ids.where(F.col("doc_id").isNotNull()).distinct(), "drop")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body, discard, materialise, small_or_not
+from foliant.llm.common import body, discard, materialise, small_or_not, worker_cache
 
 WORD = re.compile(r"[^\W_]+")
 K = 5
@@ -63,12 +63,9 @@ class Words(dict):
         return h
 
 
-_WORDS = Words()
-
-
 def word_hashes(text: str) -> np.ndarray:
-    found = WORD.findall(text.lower())
-    return np.fromiter((_WORDS[w] for w in found), np.uint64, len(found))
+    found, known = WORD.findall(text.lower()), worker_cache("words", Words)
+    return np.fromiter((known[w] for w in found), np.uint64, len(found))
 
 
 def labelled_kmers(words: np.ndarray) -> np.ndarray:

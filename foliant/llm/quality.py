@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body, hash_sample, materialise
+from foliant.llm.common import body, hash_sample, materialise, worker_cache
 
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LOWER = bytes(range(ord("a"), ord("z") + 1))
@@ -125,13 +125,11 @@ class Shapes(dict):
         return h
 
 
-_SHAPES = Shapes()
-
-
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the shapes and of the pairs of neighbours; equal neighbours have an id of their own."""
     tokens = text.split()
-    one = np.fromiter((_SHAPES[t] for t in tokens), np.int64, len(tokens))
+    shapes = worker_cache("shapes", Shapes)
+    one = np.fromiter((shapes[t] for t in tokens), np.int64, len(tokens))
     two = (one[:-1] * 31 + one[1:] * 17 + 7) % SIZE
     if len(tokens) > 1:
         two[np.fromiter(map(operator.eq, tokens, tokens[1:]), bool, len(tokens) - 1)] = 0

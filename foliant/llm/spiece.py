@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body
+from foliant.llm.common import body, worker_cache
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -242,17 +242,6 @@ def decode_ids(ids: list[int] | np.ndarray, model: Pieces) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(model: Pieces) -> Encoder:
-    """One per Python worker, kept between tasks."""
-    if model.name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[model.name] = Encoder(model)
-    return _ENCODERS[model.name]
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
@@ -267,7 +256,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
     model = load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model)
+        encoder = worker_cache(("encoder", model.name), lambda: Encoder(model))
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
                 part = b.slice(at, TEXTS)

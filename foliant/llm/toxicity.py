@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body, hash_sample
+from foliant.llm.common import body, hash_sample, worker_cache
 
 WORD = re.compile(r"[^\W\d_]+")
 FILLER = b"0123456789ABCDEFGHIJKLMNOP"
@@ -165,18 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Model:
     return fit_rows((texts.pop(0), kind) for kind in kinds)
 
 
-_GAINS: dict[Model, Gains] = {}
-
-
-def _gains(model: Model) -> Gains:
-    if model not in _GAINS:
-        _GAINS.clear()
-        _GAINS[model] = Gains(model)
-    return _GAINS[model]
-
-
 def score_texts(texts: Iterable[str], model: Model) -> np.ndarray:
-    gains, w = _gains(model), np.array(model.weights)
+    gains, w = worker_cache(model, lambda: Gains(model)), np.array(model.weights)
     x = np.array([features(words_of(t) if model.toxic else [], gains) for t in texts]).reshape(-1, len(w))
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
