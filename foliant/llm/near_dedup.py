@@ -1,10 +1,16 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A document is its words (letters and digits, lower-cased); its k-mers are runs of five words, labelled by how often the
-run occurred before. For each of SKETCHES hash functions, the three labelled k-mers of least hash are taken in text order: two
+A document is its words (letters and digits, lower-cased); its k-mers are pairs of neighbouring words, labelled by how often
+the pair occurred before. For each of SKETCHES hash functions, the three labelled k-mers of least hash are taken in text order: two
 documents agree on such a triple roughly with the probability that edits spared all of it. Documents with an equal
 triple are candidates, and a candidate pair is a link if its word edit similarity, 1 - distance / longer length, is 0.8
-or more, found by an alignment that walks the diagonals within the band the threshold allows.
+or more, found by an alignment that walks the diagonals within the band the threshold allows. An edit touches two pairs of
+words, so texts of similarity 0.8 share 0.43 of their k-mers however the edits lie; such a pair agrees on none of the 96 triples
+with a probability of about 0.001 at worst.
+
+Short texts have an exact route. If the shorter text has l words, at most l / 4 edits part the two; of its disjoint runs of
+three words (l >= 9) or two (l >= 4), more than l / 4, one is spared, and below 4 words the texts are equal. So texts
+of up to SHORT words are candidates if they share any such run, and no linked pair of them is missed.
 
 Equal texts are one node, named by their smallest doc_id. A bucket (equal triple) is compared with its least node first, which
 links the copies of a text without listing their pairs. A bucket that still spans several components is compared
@@ -33,10 +39,12 @@ from pyspark.sql import functions as F
 from foliant.llm.common import body, discard, materialise, small_or_not, worker_cache
 
 WORD = re.compile(r"[^\W_]+")
-K = 5
+K = 2
 SIMILARITY = 0.8
-SKETCHES = 20
+SKETCHES = 96
 TAKEN = 3
+#: Pairs of texts of at most so many words are found by single runs; of texts under 0.8 SHORT words, no other partner can be longer.
+SHORT = 40
 HISTOGRAM = 128
 #: Nodes of a bucket that meet the others of the bucket together.
 BLOCK = 256
@@ -51,6 +59,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+FACTORS = _mix(SEEDS) | np.uint64(1)
+LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Words(dict):
@@ -68,12 +78,19 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter((known[w] for w in found), np.uint64, len(found))
 
 
-def labelled_kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of K words (a shorter text is one run), each mixed with the number of equal runs before it."""
-    n = max(1, len(words) - K + 1) if len(words) else 0
+def plain_runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words (a shorter text is one run)."""
+    n = max(1, len(words) - k + 1) if len(words) else 0
     runs = np.zeros(n, np.uint64)
-    for j in range(min(K, len(words))):
+    for j in range(min(k, len(words))):
         runs = _mix(runs + words[j : j + n] + np.uint64(j + 1))
+    return runs
+
+
+def labelled_kmers(words: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of K words, each mixed with the number of equal runs before it."""
+    runs = plain_runs(words, K)
+    n = len(runs)
     order = np.argsort(runs, kind="stable")
     ordered = runs[order]
     fresh = np.ones(n, bool)
@@ -86,22 +103,40 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
     return runs
 
 
-def sketch(words: np.ndarray) -> list[int]:
-    """One signed 64-bit bucket key per hash function."""
+def order_keys(words: np.ndarray) -> np.ndarray:
+    """One key per hash function: its TAKEN labelled k-mers of least hash, in text order."""
     runs = labelled_kmers(words)
-    if not len(runs):
-        return []
     keys = SEEDS.copy()
-    step = max(1, 2_000_000 // len(runs))
+    step = max(1, 100_000 // len(runs))
     for i in range(0, SKETCHES, step):
-        hashed = _mix(runs[None, :] ^ SEEDS[i : i + step, None])
-        if len(runs) > TAKEN:
-            chosen = np.sort(np.argpartition(hashed, TAKEN, axis=1)[:, :TAKEN], axis=1)
-        else:
-            chosen = np.broadcast_to(np.arange(len(runs)), (len(hashed), len(runs)))
+        hashed = (runs ^ SEEDS[i : i + step, None]) * FACTORS[i : i + step, None]
+        lines = np.arange(len(hashed))
+        chosen = np.empty((len(hashed), min(TAKEN, len(runs))), np.int64)
+        for j in range(chosen.shape[1]):
+            chosen[:, j] = hashed.argmin(axis=1)
+            hashed[lines, chosen[:, j]] = LAST
+        chosen.sort(axis=1)
         for j in range(chosen.shape[1]):
             keys[i : i + step] = _mix(keys[i : i + step] + runs[chosen[:, j]])
-    return keys.view(np.int64).tolist()
+    return keys
+
+
+def short_keys(words: np.ndarray) -> list[np.ndarray]:
+    """The keys of a text of at most SHORT words: the whole text below 4 words, its pairs up to 10, its triples from 9."""
+    n = len(words)
+    if n < 4:
+        return [_mix(plain_runs(words, 3) + np.uint64(n))]
+    return [_mix(plain_runs(words, k) + np.uint64(10 + k)) for k, least, most in ((2, 4, 10), (3, 9, SHORT)) if least <= n <= most]
+
+
+def sketch(words: np.ndarray) -> np.ndarray:
+    """The signed 64-bit bucket keys of a text."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    parts = short_keys(words) if len(words) <= SHORT else []
+    if len(words) >= SIMILARITY * SHORT:
+        parts.append(order_keys(words))
+    return np.unique(np.concatenate(parts)).view(np.int64)
 
 
 def histogram(words: np.ndarray) -> bytes:
@@ -120,6 +155,8 @@ def sketch_rows(docs: DataFrame, text: str = "text") -> DataFrame:
                 part = b.slice(at, 512)
                 hashes = [word_hashes(t) for t in part.column("text").to_pylist()]
                 short = [h.astype(np.uint32) for h in hashes]
+                keys = [sketch(h) for h in hashes]
+                ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -127,7 +164,7 @@ def sketch_rows(docs: DataFrame, text: str = "text") -> DataFrame:
                         pa.array([len(h) for h in hashes], pa.int64()),
                         pa.array([h.tobytes() for h in short], pa.binary()),
                         pa.array([histogram(h) for h in short], pa.binary()),
-                        pa.array([sketch(h) for h in hashes], pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *keys])),
                     ],
                     names=["doc_id", "digest", "n_words", "words", "counts", "buckets"],
                 )
@@ -245,28 +282,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between the nodes of two blocks of a bucket. A pair is tested in the first bucket that both share, and
-    aligned only if labels differ and lengths and histograms leave it possible."""
+def _pairs_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The pairs between the nodes of two blocks of a bucket, or within several small buckets, that have different labels
+    and that lengths and histograms leave possible."""
     found = []
     if len(asked) and len(met):
-        key = int(asked["key"].iloc[0])
-        keys = np.array(met["buckets"].tolist(), np.int64)
-        first = np.argmax(keys == key, axis=1)
         counts = np.frombuffer(b"".join(met["counts"]), np.uint8).reshape(len(met), -1).astype(np.int16)
-        nodes, labels, sizes, main = (met[c].to_numpy() for c in ("node", "label", "n_words", "main"))
-        words = [np.frombuffer(w, np.uint32) for w in met["words"]]
-        for node, label, size, own, text, own_keys in asked[["node", "label", "n_words", "counts", "words", "buckets"]].itertuples(index=False):
+        keys, nodes, labels, sizes, main = (met[c].to_numpy() for c in ("key", "node", "label", "n_words", "main"))
+        for key, node, label, size, own in asked[["key", "node", "label", "n_words", "counts"]].itertuples(index=False):
             most = ((1 - threshold) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
             off = np.abs(sizes - size)
-            some = np.flatnonzero((labels != label) & (off <= most) & (main | (nodes > node)))
-            agree = keys[some] == np.array(own_keys, np.int64)
-            some = some[np.argmax(agree, axis=1) == first[some]]
+            some = np.flatnonzero((keys == key) & (labels != label) & (off <= most) & (main | (nodes > node)))
             apart = np.abs(counts[some] - np.frombuffer(own, np.uint8).astype(np.int16))
             single, double = apart[:, :HISTOGRAM].sum(axis=1), apart[:, HISTOGRAM:].sum(axis=1)
             some = some[(single + off[some] <= 2 * most[some]) & (double + off[some] <= 4 * most[some])]
-            mine = np.frombuffer(text, np.uint32)
-            found += [(node, nodes[i]) for i in some.tolist() if similar(mine, words[i], threshold)]
+            found += [(node, n) for n in nodes[some].tolist()]
     return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
 
 
@@ -282,8 +312,8 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links across components, from the buckets that hold several. The nodes outside a bucket's main component meet
-    the whole bucket, block by block, so a task holds two blocks whatever the size of the bucket."""
-    rows = mixed.join(texts, "node")
+    the whole bucket, block by block, so a task holds two blocks whatever the size of the bucket; buckets of one block are taken together, about four blocks at a time."""
+    rows = mixed.join(texts.select("node", "n_words", "counts"), "node")
 
     def blocks(of: str):
         return F.ceil(F.col(of) / BLOCK).cast("int")
@@ -291,28 +321,34 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
     own_asked, own_met = F.pmod(F.xxhash64("node"), blocks("outside")), F.pmod(F.xxhash64("node"), blocks("n"))
     asked = rows.where("NOT main").withColumn("i", own_asked).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
     met = rows.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outside") - 1))).withColumn("j", own_met)
-    names = ("key", "i", "j", "node", "label", "main", "n_words", "words", "counts", "buckets")
-    asked, met = (x.select([F.col(c).alias(c) for c in names]).groupBy("key", "i", "j") for x in (asked, met))
-    return asked.cogroup(met).applyInPandas(lambda a, b: _links_of_blocks(a, b, threshold), "a long, b long").distinct()
+    packs = max(1, mixed.count() // (4 * BLOCK))
+    pack = F.when(F.col("n") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))
+    asked, met = (x.withColumn("small", F.col("n") <= BLOCK).withColumn("pack", pack) for x in (asked, met))
+    names = ("small", "pack", "i", "j", "key", "node", "label", "main", "n_words", "counts")
+    asked, met = (x.select([F.col(c).alias(c) for c in names]).groupBy("small", "pack", "i", "j") for x in (asked, met))
+    pairs = asked.cogroup(met).applyInPandas(lambda a, b: _pairs_of_blocks(a, b, threshold), "a long, b long").distinct()
+    return verify(materialise(pairs, "possible"), texts, threshold)
 
 
 def fetch_words(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n_words, words, counts, buckets) of some nodes, one row each; the packed words are read for these alone."""
+    """(node, n_words, words, counts) of some nodes, one row each; the packed words are read for these alone."""
     needed = materialise(texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("digest").alias("of")), "needed")
     needed = small_or_not(needed, needed.count())
     found = rows.join(needed, (rows["doc_id"] == needed["node"]) & (rows["digest"] == needed["of"]))
-    return materialise(found.select("node", "n_words", "words", "counts", "buckets").dropDuplicates(["node"]), "words")
+    return materialise(found.select("node", "n_words", "words", "counts").dropDuplicates(["node"]), "words")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept) of every row: the smallest doc_id of its class, and whether that is the row's own."""
     rows = materialise(sketch_rows(docs, text), "sketches")
-    named = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("buckets").alias("buckets")), "nodes")
-    texts = named.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("digest", "buckets")).alias("one")).select("node", "one.*")
+    named = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    texts = named.where("node IS NOT NULL").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = materialise(texts, "texts")
-    buckets = texts.select("node", F.explode("buckets").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialise(buckets.join(shared, "key").select("key", "node", "a"), "buckets")
+    one = small_or_not(texts, texts.count())
+    keyed = rows.join(one, (rows["doc_id"] == one["node"]) & (rows["digest"] == one["digest"])).select("node", F.explode("buckets").alias("key"))
+    keyed = keyed.repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    buckets = materialise(keyed.join(shared, "key").select("key", "node", "a").distinct(), "buckets")
     pairs = materialise(buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     words = fetch_words(rows, texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     edges = materialise(verify(pairs, words, threshold), "edges")

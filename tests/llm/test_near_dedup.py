@@ -125,3 +125,45 @@ def test_very_long_text(spark):
     long = [rng.choice(VOCABULARY) for _ in range(60_000)]
     rows = [(1, " ".join(long)), (2, " ".join(edited(rng, long, 20))), (3, " ".join(long[:30_000]))]
     assert got(x.near_duplicates(documents(spark, rows))) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def spread(rng, n, share):
+    """A text of n fresh words and its copy with a share of them substituted, as evenly as can be: no long run is left."""
+    words = [f"x{rng.randrange(10**12)}" for _ in range(n)]
+    edits = int(share * n + 1e-9)
+    at = {int((i + 0.5) * n / edits) for i in range(edits)}
+    return words, [f"y{rng.randrange(10**12)}" if i in at else w for i, w in enumerate(words)]
+
+
+def found(spark, pairs):
+    rows = [(2 * i + j, " ".join(t)) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = {r["doc_id"] for r in x.near_duplicates(documents(spark, rows)).where("kept").collect()}
+    return [2 * i + 1 not in kept for i in range(len(pairs))]
+
+
+def test_scattered_edits_down_to_the_threshold(spark):
+    rng = random.Random(12)
+    pairs = [spread(rng, n, edits) for n in (41, 60, 100, 250, 1000) for edits in (0.05, 0.1, 0.15, 0.2) for _ in range(10)]
+    assert all(near(" ".join(a), " ".join(b)) for a, b in pairs[:80])
+    assert all(found(spark, pairs))
+
+
+def test_short_texts_are_exact(spark):
+    rng, rows = random.Random(13), []
+    for _ in range(400):
+        base = [f"x{rng.randrange(10**12)}" for _ in range(rng.randint(1, 40))]
+        rows += [" ".join(t) for t in (base, edited(rng, base, rng.randint(1, max(1, len(base) // 5))))]
+    rows = list(enumerate(rows))
+    assert got(x.near_duplicates(documents(spark, rows))) == sorted(
+        (r for i in range(0, len(rows), 2) for r in brute(rows[i : i + 2])), key=repr
+    )
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**9))
+def test_short_links_share_a_key(seed):
+    rng = random.Random(seed)
+    base = [rng.choice("abcdef") for _ in range(rng.randint(1, 40))]
+    a, b = " ".join(base), " ".join(edited(rng, base, rng.randint(0, 9)))
+    one, two = (x.sketch(x.word_hashes(t)).tolist() for t in (a, b))
+    assert not near(a, b) or len(b.split()) > 40 or set(one) & set(two)
