@@ -2,8 +2,9 @@
 
 A page becomes a tree of elements (implied end tags and unclosed elements included). Paragraphs give points for their length and
 commas to their parent and, by halves, to the ancestors above; an ancestor's sum is discounted by its link density and
-adjusted by what its class and id say. The best container is kept with those siblings that score well beside it or
-are plain running text. From the kept nodes, blocks that belong to the page rather than the article are dropped: menus,
+adjusted by what its class and id say. If the best container lies inside of an article or main element, that element (the
+innermost one) is kept whole, and so is a parent whose other children hold no furniture and few links; else the best container is
+kept with those siblings that score well beside it or are plain running text. From the kept nodes, blocks that belong to the page rather than the article are dropped: menus,
 headers, footers, sidebars, notices, adverts, forms, comments. A headed page keeps its h1 if it leads the container.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined in page order
@@ -210,6 +211,23 @@ def _weight(node: Node) -> float:
     return (25.0 if GOOD.search(names) else 0.0) - (25.0 if OFF.search(names) else 0.0) + (25.0 if node.tag in ("article", "main") else 0.0)
 
 
+def _whole(best: Node, furniture: set[int], lengths: dict[int, tuple[int, int]]) -> Node:
+    """The innermost article or main element around the best container; without one, the outermost parent (below the
+    body) reached while the other children are no furniture and under a quarter of their text is links."""
+    up = best
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return up
+        up = up.up
+    while best.up is not None and best.up.tag in ("div", "section", "td"):
+        others = [p for p in best.up.parts if isinstance(p, Node) and p is not best]
+        chars, links = (sum(lengths[id(p)][i] for p in others) for i in (0, 1))
+        if any(id(p) in furniture for p in others) or links > 0.25 * chars:
+            break
+        best = best.up
+    return best
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
@@ -246,6 +264,7 @@ def extract(page: str | None) -> str:
         return " ".join(blocks(bodies[0]))
     while best.tag not in ("article", "main", "body", "div", "section", "td", "#page") and best.up is not None:
         best = best.up
+    best = _whole(best, furniture, lengths)
     if best.up is None or best.tag in ("body", "article", "main", "html"):
         return " ".join(blocks(best))
     bar, out = max(10.0, best.score * 0.2), []

@@ -49,3 +49,20 @@ def test_rows(spark):
     assert {r["page_id"]: r["text"] for r in got}[3] == P1 and {r["page_id"]: r["text"] for r in got}[1] == ""
     assert {r["n_chars"] for r in got if r["page_id"] == 5} == {5000 * (len(P1) + 1) - 1}
     assert x.main_text(pages.limit(0)).count() == 0
+
+
+LONG = "".join(f"<p>{P1}</p>" for _ in range(20))
+KEPT = " ".join([P1] * 20)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>Head</h1><section>{LONG}</section><section><p>Closing words</p></section></article>", f"Head {KEPT} Closing words"),
+        (f"<main><div><div>{LONG}</div><ul><li>one</li></ul><table><tr><td>cell</td></tr></table><h3>End</h3></div></main>", f"{KEPT} one cell End"),
+        (f"<div><div>{LONG}</div><div><p>Closing words</p></div><pre>code</pre></div>", f"{KEPT} Closing words code"),
+        (f"<article><section>{LONG}</section><div class=related><p>{P2}</p></div><section><p>Closing words</p></section></article>", f"{KEPT} Closing words"),
+    ],
+)
+def test_nested_sections_are_whole(page, text):
+    assert x.extract(FRAME.format(page)) == text
