@@ -27,15 +27,21 @@ DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = DIGITS + LETTERS + LETTERS.upper()
 
-# Patterns of the kinds, in order of preference.
+#: An unbroken run or the usual groups with one separator, so that neighbours don't chain.
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
+IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
+DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)"
+SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+
+# Patterns of the kinds, in order of preference. No group of a phone number starts another value.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    "ip": IP,
+    "date": DATE,
+    "ssn": SSN,
+    "phone": rf"(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}[ -]?\(?\d{{2,4}}\)?(?:[ -]?(?!(?<!\d-){CARD}|{IP}|{DATE}|{SSN})\d{{2,4}}){{2,4}}(?!\d|\.\d)",
+    "card": CARD,
 }
 KINDS = tuple(PATTERNS)
 FIRST_DAY, DAYS_ROOT = "1900-01-01", 270

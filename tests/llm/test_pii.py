@@ -91,3 +91,19 @@ def test_odd_rows(spark):
     assert {r["text"] for r in got if r["doc_id"] in (1, 2)} == {""}
     assert len({f["pseudonym"] for r in got for f in r["findings"]}) == 1
     assert x.digest(x.pseudonymise(documents(spark, []), KEY)).count() == 0
+
+
+def test_adjacent_values(spark):
+    phone, card, ip = "+1 (826) 555-4081", "4111 1111 1111 1111", "190.137.223.204"
+    rows = [
+        (1, f"{phone} {ip}", [phone, ip]),
+        (2, "4111111111111111 5500000000000004", ["4111111111111111", "5500000000000004"]),
+        (3, f"2 {card}", [card]),
+        (4, f"{phone} {card} {card}", [phone, card, card]),
+        (5, f"{phone} 1999-12-31", [phone, "1999-12-31"]),
+        (6, f"{phone} 123-45-6789 {phone}", [phone, "123-45-6789", phone]),
+        (7, f"{card} 12", [card]),
+    ]
+    got = {r["doc_id"]: r for r in x.pseudonymise(documents(spark, [r[:2] for r in rows]), KEY).collect()}
+    assert {i: [f["value"] for f in got[i]["findings"]] for i, _, _ in rows} == {i: v for i, _, v in rows}
+    assert len({f["pseudonym"] for r in got.values() for f in r["findings"] if f["value"] == phone}) == 1
