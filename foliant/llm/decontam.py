@@ -1,21 +1,24 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame operations only.
 
-The index stores one posting (term, doc, position) per training token, and one posting of the empty term per document,
-whose position is the document's length. When the test set is known, only its terms are posted (`terms`); any other
-term can't take part in a match.
+The index stores one posting (term, doc, mark, pos) per training token. When the test set is known, it is read in parts:
+first the lists of the rarest terms, then those of the other terms, for the documents that may hold a match. A
+test set that changes often is matched against an index of all terms, built once (`build_index` without `terms`).
 
 Every run of ten test words is a window. Its terms are ranked by their frequency in the index. The list of the rarest
 term, moved by the term's offset, gives the possible starts; they are intersected with the moved list of the second
-rarest, with a slack: what lies within the slack is a proximity match, what lies at the exact place goes on to be
-intersected with the lists of all other terms. A start that all of them confirm is an exact phrase.
+rarest, with a slack. For what is left, the lists of all terms of the window are intersected at their places, again with the slack: a start
+whose terms all stand at their exact places is an exact phrase, one at which at least NEAR of the terms stand
+within the slack a proximity match. (A window that lost one of its two rarest terms there isn't looked at; its neighbours
+without the term are.) A window with terms that the index lacks can only be a proximity match.
 
 Postings of one position hold one term, so each intersection after the first is one row against at most one. The
-first joins on the term; windows are broadcast only if counted to be few, and otherwise Spark's skew join may split a
-frequent term.
+first joins on the term; windows are broadcast only if their bytes are counted to be few, and otherwise Spark's skew join may
+split a frequent term.
 
 Defined results: null has no words; a document without words has no hits; items without words or without item_id
-match nothing; items shorter than ten words are one window; equal items count each; rows that repeat a doc_id are told
-apart by their text, and full repeats each get the result; other columns are ignored.
+match nothing, and without any item nothing is hit; items shorter than ten words are one window; equal items count each; rows
+that repeat a doc_id are told apart by their text, and full repeats each get the result; a very long text is so many postings; an
+empty documents table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import body, lower_ascii, materialise, small_or_not
+from foliant.llm.common import body, lower_ascii, materialise, settled, small_or_not, text_digest
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Words that a term of a proximity match may stray from its place.
+#: Words that a term of a proximity match may stray from its place, and the share of terms that a proximity match needs.
 SLACK = 4
+NEAR = 0.8
 BUCKET = 16
 
 
@@ -37,18 +41,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
 
+def named_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, doc, mark, text): doc and mark name a text within the index."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    return rows.withColumn("doc", F.coalesce("doc_id", F.bitwise_not("mark"))).select("doc_id", "doc", "mark", "text")
+
+
+def postings(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc, mark, pos) of the tokens of named rows, or of those among `terms` (a small column `term`)."""
+    found = rows.select("doc", "mark", F.posexplode(words(F.col("text"))).alias("pos", "term")).select("term", "doc", "mark", "pos")
+    return found if terms is None else found.join(small_or_not(terms), "term", "left_semi")
+
+
 def build_index(docs: DataFrame, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """Postings (term, doc, mark, pos, doc_id). doc and mark name the row; doc_id is set on the length posting only."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.bitwise_not("mark")))
-    places = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("pos"))), F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    postings = rows.select("doc_id", "doc", "mark", F.explode(places).alias("p"))
-    postings = postings.select(F.col("p.term").alias("term"), "doc", "mark", F.col("p.pos").alias("pos"), F.when(F.col("p.term") == "", F.col("doc_id")).alias("doc_id"))
-    if terms is not None:
-        kept = materialise(terms.select("term").distinct().union(terms.sparkSession.range(1).select(F.lit("").alias("term"))), "terms")
-        postings = postings.join(small_or_not(kept, kept.count()), "term", "left_semi")
-    return postings
+    """The postings of a corpus, written to the shared folder."""
+    return materialise(postings(named_rows(docs, text), terms), "postings")
 
 
 def test_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -59,67 +66,102 @@ def test_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return runs.select(F.substring(F.unhex(F.sha2(F.array_join("words", " ").cast("binary"), 256)), 1, 16).alias("window"), "item_id", "words").distinct()
 
 
-def ranked_terms(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window, size, term, off, rank): terms of each window, rarest in the index first; windows with a term that
-    the index lacks are left out."""
+def term_counts(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, n): how often the corpus holds each term of the test set. Counts are summed before the shuffle."""
+    tokens = rows.select(F.explode(words(F.col("text"))).alias("term"))
+    return tokens.join(small_or_not(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked_terms(seen: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window, size, term, off, rank, missing): terms of each window that the index holds, the rarest first, and how many
+    it lacks."""
     terms = windows.select("window", "words").distinct().select("window", F.size("words").alias("size"), F.posexplode("words").alias("off", "term"))
-    seen = index.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    found = terms.join(seen, "term", "left")
-    by_rarity = Window.partitionBy("window").orderBy(F.col("n").asc_nulls_first(), "term", "off")
-    whole = Window.partitionBy("window")
-    ranked = found.withColumn("rank", F.row_number().over(by_rarity)).withColumn("missing", F.count(F.when(F.col("n").isNull(), 1)).over(whole))
-    return ranked.where("missing = 0").select("window", "size", "term", "off", "rank")
+    found = terms.join(small_or_not(seen), "term", "left")
+    by_rarity = Window.partitionBy("window").orderBy(F.col("n").asc_nulls_last(), "term", "off")
+    lacking = F.count(F.when(F.col("n").isNull(), 1)).over(Window.partitionBy("window"))
+    ranked = found.withColumn("rank", F.row_number().over(by_rarity)).withColumn("missing", lacking)
+    return ranked.where("n IS NOT NULL").select("window", "size", "term", "off", "rank", "missing")
 
 
-def matches(index: DataFrame, windows: DataFrame, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
-    """(exact, near): phrases (window, doc, mark, start, size), and proximity matches, which include the exact ones."""
-    ranked = materialise(ranked_terms(index, windows), "ranked")
-    few = ranked.count()
+def needed(size: Column, share: float = NEAR) -> Column:
+    """Terms that a proximity match of a window needs."""
+    return F.ceil(size * F.lit(share) - F.lit(1e-9))
 
-    def rank(of: Column) -> DataFrame:
-        return small_or_not(ranked.where(of), few)
 
+def first_starts(lists: DataFrame, ranked: DataFrame, slack: int = SLACK) -> DataFrame:
+    """(window, size, doc, mark, start): where the rarest term stands and the second rarest within the slack of its place."""
     r = F.col("rank")
-    starts = index.join(rank(r == 1), "term").select("window", "size", "doc", "mark", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    starts = starts.distinct()
+    starts = lists.join(small_or_not(ranked.where(r == 1)), "term").select("window", "size", "doc", "mark", (F.col("pos") - F.col("off")).alias("start"))
     single = starts.where("size = 1")
-    second = rank(r == 2).select("window", "term", "off")
-    near_buckets = F.array_distinct(F.transform(F.array(F.lit(-slack), F.lit(slack)), lambda d: F.floor((F.col("place") + d) / BUCKET)))
-    wanted = starts.join(second, "window").withColumn("place", F.col("start") + F.col("off"))
-    wanted = wanted.select("window", "size", "doc", "mark", "start", "place", "term", F.explode(near_buckets).alias("bucket"))
-    lists = index.join(rank(r == 2).select("term").distinct(), "term", "left_semi")
-    lists = lists.select("term", "doc", "mark", "pos", F.floor(F.col("pos") / BUCKET).alias("bucket"))
-    pairs = wanted.join(lists, ["term", "doc", "mark", "bucket"]).withColumn("stray", F.abs(F.col("pos") - F.col("place"))).where(F.col("stray") <= slack)
-    near = pairs.groupBy("window", "size", "doc", "mark", "start").agg(F.min("stray").alias("stray"))
-    near = materialise(near.unionByName(single.withColumn("stray", F.lit(0))), "near")
-
-    exact2 = near.where("stray = 0").drop("stray")
-    held = materialise(exact2.select("doc", "mark").distinct(), "held")
-    lists = index.where(F.col("term") != "").select("term", "doc", "mark", "pos").join(small_or_not(held, held.count()), ["doc", "mark"], "left_semi")
-    rest = rank(r > 2).select("window", "term", "off")
-    places = exact2.where("size > 2").join(rest, "window").select("window", "size", "doc", "mark", "start", "term", (F.col("start") + F.col("off")).alias("pos"))
-    agreed = places.join(lists, ["doc", "mark", "pos", "term"]).groupBy("window", "size", "doc", "mark", "start").agg(F.countDistinct("pos").alias("n"))
-    exact = agreed.where(F.col("n") == F.col("size") - 2).drop("n").unionByName(exact2.where("size <= 2"))
-    return exact, near
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WINDOW, slack: int = SLACK) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, n_near) of every row; items are the sorted ids of the items with occurring windows."""
+    second = ranked.where(r == 2)
+    wanted = starts.join(small_or_not(second.select("window", "term", "off")), "window").withColumn("place", F.col("start") + F.col("off"))
+    wanted = wanted.select("window", "size", "doc", "mark", "start", "place", "term", F.explode(near_buckets(F.col("place"), slack)).alias("bucket"))
+    others = lists.join(small_or_not(second.select("term").distinct()), "term", "left_semi")
+    others = others.select("term", "doc", "mark", "pos", bucket(F.col("pos")).alias("bucket"))
+    pairs = wanted.join(others, ["term", "doc", "mark", "bucket"]).where(F.abs(F.col("pos") - F.col("place")) <= slack)
+    return pairs.select("window", "size", "doc", "mark", "start").unionByName(single).distinct()
+
+
+def bucket(pos: Column) -> Column:
+    return F.floor(pos / BUCKET)
+
+
+def near_buckets(place: Column, slack: int) -> Column:
+    return F.array_distinct(F.array(bucket(place - slack), bucket(place + slack)))
+
+
+def confirmed(starts: DataFrame, lists: DataFrame, ranked: DataFrame, slack: int = SLACK) -> DataFrame:
+    """(window, size, doc, mark, start, exact): the starts that the lists of all their terms confirm as matches."""
+    asked = starts.join(small_or_not(ranked.select("window", "term", "off")), "window").withColumn("place", F.col("start") + F.col("off"))
+    asked = asked.select("window", "size", "doc", "mark", "start", "term", "off", "place", F.explode(near_buckets(F.col("place"), slack)).alias("bucket"))
+    held = lists.withColumn("bucket", bucket(F.col("pos")))
+    met = asked.join(held, ["doc", "mark", "bucket", "term"]).withColumn("stray", F.abs(F.col("pos") - F.col("place"))).where(F.col("stray") <= slack)
+    best = met.groupBy("window", "size", "doc", "mark", "start", "off").agg(F.min("stray").alias("stray"))
+    told = best.groupBy("window", "size", "doc", "mark", "start").agg(F.count(F.lit(1)).alias("close"), F.count(F.when(F.col("stray") == 0, 1)).alias("right"))
+    exact = F.col("right") == F.col("size")
+    return told.where(exact | (F.col("close") >= needed(F.col("size")))).withColumn("exact", exact).drop("close", "right")
+
+
+def matches(rows: DataFrame, windows: DataFrame, slack: int = SLACK, index: DataFrame | None = None) -> DataFrame:
+    """(window, size, doc, mark, start, exact) of the phrases and proximity matches in named rows. Lists come from an index of
+    all terms, if there is one; else those needed are built."""
+    vocabulary = materialise(windows.select(F.explode("words").alias("term")).distinct(), "terms")
+    seen = term_counts(rows, vocabulary) if index is None else index.join(small_or_not(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ranked_terms(materialise(seen, "counts"), windows)
+    ranked = materialise(ranked.where(F.col("size") - F.col("missing") >= needed(F.col("size"))), "ranked")
+
+    def lists(of: DataFrame, terms: DataFrame) -> DataFrame:
+        return postings(of, terms) if index is None else index.join(small_or_not(terms), "term", "left_semi")
+
+    rare = materialise(lists(rows, materialise(ranked.where("rank <= 2").select("term").distinct(), "rare")), "postings")
+    starts = materialise(first_starts(rare, ranked, slack), "starts")
+    held = materialise(starts.select("doc", "mark").distinct(), "held")
+    inside = rows.join(small_or_not(held), ["doc", "mark"], "left_semi")
+    rest = lists(inside, materialise(ranked.select("term").distinct(), "all-terms"))
+    if index is not None:
+        rest = rest.join(small_or_not(held), ["doc", "mark"], "left_semi")
+    return confirmed(starts, rest, ranked, slack)
+
+
+@settled("decontaminated")
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WINDOW, slack: int = SLACK, index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_sha256, n_words, n_hit, items, n_near) of every row; items are the sorted ids of the items with occurring windows,
+    n_near counts the windows with a proximity match but no exact one. `index` may be an index of all terms of docs."""
     windows = materialise(test_windows(items, width), "windows")
-    vocabulary = windows.select(F.explode("words").alias("term"))
-    index = materialise(build_index(docs, text, vocabulary), "postings")
-    exact, near = matches(index, windows, slack)
-    exact = materialise(exact, "exact")
+    found = materialise(matches(named_rows(docs, text), windows, slack, index), "matches")
+    exact = found.where("exact")
     covered = exact.select("doc", "mark", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos"))
     hits = covered.groupBy("doc", "mark").agg(F.countDistinct("pos").alias("n_hit"))
-    ids = windows.select("window", "item_id").distinct()
-    found = exact.join(small_or_not(ids, windows.count()), "window").groupBy("doc", "mark").agg(F.collect_set("item_id").alias("items"))
-    close = near.groupBy("doc", "mark").agg(F.countDistinct("window").alias("n_near"))
-    rows = index.where(F.col("term") == "").select("doc_id", "doc", "mark", F.col("pos").cast("long").alias("n_words"))
-    told = hits.join(found, ["doc", "mark"], "full").join(close, ["doc", "mark"], "full")
-    none = F.array().cast(dict(found.dtypes)["items"])
-    return rows.join(told, ["doc", "mark"], "left").select(
+    ids = materialise(windows.select("window", "item_id").distinct(), "ids")
+    named = exact.select("doc", "mark", "window").distinct().join(small_or_not(ids), "window").groupBy("doc", "mark").agg(F.collect_set("item_id").alias("items"))
+    each = found.groupBy("doc", "mark", "window").agg(F.max("exact").alias("exact"))
+    close = each.where("NOT exact").groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("n_near"))
+    told = materialise(hits.join(named, ["doc", "mark"], "full").join(close, ["doc", "mark"], "full"), "told")
+    rows = named_rows(docs, text).select("doc_id", "doc", "mark", text_digest(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    none = F.array().cast(dict(told.dtypes)["items"])
+    return rows.join(small_or_not(told), ["doc", "mark"], "left").select(
         "doc_id",
+        "text_sha256",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", none).alias("items"),
@@ -136,4 +178,5 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
     )

@@ -7,7 +7,8 @@ stays and the number of rows. New rows, grouped by digest first, are looked up i
 slot's 32 bytes equal the digest. Hits join the slot's group, the others form groups of their own.
 
 Defined results: a null text counts as empty; a null doc_id never wins against another; rows that repeat a doc_id and
-its text count once each in group_size and share one fate; an empty table gives no rows; other columns are ignored.
+its text count once each in group_size and share one fate; a very long text is no more than its digest; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body, materialise
+from foliant.llm.common import body, materialise, settled
 
 #: Digests of one shard: what a task holds at once when it builds or probes a hash.
 SHARD_KEYS = 4096
@@ -157,14 +158,14 @@ def lookup(index: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_lookup_shard, GROUP_SCHEMA)
 
 
-def exact_dedup(history: DataFrame, arrivals: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """Rows of both tables as (doc_id, keep_id, group_size, kept, text_sha256).
+@settled("exact-dedup")
+def dedup_rows(rows: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """Rows (doc_id, digest, old) as (doc_id, keep_id, group_size, kept, text_sha256); `old` tells the history.
 
     The largest doc_id of equal texts stays. The last join is on the digest; its right side has one row per
     digest, so Spark's skew join can split the partition of a digest with very many rows.
     """
-    parts = digests(history, text).withColumn("old", F.lit(True)).unionByName(digests(arrivals, text).withColumn("old", F.lit(False)))
-    rows = materialise(parts, "digests")
+    rows = materialise(rows, "digests")
     shards = max(1, -(-rows.count() // shard_keys))
     index = materialise(build_index(rows.where("old"), shards), "mph")
     groups = lookup(index, rows.where("NOT old"), shards)
@@ -177,9 +178,14 @@ def exact_dedup(history: DataFrame, arrivals: DataFrame, text: str = "text", sha
     )
 
 
-def split_at_middle(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One table as a history (ids up to the middle of their range) and the rows that arrive after it."""
+def exact_dedup(history: DataFrame, arrivals: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """dedup_rows() of a history and the rows that arrive after it."""
+    parts = digests(history, text).withColumn("old", F.lit(True)).unionByName(digests(arrivals, text).withColumn("old", F.lit(False)))
+    return dedup_rows(parts, shard_keys)
+
+
+def dedup_table(docs: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """dedup_rows() of one table, whose ids up to the middle of their range are the history. The text is read once."""
     ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = ((ends[0] or 0) + (ends[1] or 0)) // 2
-    old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
-    return docs.where(old), docs.where(~old)
+    return dedup_rows(digests(docs, text).withColumn("old", F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))), shard_keys)

@@ -14,7 +14,7 @@ of up to SHORT words are candidates if they share any such run, and no linked pa
 
 Equal texts are one node, named by their smallest doc_id. A bucket (equal triple) is compared with its least node first, which
 links the copies of a text without listing their pairs. A bucket that still spans several components is compared
-across them: the nodes outside its main component meet the others, block by block, and a pair is aligned unless lengths
+across them: the nodes outside its main component meet those of the same or a neighbouring band of lengths, block by block, and a pair is aligned unless lengths
 or histograms of words and word pairs already prove it dissimilar. So no candidate pair between different components
 goes untested, while a task holds two blocks whatever the size of the bucket. Components are joined by the least label, which is passed on
 and shortened until nothing changes, each round written to the shared folder.
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body, discard, materialise, small_or_not, worker_cache
+from foliant.llm.common import body, discard, materialise, settled, small_or_not, worker_cache
 
 WORD = re.compile(r"[^\W_]+")
 K = 2
@@ -195,23 +195,34 @@ def _near_diagonals(a: list[int], b: list[int], most: int) -> int:
 
 
 def _bit_columns(a: list[int], b: list[int], most: int) -> int:
-    """The same from columns of the alignment table kept as bits (rises and falls down a column); a column
-    whose last cell can no longer come down to most ends it."""
-    n, full = len(a), (1 << len(a)) - 1
+    """The same from columns of the alignment table, of which only the band of `most` rows above and below the diagonal is kept,
+    as bits (rises and falls down the band): bit t of column j is row j - most + t. Cells outside of the band count as
+    one more than their neighbours inside."""
+    n, m = len(a), len(b)
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    rise, fall, last, low = full, 0, n, 1 << (n - 1)
-    for j, y in enumerate(b):
-        equal = where.get(y, 0)
-        same = equal | fall
-        zero = (((equal & rise) + rise) ^ rise) | equal | fall
+    full, top = (1 << (2 * most + 1)) - 1, 1 << (2 * most)
+    rise, fall, row = full & ~((1 << most) - 1), 0, min(most, n)
+    last = row  # the value at (row, j), which follows the band's last row and then stays on row n
+    for j, y in enumerate(b, 1):
+        shift = j - most - 1
+        held = where.get(y, 0)
+        equal = (held >> shift if shift >= 0 else held << -shift) & full
+        zero = ((((equal & rise) + rise) ^ rise) | equal | fall) & full
         up, down = fall | ~(zero | rise) & full, rise & zero
-        last += 1 if up & low else -1 if down & low else 0
-        if last - (len(b) - 1 - j) > most:
-            return most + 1
-        up, down = (up << 1 | 1) & full, down << 1 & full
-        rise, fall = down | ~(same | up) & full, up & same
+        if j + most <= n:
+            row = j + most
+            last += not zero & top
+            if last - most + (n - m) > most:
+                return most + 1
+        else:
+            at = 1 << (n - j + most)
+            last += 1 if up & at else -1 if down & at else 0
+            if last - (m - j) > most:
+                return most + 1
+        up = (up << 1 | 1) & full
+        rise, fall = ((down << 1) & full | ~(zero | up) & full) >> 1 | top, (zero & up) >> 1
     return min(last, most + 1)
 
 
@@ -288,11 +299,11 @@ def _pairs_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -
     found = []
     if len(asked) and len(met):
         counts = np.frombuffer(b"".join(met["counts"]), np.uint8).reshape(len(met), -1).astype(np.int16)
-        keys, nodes, labels, sizes, main = (met[c].to_numpy() for c in ("key", "node", "label", "n_words", "main"))
-        for key, node, label, size, own in asked[["key", "node", "label", "n_words", "counts"]].itertuples(index=False):
+        keys, bands, nodes, labels, sizes, main = (met[c].to_numpy() for c in ("key", "band", "node", "label", "n_words", "main"))
+        for key, band, node, label, size, own in asked[["key", "band", "node", "label", "n_words", "counts"]].itertuples(index=False):
             most = ((1 - threshold) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
             off = np.abs(sizes - size)
-            some = np.flatnonzero((keys == key) & (labels != label) & (off <= most) & (main | (nodes > node)))
+            some = np.flatnonzero((keys == key) & (bands == band) & (labels != label) & (off <= most) & (main | (nodes > node)))
             apart = np.abs(counts[some] - np.frombuffer(own, np.uint8).astype(np.int16))
             single, double = apart[:, :HISTOGRAM].sum(axis=1), apart[:, HISTOGRAM:].sum(axis=1)
             some = some[(single + off[some] <= 2 * most[some]) & (double + off[some] <= 4 * most[some])]
@@ -301,30 +312,34 @@ def _pairs_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -
 
 
 def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of the buckets that hold several components: (key, node, label, main, n, outside), main for nodes of the
-    bucket's largest component, outside the number of the others."""
+    """Nodes of the buckets that hold several components: (key, node, label, main), main for nodes of the
+    bucket's largest component."""
     held = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     each = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    mixed = mixed.select("key", F.col("main.label").alias("main_label"), "n", (F.col("n") - F.col("main.n")).alias("outside"))
-    return held.join(mixed, "key").select("key", "node", "label", (F.col("label") == F.col("main_label")).alias("main"), "n", "outside")
+    mixed = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return held.join(mixed, "key").select("key", "node", "label", (F.col("label") == F.col("main.label")).alias("main"))
 
 
 def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links across components, from the buckets that hold several. The nodes outside a bucket's main component meet
-    the whole bucket, block by block, so a task holds two blocks whatever the size of the bucket; buckets of one block are taken together, about four blocks at a time."""
-    rows = mixed.join(texts.select("node", "n_words", "counts"), "node")
+    """Links across components, from the buckets that hold several. Nodes are told apart by bands of length first; those
+    outside a bucket's main component meet the nodes of their own and the two neighbouring bands, block by block, so a
+    task holds two blocks whatever the size of the bucket. Small groups are taken together, about four blocks at a time."""
+    band = F.floor(F.log(F.greatest("n_words", F.lit(1)) + F.lit(1e-9)) / F.log(F.lit(1 / threshold))).cast("int")
+    rows = materialise(mixed.join(texts.select("node", "n_words", "counts"), "node").withColumn("band", band), "banded")
+    asked = rows.where("NOT main").withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    met_sizes, asked_sizes = (x.groupBy("key", "band").agg(F.count(F.lit(1)).alias(n)) for x, n in ((rows, "n"), (asked, "outside")))
+    sizes = materialise(met_sizes.join(asked_sizes, ["key", "band"]), "bands")
 
     def blocks(of: str):
         return F.ceil(F.col(of) / BLOCK).cast("int")
 
-    own_asked, own_met = F.pmod(F.xxhash64("node"), blocks("outside")), F.pmod(F.xxhash64("node"), blocks("n"))
-    asked = rows.where("NOT main").withColumn("i", own_asked).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
-    met = rows.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outside") - 1))).withColumn("j", own_met)
-    packs = max(1, mixed.count() // (4 * BLOCK))
-    pack = F.when(F.col("n") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))
-    asked, met = (x.withColumn("small", F.col("n") <= BLOCK).withColumn("pack", pack) for x in (asked, met))
-    names = ("small", "pack", "i", "j", "key", "node", "label", "main", "n_words", "counts")
+    packs = max(1, sizes.count() * 4 // BLOCK)
+    small = F.greatest("n", "outside") <= BLOCK
+    sizes = sizes.select("key", "band", "n", "outside", small.alias("small"), F.when(small, F.pmod(F.xxhash64("key", "band"), F.lit(packs))).otherwise(F.xxhash64("key", "band")).alias("pack"))
+    asked, met = (x.join(sizes, ["key", "band"]) for x in (asked, rows))
+    asked = asked.withColumn("i", F.pmod(F.xxhash64("node"), blocks("outside"))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outside") - 1))).withColumn("j", F.pmod(F.xxhash64("node"), blocks("n")))
+    names = ("small", "pack", "i", "j", "key", "band", "node", "label", "main", "n_words", "counts")
     asked, met = (x.select([F.col(c).alias(c) for c in names]).groupBy("small", "pack", "i", "j") for x in (asked, met))
     pairs = asked.cogroup(met).applyInPandas(lambda a, b: _pairs_of_blocks(a, b, threshold), "a long, b long").distinct()
     return verify(materialise(pairs, "possible"), texts, threshold)
@@ -333,18 +348,19 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
 def fetch_words(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n_words, words, counts) of some nodes, one row each; the packed words are read for these alone."""
     needed = materialise(texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("digest").alias("of")), "needed")
-    needed = small_or_not(needed, needed.count())
+    needed = small_or_not(needed)
     found = rows.join(needed, (rows["doc_id"] == needed["node"]) & (rows["digest"] == needed["of"]))
     return materialise(found.select("node", "n_words", "words", "counts").dropDuplicates(["node"]), "words")
 
 
+@settled("near-dedup")
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, kept) of every row: the smallest doc_id of its class, and whether that is the row's own."""
+    """(doc_id, class_id, kept, text_sha256) of every row: the smallest doc_id of its class, and whether that is the row's own."""
     rows = materialise(sketch_rows(docs, text), "sketches")
     named = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     texts = named.where("node IS NOT NULL").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = materialise(texts, "texts")
-    one = small_or_not(texts, texts.count())
+    one = small_or_not(texts)
     keyed = rows.join(one, (rows["doc_id"] == one["node"]) & (rows["digest"] == one["digest"])).select("node", F.explode("buckets").alias("key"))
     keyed = keyed.repartition("key")
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
@@ -357,4 +373,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMI
     more = materialise(residual_links(mixed, words, threshold), "links")
     labels = components(edges.union(more))
     known = named.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
-    return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -17,7 +17,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(*exact_dedup.split_at_middle(table(spark, sf_dir, "documents")))
+    return exact_dedup.dedup_table(table(spark, sf_dir, "documents"))
 
 
 #: The SentencePiece model whose pieces the queries use; a parameter of the operator.
@@ -114,8 +114,26 @@ ORACLES = {
         covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
                     FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id),
         named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id),
+        terms AS (SELECT run, size, unnest(run) AS term, generate_subscripts(run, 1) AS place FROM (SELECT DISTINCT run, size FROM windows)),
+        posted AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tokens)
+                   WHERE term IN (SELECT term FROM terms)),
+        ranked AS (SELECT run, size, term, place, row_number() OVER (PARTITION BY run ORDER BY n, term, place) AS rank
+                   FROM terms JOIN (SELECT term, count(*) AS n FROM posted GROUP BY term) USING (term)),
+        starts AS (SELECT DISTINCT a.run, a.size, p.doc_id, p.pos - a.place AS s
+                   FROM ranked a JOIN posted p ON p.term = a.term JOIN ranked b ON b.run = a.run AND b.rank = least(2, a.size)
+                        JOIN posted q ON q.term = b.term AND q.doc_id = p.doc_id AND abs(q.pos - p.pos + a.place - b.place) <= 4
+                   WHERE a.rank = 1),
+        close AS (SELECT x.doc_id, x.run, x.size, x.s, count(DISTINCT r.place) AS n,
+                         count(DISTINCT r.place) FILTER (p.pos = x.s + r.place) AS n_right
+                  FROM starts x JOIN ranked r ON r.run = x.run
+                       JOIN posted p ON p.doc_id = x.doc_id AND p.term = r.term AND abs(p.pos - x.s - r.place) <= 4
+                  GROUP BY ALL),
+        strayed AS (SELECT doc_id, count(*) AS n_near
+                    FROM (SELECT doc_id, run, bool_or(n_right = size) AS right_place FROM close
+                          WHERE n_right = size OR n >= ceil(size * 0.8 - 1e-9) GROUP BY doc_id, run)
+                    WHERE NOT right_place GROUP BY doc_id)
         SELECT t.doc_id, len(t.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM tokens t LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM tokens t LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN strayed USING (doc_id)""",
 }

@@ -1,5 +1,8 @@
 """Toxicity by compression distance: one zstandard dictionary of toxic and one of ordinary text.
 
+The toxic dictionary is trained on the words that toxic documents have in excess, not on their running text: the README gives
+the figures of both. Only letters count; digits and signs are no part of a window.
+
 A window is one word with its borders, followed by a filler that both dictionaries hold, so that a match may start
 anywhere in the word. Its gain is the compressed length under the ordinary dictionary less that under the toxic one,
 which knows the ordinary text as well: ordinary words gain nothing, words of toxic text several bytes. A document
@@ -9,8 +12,9 @@ calibrates those counts to the probability of the label.
 Fitting reads a bounded sample: at most about `sample_rows` labelled rows, chosen by a hash of doc_id. Scoring reads
 every row and whole texts, in one narrow stage without a shuffle.
 
-Defined results: null and empty texts have no window and get the curve's value at zero; without labels of both kinds
-every score is the share of label 1 (0 without labels); repeated rows are scored each; other columns are never inputs.
+Defined results: null and empty texts have no window and get the curve's value at zero; a very long text is read whole, its
+windows counted one after the other; without labels of both kinds every score is the share of label 1 (0 without labels); an
+empty documents table gives no rows; repeated rows are scored each; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import body, hash_sample, worker_cache
+from foliant.llm.common import body, hash_sample, text_digest, worker_cache
 
 WORD = re.compile(r"[^\W\d_]+")
 FILLER = b"0123456789ABCDEFGHIJKLMNOP"
@@ -35,6 +39,8 @@ LEVEL = 6
 #: Gains, in bytes, at which windows are counted.
 THRESHOLDS = (1, 2, 3, 4, 5)
 FOLDS = 5
+#: Parts of the labelled sample that calibrate the curve, each by the dictionaries of the others.
+INNER = 5
 #: Distinct windows whose gain a Python worker remembers.
 CACHE_WINDOWS = 400_000
 
@@ -117,13 +123,13 @@ def _dictionaries(docs: list[tuple[list[str], int]], size: int, odds: float) ->
     strange = sorted((w for w in ratio if ratio[w] >= odds), key=lambda w: (-seen[1][w], w))
     toxic = [f" {w} ".encode() for w in strange for _ in range(seen[1][w])]
     toxic = [b"".join(toxic[i::len(toxic) // 3 + 1]) for i in range(len(toxic) // 3 + 1)]
-    ordinary = [f" {' '.join(words[i : i + 4])} ".encode() for words, toxic_ in docs if not toxic_ for i in range(0, len(words), 12)]
+    ordinary = [f" {' '.join(words[i : i + 4])} ".encode() for words, toxic_ in docs if not toxic_ for i in range(0, len(words), 4)]
     return _trained(ordinary, 4096), _trained(toxic, size)
 
 
 def fit_rows(rows: Iterable[tuple[str, int]], size: int = 4096, odds: float = 40.0) -> Model:
-    """The model of labelled texts. Two halves of the sample are scored by dictionaries of the other half to fit the
-    curve, since a dictionary knows its own samples too well; the dictionaries kept are those of the whole sample."""
+    """The model of labelled texts. Each of INNER parts of the sample is scored by dictionaries of the other parts to fit
+    the curve, since a dictionary knows its own samples too well; the dictionaries kept are those of the whole sample."""
     docs, known, shared = [], set(), {}
     for text, toxic in rows:
         mark = hash(text)
@@ -135,14 +141,14 @@ def fit_rows(rows: Iterable[tuple[str, int]], size: int = 4096, odds: float = 40
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
         return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (1 + 3 * len(THRESHOLDS))))
     x = np.zeros((len(docs), 2 + 3 * len(THRESHOLDS)))
-    for half in (0, 1):
-        other = docs[1 - half :: 2]
+    for part in range(INNER):
+        other = [d for i, d in enumerate(docs) if i % INNER != part]
         if 0 < sum(t for _, t in other) < len(other):
             ordinary, toxic = _dictionaries(other, size, odds)
         else:
             ordinary, toxic = _dictionaries(docs, size, odds)
         gains = Gains(Model(ordinary, toxic + ordinary, ()))
-        for i in range(half, len(docs), 2):
+        for i in range(part, len(docs), INNER):
             x[i] = features(docs[i][0], gains)
     ordinary, toxic = _dictionaries(docs, size, odds)
     return Model(ordinary, toxic + ordinary, tuple(_curve(x, y)))
@@ -172,15 +178,15 @@ def score_texts(texts: Iterable[str], model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
+    """(doc_id, held_out, score, predicted, text_sha256) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = score_texts(b.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
+                [b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), b.column("text_sha256")],
+                names=["doc_id", "held_out", "score", "predicted", "text_sha256"],
             )
 
-    inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), body(text).alias("text"))
-    return inputs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), body(text).alias("text"), text_digest(text))
+    return inputs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, text_sha256 string")

@@ -61,15 +61,29 @@ def test_against_brute_force(spark):
 def test_shuffled_and_broadcast_sides_agree(spark, monkeypatch):
     rows, items = fixture()
     tests = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(x, "small_or_not", lambda df, n: df)
+    monkeypatch.setattr(x, "small_or_not", lambda df: df)
     assert got(x.decontaminate(documents(spark, rows), tests)) == brute(rows, items)
 
 
 def test_proximity(spark):
     item = "zero one two three four five six seven eight nine"
-    docs = documents(spark, [(1, item), (2, item.replace("one two", "one extra two")), (3, "nothing of it")])
+    far = item.replace("five", "five" + " x" * 9)  # half of the terms have left their places
+    docs = documents(spark, [(1, item), (2, item.replace("one two", "one extra two")), (3, "seven, seven"), (4, item.replace("seven", "other")), (5, far)])
     found = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in x.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert found[1] == (10, 1) and found[2][0] == 0 and found[3] == (0, 0)
+    assert found == {1: (10, 0), 2: (0, 1), 3: (0, 0), 4: (0, 1), 5: (0, 0)}
+
+
+def test_terms_that_the_corpus_lacks(spark):
+    docs = documents(spark, [(1, "zero one two three four five six seven eight other")])
+    item = "zero one two three four five six seven eight nine"
+    assert [(r["n_hit"], r["n_near"]) for r in x.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [(0, 1)]
+
+
+def test_an_index_of_all_terms_serves_any_test_set(spark):
+    rows, items = fixture()
+    docs, tests = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    index = x.build_index(docs)
+    assert got(x.decontaminate(docs, tests, index=index)) == brute(rows, items)
 
 
 def test_empty_tables(spark):

@@ -61,9 +61,9 @@ def test_against_brute_force(spark):
     for cut in (0, 5, 100, 1000):  # all rows new, some of each, all historical
         old, new = df.where(f"doc_id <= {cut}"), df.where(f"doc_id > {cut} OR doc_id IS NULL")
         assert got(x.exact_dedup(old, new, shard_keys=4)) == brute(ROWS)
-    assert got(x.exact_dedup(*x.split_at_middle(df))) == brute(ROWS)
+    assert got(x.dedup_table(df)) == brute(ROWS)
 
 
 def test_empty(spark):
     df = documents(spark, [])
-    assert got(x.exact_dedup(*x.split_at_middle(df))) == []
+    assert got(x.dedup_table(df)) == []

@@ -102,7 +102,7 @@ def test_against_brute_force(spark):
 def test_one_text_that_most_rows_vary(spark, monkeypatch):
     """A hot group over several blocks, with the broadcasts turned off."""
     monkeypatch.setattr(x, "BLOCK", 8)
-    monkeypatch.setattr(x, "small_or_not", lambda df, n: df)
+    monkeypatch.setattr(x, "small_or_not", lambda df: df)
     rng = random.Random(4)
     base = [rng.choice(VOCABULARY) for _ in range(40)]
     rows = [(1000 + i, " ".join(edited(rng, base, i % 3))) for i in range(90)] + made(4, 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -64,6 +65,28 @@ def test_stages_return_the_columns_of_documents(spark, tables):
         assert stage(spark, docs, tables[0]).columns == docs.columns
 
 
+def test_rows_are_judged_by_id_and_text(spark):
+    rows = [(5, "a text of its own"), (5, "b text"), (7, "a text of its own"), (8, "twice"), (8, "twice"), (None, "no id"), (None, "no id"), (None, None), (9, "")]
+    left = corpus_pipeline.drop_exact_copies(spark, documents(spark, rows), "")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(5, "b text"), (7, "a text of its own"), (8, "twice"), (None, "no id"), (9, "")], key=repr)
+
+
+def test_each_stage_leaves_little_behind(spark, tables):
+    root = corpus_pipeline.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    corpus_pipeline.run(spark, tables[0])
+    assert len(set(os.listdir(root)) - before) == 1, "only the result stays"
+
+
+def test_no_labels_and_no_items(spark, tables, tmp_path):
+    spark.read.parquet(f"{tables[0]}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tables[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_empty_documents(spark, tables, tmp_path):
     spark.read.parquet(f"{tables[0]}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
