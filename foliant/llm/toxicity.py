@@ -40,7 +40,7 @@ LEVEL = 6
 THRESHOLDS = (1, 2, 3, 4, 5)
 FOLDS = 5
 #: Parts of the labelled sample that calibrate the curve, each by the dictionaries of the others.
-INNER = 5
+INNER = 3
 #: Distinct windows whose gain a Python worker remembers.
 CACHE_WINDOWS = 400_000
 
@@ -92,7 +92,7 @@ def features(words: list[str], gains: Gains) -> np.ndarray:
 def _trained(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; too few samples to train on are the dictionary themselves."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=50, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[:size]
 
@@ -110,21 +110,31 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) ->
     return w
 
 
-def _dictionaries(docs: list[tuple[list[str], int]], size: int, odds: float) -> tuple[bytes, bytes]:
+@dataclass
+class Part:
+    """Documents of the sample with what the dictionaries need of them."""
+
+    docs: list[tuple[list[str], int]]
+
+    def __post_init__(self) -> None:
+        self.seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for words, toxic in self.docs:
+            self.seen[toxic].update(set(words))
+        self.rows = [sum(t == kind for _, t in self.docs) for kind in (0, 1)]
+        self.ordinary = [f" {' '.join(words[i : i + 4])} ".encode() for words, toxic in self.docs if not toxic for i in range(0, len(words), 4)]
+
+
+def _dictionaries(parts: list[Part], size: int, odds: float) -> tuple[bytes, bytes]:
     """Trained contents. Toxic samples are the windows over-represented in toxic documents, as often as they occur
     there; ordinary samples are runs of four words of ordinary documents."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    rows = [0, 0]
-    for words, toxic in docs:
-        rows[toxic] += 1
-        seen[toxic].update(set(words))
+    seen = [sum((p.seen[kind] for p in parts), Counter()) for kind in (0, 1)]
+    rows = [sum(p.rows[kind] for p in parts) for kind in (0, 1)]
     sure = {w: k - math.sqrt(k) for w, k in seen[1].items() if k >= 2}  # a count less its own spread
     ratio = {w: (k / rows[1]) / ((seen[0][w] + 0.5) / rows[0]) for w, k in sure.items()}
     strange = sorted((w for w in ratio if ratio[w] >= odds), key=lambda w: (-seen[1][w], w))
     toxic = [f" {w} ".encode() for w in strange for _ in range(seen[1][w])]
     toxic = [b"".join(toxic[i::len(toxic) // 3 + 1]) for i in range(len(toxic) // 3 + 1)]
-    ordinary = [f" {' '.join(words[i : i + 4])} ".encode() for words, toxic_ in docs if not toxic_ for i in range(0, len(words), 4)]
-    return _trained(ordinary, 4096), _trained(toxic, size)
+    return _trained([x for p in parts for x in p.ordinary], 4096), _trained(toxic, size)
 
 
 def fit_rows(rows: Iterable[tuple[str, int]], size: int = 4096, odds: float = 40.0) -> Model:
@@ -141,16 +151,15 @@ def fit_rows(rows: Iterable[tuple[str, int]], size: int = 4096, odds: float = 40
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
         return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (1 + 3 * len(THRESHOLDS))))
     x = np.zeros((len(docs), 2 + 3 * len(THRESHOLDS)))
-    for part in range(INNER):
-        other = [d for i, d in enumerate(docs) if i % INNER != part]
-        if 0 < sum(t for _, t in other) < len(other):
-            ordinary, toxic = _dictionaries(other, size, odds)
-        else:
-            ordinary, toxic = _dictionaries(docs, size, odds)
+    parts = [Part(docs[i::INNER]) for i in range(INNER)]
+    for i, part in enumerate(parts):
+        others = parts[:i] + parts[i + 1 :]
+        mixed = all(sum(p.rows[kind] for p in others) for kind in (0, 1))
+        ordinary, toxic = _dictionaries(others if mixed else parts, size, odds)
         gains = Gains(Model(ordinary, toxic + ordinary, ()))
-        for i in range(part, len(docs), INNER):
-            x[i] = features(docs[i][0], gains)
-    ordinary, toxic = _dictionaries(docs, size, odds)
+        for k, (words, _) in enumerate(part.docs):
+            x[i + k * INNER] = features(words, gains)
+    ordinary, toxic = _dictionaries(parts, size, odds)
     return Model(ordinary, toxic + ordinary, tuple(_curve(x, y)))
 
 
