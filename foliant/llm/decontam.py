@@ -1,6 +1,6 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame operations only.
 
-The index stores one posting (term, doc, mark, pos) per training token. When the test set is known, it is read in parts:
+The index stores one posting (term, doc, mark, pos) per training token, and one of the empty term per document. When the test set is known, it is read in parts:
 first the lists of the rarest terms, then those of the other terms, for the documents that may hold a match. A
 test set that changes often is matched against an index of all terms, built once (`build_index` without `terms`).
 
@@ -48,8 +48,14 @@ def named_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def postings(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, doc, mark, pos) of the tokens of named rows, or of those among `terms` (a small column `term`)."""
-    found = rows.select("doc", "mark", F.posexplode(words(F.col("text"))).alias("pos", "term")).select("term", "doc", "mark", "pos")
+    """(term, doc, mark, pos, doc_id, text_sha256) of the tokens of named rows, or of those among `terms` (a small column `term`).
+    One posting of the empty term per row has the number of words as its position, and the row's name."""
+    rows = rows.select("doc_id", "doc", "mark", text_digest(), words(F.col("text")).alias("w"))
+    none = F.lit(None).cast("string").alias("text_sha256")
+    length = F.struct(F.lit("").alias("term"), F.size("w").alias("pos"), F.col("doc_id"), F.col("text_sha256"))
+    tokens = F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("pos"), F.lit(None).cast("long").alias("doc_id"), none))
+    found = rows.select("doc", "mark", F.explode(F.concat(F.array(length), tokens)).alias("p"))
+    found = found.select(F.col("p.term").alias("term"), "doc", "mark", F.col("p.pos").alias("pos"), F.col("p.doc_id").alias("doc_id"), F.col("p.text_sha256").alias("text_sha256"))
     return found if terms is None else found.join(small_or_not(terms), "term", "left_semi")
 
 
@@ -122,9 +128,9 @@ def confirmed(starts: DataFrame, lists: DataFrame, ranked: DataFrame, slack: int
     return told.where(exact | (F.col("close") >= needed(F.col("size")))).withColumn("exact", exact).drop("close", "right")
 
 
-def matches(rows: DataFrame, windows: DataFrame, slack: int = SLACK, index: DataFrame | None = None) -> DataFrame:
-    """(window, size, doc, mark, start, exact) of the phrases and proximity matches in named rows. Lists come from an index of
-    all terms, if there is one; else those needed are built."""
+def matches(rows: DataFrame, windows: DataFrame, slack: int = SLACK, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(window, size, doc, mark, start, exact) of the phrases and proximity matches in named rows, and the rows' length
+    postings. Lists come from an index of all terms, if there is one; else those needed are built."""
     vocabulary = materialise(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     seen = term_counts(rows, vocabulary) if index is None else index.join(small_or_not(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     ranked = ranked_terms(materialise(seen, "counts"), windows)
@@ -133,14 +139,16 @@ def matches(rows: DataFrame, windows: DataFrame, slack: int = SLACK, index: Data
     def lists(of: DataFrame, terms: DataFrame) -> DataFrame:
         return postings(of, terms) if index is None else index.join(small_or_not(terms), "term", "left_semi")
 
-    rare = materialise(lists(rows, materialise(ranked.where("rank <= 2").select("term").distinct(), "rare")), "postings")
+    least = ranked.where("rank <= 2").select("term").union(rows.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    posted = materialise(lists(rows, materialise(least, "rare")), "postings")
+    rare = posted.where("term <> ''").select("term", "doc", "mark", "pos")
     starts = materialise(first_starts(rare, ranked, slack), "starts")
     held = materialise(starts.select("doc", "mark").distinct(), "held")
     inside = rows.join(small_or_not(held), ["doc", "mark"], "left_semi")
     rest = lists(inside, materialise(ranked.select("term").distinct(), "all-terms"))
     if index is not None:
         rest = rest.join(small_or_not(held), ["doc", "mark"], "left_semi")
-    return confirmed(starts, rest, ranked, slack)
+    return confirmed(starts, rest.select("term", "doc", "mark", "pos"), ranked, slack), posted.where("term = ''")
 
 
 @settled("decontaminated")
@@ -148,7 +156,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", width:
     """(doc_id, text_sha256, n_words, n_hit, items, n_near) of every row; items are the sorted ids of the items with occurring windows,
     n_near counts the windows with a proximity match but no exact one. `index` may be an index of all terms of docs."""
     windows = materialise(test_windows(items, width), "windows")
-    found = materialise(matches(named_rows(docs, text), windows, slack, index), "matches")
+    found, lengths = matches(named_rows(docs, text), windows, slack, index)
+    found = materialise(found, "matches")
     exact = found.where("exact")
     covered = exact.select("doc", "mark", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos"))
     hits = covered.groupBy("doc", "mark").agg(F.countDistinct("pos").alias("n_hit"))
@@ -157,7 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", width:
     each = found.groupBy("doc", "mark", "window").agg(F.max("exact").alias("exact"))
     close = each.where("NOT exact").groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("n_near"))
     told = materialise(hits.join(named, ["doc", "mark"], "full").join(close, ["doc", "mark"], "full"), "told")
-    rows = named_rows(docs, text).select("doc_id", "doc", "mark", text_digest(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    rows = lengths.select("doc_id", "doc", "mark", "text_sha256", F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast(dict(told.dtypes)["items"])
     return rows.join(small_or_not(told), ["doc", "mark"], "left").select(
         "doc_id",
