@@ -147,30 +147,36 @@ def histogram(words: np.ndarray) -> bytes:
 
 
 def sketch_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, digest, n_words, words, counts, buckets): words as packed 32-bit hashes, counts their histogram."""
+    """(doc_id, digest, buckets) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                hashes = [word_hashes(t) for t in part.column("text").to_pylist()]
-                short = [h.astype(np.uint32) for h in hashes]
-                keys = [sketch(h) for h in hashes]
+                keys = [sketch(word_hashes(t)) for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("digest"),
-                        pa.array([len(h) for h in hashes], pa.int64()),
-                        pa.array([h.tobytes() for h in short], pa.binary()),
-                        pa.array([histogram(h) for h in short], pa.binary()),
-                        pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *keys])),
-                    ],
-                    names=["doc_id", "digest", "n_words", "words", "counts", "buckets"],
-                )
-
-    inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(body(text).cast("binary"), 256)).alias("digest"), body(text).alias("text"))
-    return inputs.mapInArrow(run, "doc_id long, digest binary, n_words long, words binary, counts binary, buckets array<long>")
+                lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *keys]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), lists], names=["doc_id", "digest", "buckets"])
+
+    return named_texts(docs, text).mapInArrow(run, "doc_id long, digest binary, buckets array<long>")
+
+
+def named_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(body(text).cast("binary"), 256)).alias("digest"), body(text).alias("text"))
+
+
+def word_rows(texts: DataFrame) -> DataFrame:
+    """(node, n_words, words, counts) of (node, text): words as packed 32-bit hashes, counts their histogram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                short = [word_hashes(t).astype(np.uint32) for t in part.column("text").to_pylist()]
+                columns = [pa.array([len(h) for h in short], pa.int64()), pa.array([h.tobytes() for h in short], pa.binary()), pa.array([histogram(h) for h in short], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *columns], names=["node", "n_words", "words", "counts"])
+
+    return texts.mapInArrow(run, "node long, n_words long, words binary, counts binary")
 
 
 def _near_diagonals(a: list[int], b: list[int], most: int) -> int:
@@ -345,12 +351,14 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
     return verify(materialise(pairs, "possible"), texts, threshold)
 
 
-def fetch_words(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n_words, words, counts) of some nodes, one row each; the packed words are read for these alone."""
+def fetch_words(docs: DataFrame, texts: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
+    """(node, n_words, words, counts) of some nodes, one row each; only their texts are taken to words."""
     needed = materialise(texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("digest").alias("of")), "needed")
-    needed = small_or_not(needed)
-    found = rows.join(needed, (rows["doc_id"] == needed["node"]) & (rows["digest"] == needed["of"]))
-    return materialise(found.select("node", "n_words", "words", "counts").dropDuplicates(["node"]), "words")
+    one = small_or_not(needed)
+    rows = named_texts(docs, text)
+    found = rows.join(one, (rows["doc_id"] == one["node"]) & (rows["digest"] == one["of"]))
+    words = materialise(word_rows(found.select("node", "text")), "words")
+    return words if words.count() == needed.count() else materialise(words.dropDuplicates(["node"]), "words")
 
 
 @settled("near-dedup")
@@ -366,7 +374,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMI
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     buckets = materialise(keyed.join(shared, "key").select("key", "node", "a").distinct(), "buckets")
     pairs = materialise(buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    words = fetch_words(rows, texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    words = fetch_words(docs, texts, pairs.select(F.explode(F.array("a", "b")).alias("node")), text)
     edges = materialise(verify(pairs, words, threshold), "edges")
     labels = components(edges)
     mixed = materialise(mixed_buckets(buckets, labels), "mixed")
