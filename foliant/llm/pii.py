@@ -10,7 +10,9 @@ the value (check digits are computed anew), different values stay different, and
 Each document is one row of a narrow stage: what lies between candidates is kept as it is.
 
 Defined results: null and empty texts stay empty with no findings; invalid candidates stay and don't count; dates
-outside of the 72,900 days from 1900-01-01 stay; repeated rows are treated each; other columns are ignored.
+outside of the 72,900 days from 1900-01-01 stay, and so do dates with the month's name; 03/04/2020 counts as a day of April, 12/31/1999 as
+one of December; very long texts are one row each, matched without backtracking over their length; an empty table gives no rows; repeated
+rows are treated each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,20 +29,30 @@ DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = DIGITS + LETTERS + LETTERS.upper()
 
-#: An unbroken run or the usual groups with one separator, so that neighbours don't chain.
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
+#: An unbroken run or the usual groups with one separator. A chain of groups of four is searched for its first valid cards.
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}(?!\d|-\d)){3,}+|\d{4}(?:-\d{4}(?!\d)){3,}+|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)"
+DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 
+# Lengths of account numbers by country, of the public IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+# The country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^\+(?:\d{1,3}(?=[ (-])|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 # Patterns of the kinds, in order of preference. No group of a phone number starts another value.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "iban": rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])",
     "ip": IP,
     "date": DATE,
     "ssn": SSN,
-    "phone": rf"(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}[ -]?\(?\d{{2,4}}\)?(?:[ -]?(?!(?<!\d-){CARD}|{IP}|{DATE}|{SSN})\d{{2,4}}){{2,4}}(?!\d|\.\d)",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}[ -]?\(?\d{{2,4}}\)?(?:[ -]?(?!(?<!\d-){CARD}|{IP}|{DATE}|{SSN})\d{{2,4}}){{2,4}}(?!\d|\.\d)|(?<![\p{{L}}\p{{N}}+-])(?:\([2-9]\d{{2}}\) ?|[2-9]\d{{2}}[-.])[2-9]\d{{2}}[-.]\d{{4}}(?![\d-]|\.\d)",
     "card": CARD,
 }
 KINDS = tuple(PATTERNS)
@@ -72,7 +84,8 @@ def permute_pair(x: Column, y: Column, mx: int, my: int, key: str, kind: str) ->
 
 
 def permute_symbols(s: Column, alphabet: str, key: str, kind: str) -> Column:
-    """A keyed permutation of the strings of one length over an alphabet."""
+    """A keyed permutation of the strings of one length over an alphabet; a single symbol is moved by a keyed step, so that
+    none stays as it is (of longer strings, one on average does)."""
 
     def step(p: Column, r: Column) -> Column:
         def add(word: Column) -> Column:
@@ -84,9 +97,11 @@ def permute_symbols(s: Column, alphabet: str, key: str, kind: str) -> Column:
         return F.struct(p["y"].alias("x"), _let(word, add).alias("y"))
 
     def walk(codes: Column) -> Column:
+        alone = F.conv(F.substring(_round(key, kind, F.lit(0), F.lit("")), 1, 8), 16, 10).cast("long") % (len(alphabet) - 1) + 1
         half = F.floor(F.size(codes) / 2).cast("int")
         start = F.struct(F.slice(codes, F.lit(1), half).alias("x"), F.slice(codes, half + 1, F.size(codes) + 1).alias("y"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda p: F.concat(p["x"], p["y"]))
+        mixed = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda p: F.concat(p["x"], p["y"]))
+        return F.when(F.size(codes) == 1, F.transform(codes, lambda c: F.pmod(c + alone, F.lit(len(alphabet))).cast("int"))).otherwise(mixed)
 
     codes = F.transform(_chars(s), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("int"))
     return F.array_join(F.transform(_let(codes, walk), lambda c: F.substring(F.lit(alphabet), c + 1, F.lit(1))), "")
@@ -120,13 +135,43 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, n: F.pmod(a * F.when(n > 9, F.lit(100)).otherwise(F.lit(10)) + n, F.lit(97)))
 
 
+def _valid_card(digits: Column) -> Column:
+    return F.pmod(_luhn(digits), F.lit(10)) == 0
+
+
+def _fresh_card(digits: Column, key: str) -> Column:
+    payload = permute_symbols(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
+    check = lambda p: F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(p, F.lit("0"))), F.lit(10)), F.lit(10))
+    return _let(payload, lambda p: F.concat(p, check(p).cast("string")))
+
+
 def _card(x: Column, key: str) -> Column:
-    def fresh(digits: Column) -> Column:
-        payload = permute_symbols(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
-        check = lambda p: F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(p, F.lit("0"))), F.lit(10)), F.lit(10))
-        return F.when(F.pmod(_luhn(digits), F.lit(10)) == 0, _refill(x, _let(payload, lambda p: F.concat(p, check(p).cast("string"))), "0-9"))
+    """One card, or a chain of groups of four in which each first valid run of four groups is a card."""
+
+    def one(digits: Column) -> Column:
+        return F.when(_valid_card(digits), _refill(x, _fresh_card(digits, key), "0-9"))
+
+    def chain(groups: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"), F.lit(False).alias("hit"))
+
+        def step(s: Column, i: Column) -> Column:
+            def told(digits: Column) -> Column:
+                right = (s["skip"] == 0) & (F.length(digits) == 16) & _valid_card(digits)
+                card = lambda d: F.array(*[F.substring(d, at, 4) for at in (1, 5, 9, 13)])
+                added = F.when(s["skip"] > 0, F.array().cast("array<string>")).when(right, _let(_fresh_card(digits, key), card)).otherwise(F.slice(groups, i, F.lit(1)))
+                skip = F.when(s["skip"] > 0, s["skip"] - 1).when(right, F.lit(3)).otherwise(F.lit(0))
+                return F.struct(F.concat(s["out"], added).alias("out"), skip.alias("skip"), (s["hit"] | right).alias("hit"))
 
-    return _let(F.regexp_replace(x, "[^0-9]", ""), fresh)
+            return _let(F.array_join(F.slice(groups, i, F.lit(4)), ""), told)
+
+        done = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
+        return _let(done, lambda d: F.when(d["hit"], F.array_join(d["out"], " ")))
+
+    def chained(sep: str) -> Column:
+        return F.translate(_let(F.split(x, sep), chain), " ", sep)
+
+    kind = [x.rlike(rf"^\d{{4}}(?:{sep}\d{{4}}){{3,}}$") for sep in (" ", "-")]
+    return F.when(kind[0], chained(" ")).when(kind[1], chained("-")).otherwise(_let(F.regexp_replace(x, "[^0-9]", ""), one))
 
 
 def _iban(x: Column, key: str) -> Column:
@@ -150,13 +195,15 @@ def _ip(x: Column, key: str) -> Column:
 
 
 def _date(x: Column, key: str) -> Column:
-    iso = x.rlike("^[0-9]{4}-")
-    day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(x, "./", "--"), "dd-MM-yyyy"))
+    plain = F.translate(x, "./", "--")
+    iso = x.rlike("^[0-9]{4}")
+    day_first = F.try_to_date(plain, "dd-MM-yyyy")
+    day = F.when(iso, F.try_to_date(plain, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, F.try_to_date(plain, "MM-dd-yyyy")))
 
     def fresh(n: Column) -> Column:
         new = permute_pair(F.floor(n / DAYS_ROOT), n % DAYS_ROOT, DAYS_ROOT, DAYS_ROOT, key, "date")
         moved = _let(new, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS_ROOT + p["y"]).cast("int")))
-        digits = _let(moved, lambda d: F.when(iso, F.date_format(d, "yyyyMMdd")).otherwise(F.date_format(d, "ddMMyyyy")))
+        digits = _let(moved, lambda d: F.when(iso, F.date_format(d, "yyyyMMdd")).when(day_first.isNotNull(), F.date_format(d, "ddMMyyyy")).otherwise(F.date_format(d, "MMddyyyy")))
         return F.when((n >= 0) & (n < DAYS_ROOT * DAYS_ROOT), _refill(x, digits, "0-9"))
 
     return _let(F.datediff(day, F.lit(FIRST_DAY).cast("date")), fresh)
@@ -181,7 +228,7 @@ def _phone(x: Column, key: str) -> Column:
         digits = F.regexp_replace(rest, "[^0-9]", "")
         return F.when(F.length(digits).between(7, 14), F.concat(code, _refill(rest, permute_symbols(digits, DIGITS, key, "phone"), "0-9")))
 
-    return _let(F.regexp_extract(x, r"^\+[0-9]+", 0), fresh)
+    return _let(F.regexp_extract(x, COUNTRY_CODE, 0), fresh)
 
 
 def _email(x: Column, key: str) -> Column:
@@ -218,10 +265,28 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.select(
         "doc_id",
         F.when(F.size("made") == 0, F.col("text")).otherwise(woven).alias("text"),
-        F.filter("made", lambda f: f["pseudonym"].isNotNull()).alias("findings"),
+        F.flatten(F.transform(F.filter("made", lambda f: f["pseudonym"].isNotNull()), _each_card)).alias("findings"),
     )
 
 
+def _each_card(f: Column) -> Column:
+    """The findings of a finding: a chain of groups may hold several cards."""
+    def listed(groups: Column) -> Column:
+        none = F.array(F.struct(f["kind"].alias("kind"), f["value"].alias("value"), f["pseudonym"].alias("pseudonym")))
+        start = F.struct(F.slice(none, 1, 0).alias("out"), F.lit(0).alias("skip"))
+
+        def step(s: Column, i: Column) -> Column:
+            right = (s["skip"] == 0) & (i + 3 <= F.size(groups)) & _valid_card(F.array_join(F.slice(groups, i, F.lit(4)), ""))
+            cut = [F.substring(f[c], (i - 1) * 5 + 1, F.lit(19)).alias(c) for c in ("value", "pseudonym")]
+            out = F.when(right, F.concat(s["out"], F.array(F.struct(f["kind"].alias("kind"), *cut)))).otherwise(s["out"])
+            return F.struct(out.alias("out"), F.when(right, F.lit(3)).otherwise(F.greatest(s["skip"] - 1, F.lit(0))).alias("skip"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: s["out"])
+
+    chained = (f["kind"] == "card") & (F.length(f["value"]) > 19) & f["value"].rlike("^\\d{4}[ -]")
+    return F.when(chained, _let(F.split(F.translate(f["value"], "-", " "), " "), listed)).otherwise(F.array(f))
+
+
 def _is(kind: str):
     return lambda f: f["kind"] == kind
 
