@@ -7,10 +7,14 @@ innermost one) is kept whole, and so is a parent whose other children hold no fu
 kept with those siblings that score well beside it or are plain running text. From the kept nodes, blocks that belong to the page rather than the article are dropped: menus,
 headers, footers, sidebars, notices, adverts, forms, comments. A headed page keeps its h1 if it leads the container.
 
+Within an article or main element, a header's headings stay, and a name that may stand on furniture as well as on a part of the article
+(notice, tools, side) drops only what isn't running text; elsewhere such names drop the block.
+
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined in page order
 by one space. Nothing is capped; a page is one row of a narrow stage.
 
-Defined results: null and empty html give the empty text; without any paragraph, the loose text of the best block is
+Defined results: null and empty html give the empty text; a very long or broken page takes time in proportion to its length; an empty table
+gives no rows; without any paragraph, the loose text of the best block is
 taken, and the body's own text when nothing scores; ties go to the container that comes first; repeated rows are
 extracted each; other columns are ignored.
 """
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +32,14 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import body
 
+#: A tag without its end takes the rest of the page, so no part of a page is read again for another start.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
+    r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
     re.S,
 )
+#: Deeper elements are laid beside each other at this depth, as browsers do; their text stays.
+DEPTH = 512
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -    　]+")
 
@@ -61,15 +69,19 @@ OFF = re.compile(
     r"sponsor\w*|subscribe|subscription|tags?|taboola|toolbar|tools|widgets?|alert|disclaimer|login|signup|search)(?:$|[\s_\d-])",
     re.I,
 )
+#: Names that also stand on parts of an article: there, running text of this many characters with few links stays.
+SOFT = re.compile(r"(?:^|[\s_-])(?:byline|foot|header|masthead|notices?|side|skip|tags?|toolbar|tools|widgets?|alert|disclaimer|search)(?:$|[\s_\d-])", re.I)
+RUNNING = 240
 GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 ROLES_OFF = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "parts", "up", "score", "hidden")
+    __slots__ = ("tag", "names", "role", "parts", "up", "score", "hidden", "depth")
 
     def __init__(self, tag: str, up: Node | None, attrs: str = "") -> None:
         self.tag, self.up, self.names, self.role, self.hidden = tag, up, "", "", False
+        self.depth = up.depth + 1 if up else 0
         self.parts: list[Node | str] = []
         self.score = 0.0
         if attrs and not attrs.isspace():
@@ -92,8 +104,11 @@ class Node:
 
 
 def parse(page: str) -> Node:
+    """The tree. Walks up are at most DEPTH steps, and none for an end tag without its start, so the time is linear."""
     root = Node("#page", None)
     here, at, size = root, 0, len(page)
+    opened: Counter = Counter()  # start tags by name that had no end tag yet
+
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
@@ -108,6 +123,9 @@ def parse(page: str) -> Node:
             continue
         tag = m["tag"].lower()
         if m["end"]:
+            if not opened[tag]:
+                continue
+            opened[tag] -= 1
             node = here
             while node is not root and node.tag != tag:
                 if tag not in BLOCK and node.tag in BLOCK:  # an inline end tag doesn't close a block
@@ -139,15 +157,42 @@ def parse(page: str) -> Node:
         node = Node(tag, here, m["attrs"])
         here.parts.append(node)
         if tag not in VOID and not m["attrs"].endswith("/"):
-            here = node
+            opened[tag] += 1
+            if node.depth < DEPTH:
+                here = node
     return root
 
 
 def off_page(node: Node) -> bool:
     """Whether a node is the page's furniture rather than part of an article."""
+    if node.tag == "header" and not node.hidden and _in_article(node):
+        return False
     if node.tag in DROPPED or node.hidden or node.role in ROLES_OFF:
         return True
-    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and bool(OFF.search(node.names))
+    if not node.names or node.tag in ("html", "body", "article", "main") or not OFF.search(node.names):
+        return False
+    return not (_in_article(node) and not OFF.search(SOFT.sub(" ", node.names)) and _runs(node))
+
+
+def _in_article(node: Node) -> bool:
+    up = node.up
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.up
+    return up is not None
+
+
+def _runs(node: Node) -> bool:
+    """Whether a node holds running text rather than short labels or links."""
+    chars = links = 0
+    stack: list[tuple[Node | str, bool]] = [(p, node.tag == "a") for p in node.parts]
+    while stack:
+        part, linked = stack.pop()
+        if isinstance(part, str):
+            size = len(SPACE.sub(" ", part).strip())
+            chars, links = chars + size, links + size * linked
+        else:
+            stack += [(p, linked or part.tag == "a") for p in part.parts]
+    return chars >= RUNNING and links <= 0.2 * chars
 
 
 def blocks(node: Node, keep_all: bool = False) -> list[str]:
@@ -174,7 +219,8 @@ def blocks(node: Node, keep_all: bool = False) -> list[str]:
             if part.tag in BLOCK:
                 flush()
                 stack.append(None)
-            stack.extend(reversed(part.parts))
+            inner = part.parts if part.tag != "header" or keep_all else [n for n in part.elements() if n.tag in ("h1", "h2", "h3", "h4")]
+            stack.extend(reversed(inner))
     flush()
     return out
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
 from foliant.llm import html_extract as x
@@ -66,3 +69,65 @@ KEPT = " ".join([P1] * 20)
 )
 def test_nested_sections_are_whole(page, text):
     assert x.extract(FRAME.format(page)) == text
+
+
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        (f"<header><h1>Head</h1><span>Share this</span></header>{LONG}", f"Head {KEPT}"),
+        (f"{LONG}<div class=tools>{LONG}</div>", f"{KEPT} {KEPT}"),
+        (f"{LONG}<div class=tools><a href=/p>Print</a> Save</div>", KEPT),
+        (f"{LONG}<section class=left-side>{LONG}</section>", f"{KEPT} {KEPT}"),
+        (f"{LONG}<section class='side ads'>{LONG}</section>", KEPT),
+        (f"{LONG}<div class=comments>{LONG}</div>", KEPT),
+        (f"{LONG}<p class=alert>Mind the cookies</p>", KEPT),
+    ],
+)
+def test_names_of_furniture_in_an_article(inside, text):
+    assert x.extract(FRAME.format(f"<article>{inside}</article>")) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<b>x</i>", "<div>", "<b>", "<i><div></i>", "<li>", "<td>", "<a href='", '<a href="x', "<p><b>", "<!-- ", "</b>", "<ul><li><b>"])
+def test_time_is_linear_in_broken_pages(unit):
+    def seconds(n: int) -> float:
+        page, began = unit * n + "text", time.perf_counter()
+        x.extract(page)
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
+
+
+def made_page(rng):
+    """A page of known parts, and the text of those that belong to the article."""
+
+    def sentence():
+        return " ".join(rng.choice(["stone", "river", "of", "the", "and", "walks", "green", "över", "naïve"]) for _ in range(rng.randint(6, 25))).capitalize() + rng.choice([".", ", or not.", "?"])
+
+    kept, inner = [], []
+    for _ in range(rng.randint(3, 12)):
+        kind = rng.random()
+        text = " ".join(sentence() for _ in range(rng.randint(1, 4)))
+        if kind < 0.6:
+            inner.append(f"<p>{text}" + "</p>" * rng.randint(0, 1))
+            kept.append(text)
+        elif kind < 0.7:
+            inner.append(f"<blockquote><p>{text}</p></blockquote>")
+            kept.append(text)
+        elif kind < 0.8:
+            inner.append(f"<ul><li>{text}</ul>")
+            kept.append(text)
+        elif kind < 0.9:
+            inner.append(f"<div class='{rng.choice(['ad', 'share', 'related', 'newsletter'])}'><p>{text}</p></div>")
+        else:
+            inner.append(f"<script>{text}</script><style>{text}</style><!-- {text} -->")
+    inner.insert(0, f"<p>{P1}</p>")
+    kept.insert(0, P1)
+    return FRAME.format(f"<{'article'}><h1>Head line</h1>{''.join(inner)}</article><aside><p>{P2}</p></aside><div class=comments><p>{P2}</p></div>"), " ".join(["Head line", *kept])
+
+
+def test_labelled_pages():
+    """Exact text of 200 pages built from labelled parts."""
+    rng = random.Random(8)
+    pages = [made_page(rng) for _ in range(200)]
+    assert [x.extract(p) for p, _ in pages] == [t for _, t in pages]
