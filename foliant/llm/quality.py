@@ -6,7 +6,7 @@ the power of the labellers, whatever the corpus, so their counts fit on the driv
 pattern is the weak label. A linear scorer over hashed token shapes and pairs of neighbouring shapes is fitted to the weak labels
 of a bounded, hash-chosen sample (`sample_rows`) and scores every document from its whole text.
 
-Defined results: null and empty texts have the votes of an empty text and a score; with no rows nothing is returned; one
+Defined results: null and empty texts have the votes of an empty text and a score; a very long text is read whole; with no rows nothing is returned; one
 vote pattern alone leaves its majority vote as the label; repeated rows are scored each; other columns are ignored.
 """
 
@@ -121,7 +121,7 @@ class Shapes(dict):
             shape = run.sub(sign, shape)
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        self[token] = h = xxhash.xxh3_64_intdigest(shape[:24]) % SIZE
+        self[token] = h = xxhash.xxh3_64_intdigest(shape) % SIZE
         return h
 
 
