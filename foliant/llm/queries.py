@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.digest(spiece.encode(table(spark, sf_dir, "documents"), PIECES, decoded=True))
 
 
-#: The key of the pseudonyms; whoever publishes a corpus sets their own.
-KEY = os.environ.get("FOLIANT_PSEUDONYM_KEY", "foliant")
+#: The key of the pseudonyms. Without one of the user's, each process draws its own: values stay linked within a run only.
+KEY = os.environ.get("FOLIANT_PSEUDONYM_KEY") or token_hex(32)
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

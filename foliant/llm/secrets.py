@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-The base patterns (assign, access, hex) report their matches as they stand. Besides, every other run of key characters
-is scored: the log-likelihood of its character pairs under a model of random strings less that under a model of
+The base patterns (assign, access, hex) report their matches as they stand. Besides, every other run of 16 or more key characters
+(shorter ones tell too little) is scored: the log-likelihood of its character pairs under a model of random strings less that under a model of
 ordinary identifiers, per character. Runs above the calibrated threshold are added as spans of kind `markov`; plain
 numbers are left to the scan for personal data.
 
@@ -10,13 +10,15 @@ patterns match is random, words and identifiers outside of matches are ordinary;
 alphabets join the random side, so that a corpus without secrets trains a usable model. Scanning is one narrow stage
 over every row and whole texts.
 
-Defined results: null and empty texts have no spans (the digest of the empty text); repeated rows are scanned each;
+Defined results: null and empty texts have no spans (the digest of the empty text); a very long text is scanned whole; an empty table
+gives no rows; repeated rows are scanned each;
 spans count code points, ends exclusive; ties of start order as assign, access, hex, markov.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -77,12 +79,12 @@ def _score(ratio: np.ndarray, token: str) -> float:
     return float(ratio[c[:-1], c[1:]].mean())
 
 
-def _model(tokens: list[str]) -> np.ndarray:
+def _model(tokens: Counter) -> np.ndarray:
     """Log probabilities of the next character, smoothed by a quarter of a count."""
     counts = np.full((SYMBOLS, SYMBOLS), 0.25)
-    for token in tokens:
+    for token, n in tokens.items():
         c = _encode(token)
-        np.add.at(counts, (c[:-1], c[1:]), 1)
+        np.add.at(counts, (c[:-1], c[1:]), n)
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -98,21 +100,19 @@ def _covered(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
     return any(s < end and start < e for s, _, e in spans)
 
 
-def train(texts: Iterable[str], seed: int = 7, drawn: int = 400, most: int = 200_000) -> Markov:
-    """Fit both models and place the threshold between the scores of their own samples."""
+def train(texts: Iterable[str], seed: int = 7, drawn: int = 400) -> Markov:
+    """Fit both models on all of the texts and place the threshold between the scores of their own samples."""
     rng = np.random.default_rng(seed)
-    random, ordinary = [], []
+    random, ordinary = Counter(), Counter()
     for text in texts:
         spans = base_spans(text)
-        random += [text[s:e] for s, kind, e in spans if kind]
-        random += [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 16]
-        if len(ordinary) < most:
-            ordinary += [m[0] for m in WORD.finditer(text) if not _covered(spans, *m.span())]
-    drawn_strings = ["".join(rng.choice(list(a), size=int(rng.integers(16, 65)))) for a in ALPHABETS for _ in range(drawn)]
-    own = random[:most]
-    ratio = _model(own + drawn_strings) - _model(ordinary[:most])
-    high = np.array([_score(ratio, t) for t in drawn_strings])
-    low = np.array([_score(ratio, t) for t in dict.fromkeys(ordinary[:most]) if len(t) >= 10] or [0.0])
+        random.update(text[s:e] for s, kind, e in spans if kind)
+        random.update(m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 16)
+        ordinary.update(m[0] for m in WORD.finditer(text) if not _covered(spans, *m.span()))
+    strings = ["".join(rng.choice(list(a), size=int(rng.integers(16, 65)))) for a in ALPHABETS for _ in range(drawn)]
+    ratio = _model(random + Counter(strings)) - _model(ordinary)
+    high = np.array([_score(ratio, t) for t in strings])
+    low = np.array([_score(ratio, t) for t in ordinary if len(t) >= 10] or [0.0])
     bar = max(0.0, (np.quantile(high, 0.02) + np.quantile(low, 0.999)) / 2)
     return Markov(ratio.tobytes(), float(max(bar, low.max() * 0.9 if low.max() < np.quantile(high, 0.1) else bar)))
 
