@@ -152,7 +152,7 @@ def _card(x: Column, key: str) -> Column:
         return F.when(_valid_card(digits), _refill(x, _fresh_card(digits, key), "0-9"))
 
     def chain(groups: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"), F.lit(False).alias("hit"))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
 
         def step(s: Column, i: Column) -> Column:
             def told(digits: Column) -> Column:
@@ -160,12 +160,13 @@ def _card(x: Column, key: str) -> Column:
                 card = lambda d: F.array(*[F.substring(d, at, 4) for at in (1, 5, 9, 13)])
                 added = F.when(s["skip"] > 0, F.array().cast("array<string>")).when(right, _let(_fresh_card(digits, key), card)).otherwise(F.slice(groups, i, F.lit(1)))
                 skip = F.when(s["skip"] > 0, s["skip"] - 1).when(right, F.lit(3)).otherwise(F.lit(0))
-                return F.struct(F.concat(s["out"], added).alias("out"), skip.alias("skip"), (s["hit"] | right).alias("hit"))
+                return F.struct(F.concat(s["out"], added).alias("out"), skip.alias("skip"))
 
             return _let(F.array_join(F.slice(groups, i, F.lit(4)), ""), told)
 
         done = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
-        return _let(done, lambda d: F.when(d["hit"], F.array_join(d["out"], " ")))
+        any_card = F.exists(F.sequence(F.lit(1), F.size(groups) - 3), lambda i: _valid_card(F.array_join(F.slice(groups, i, F.lit(4)), "")))
+        return F.when(any_card, _let(done, lambda d: F.array_join(d["out"], " ")))
 
     def chained(sep: str) -> Column:
         return F.translate(_let(F.split(x, sep), chain), " ", sep)
