@@ -348,7 +348,9 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
     names = ("small", "pack", "i", "j", "key", "band", "node", "label", "main", "n_words", "counts")
     asked, met = (x.select([F.col(c).alias(c) for c in names]).groupBy("small", "pack", "i", "j") for x in (asked, met))
     pairs = asked.cogroup(met).applyInPandas(lambda a, b: _pairs_of_blocks(a, b, threshold), "a long, b long").distinct()
-    return verify(materialise(pairs, "possible"), texts, threshold)
+    pairs = materialise(pairs, "possible")
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    return verify(pairs, texts.join(small_or_not(asked), "node", "left_semi"), threshold)
 
 
 def fetch_words(docs: DataFrame, texts: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
