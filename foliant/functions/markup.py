@@ -32,21 +32,36 @@ class Element:
     def __init__(self, tag: str, attrs: dict[str, str], up: Element | None) -> None:
         self.tag, self.attrs, self.up, self.parts = tag, attrs, up, []
 
-    def walk(self) -> Iterator[Element]:
-        for p in list(self.parts):
+    def _below(self) -> Iterator[Element | str]:
+        """Elements and texts below in page order, however deep."""
+        stack = [*reversed(self.parts)]
+        while stack:
+            p = stack.pop()
+            yield p
             if isinstance(p, Element):
-                yield p
-                yield from p.walk()
+                stack.extend(reversed(p.parts))
+
+    def walk(self) -> Iterator[Element]:
+        return (p for p in self._below() if isinstance(p, Element))
 
     def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+        return "".join(p for p in self._below() if isinstance(p, str))
 
     def inner(self) -> str:
-        return "".join(entities.escape(p, quote=False) if isinstance(p, str) else p.outer() for p in self.parts)
-
-    def outer(self) -> str:
-        attrs = "".join(f' {k}="{entities.escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" if self.tag in VOID else f"<{self.tag}{attrs}>{self.inner()}</{self.tag}>"
+        out: list[str] = []
+        stack: list[Element | str | tuple[str]] = [*reversed(self.parts)]
+        while stack:
+            p = stack.pop()
+            if isinstance(p, tuple):
+                out.append(p[0])
+            elif isinstance(p, str):
+                out.append(entities.escape(p, quote=False))
+            else:
+                attrs = "".join(f' {k}="{entities.escape(v)}"' for k, v in p.attrs.items())
+                out.append(f"<{p.tag}{attrs}>")
+                if p.tag not in VOID:
+                    stack += [(f"</{p.tag}>",), *reversed(p.parts)]
+        return "".join(out)
 
     def remove(self) -> None:
         self.up.parts = [p for p in self.up.parts if p is not self]
@@ -220,11 +235,11 @@ def _regex(page: str, pattern: str, flags: int = re.I) -> list[re.Match]:
     return list(re.finditer(pattern, page[:500_000], flags)) if usable_regex(pattern) else []
 
 
-def one(page: str | None, kind: str, value: str) -> str:
+def one(page: str | None, kind: str, value: str, root: Element | None = None) -> str:
     """A single field: a regex's first whole match; an attribute of the first element, else the text of all."""
     if kind == "regex":
         return next((m[0] for m in _regex(page or "", value)), "")
-    found, attribute, text = _elements(parse(page), kind, value)
+    found, attribute, text = _elements(root or parse(page), kind, value)
     if not found:
         return ""
     whole = "".join(e.text() for e in found).strip()
@@ -238,18 +253,18 @@ def one(page: str | None, kind: str, value: str) -> str:
     return whole
 
 
-def many(page: str | None, kind: str, value: str) -> list[str]:
+def many(page: str | None, kind: str, value: str, root: Element | None = None) -> list[str]:
     """All values: whole matches, or of each element its link, its source or its text."""
     if kind == "regex":
         return [m[0] for m in _regex(page or "", value)]
-    found, attribute, text = _elements(parse(page), kind, value)
+    found, attribute, text = _elements(root or parse(page), kind, value)
     pick = (lambda e: e.text().strip()) if text else (lambda e: e.attrs.get(attribute)) if attribute else (lambda e: e.attrs.get("href") or e.attrs.get("src") or e.text().strip())
     return [v for v in map(pick, found) if v]
 
 
-def links(page: str | None, base: str | None, list_: tuple[str, str], link: tuple[str, str], title: tuple[str, str]) -> list[dict[str, str]]:
+def links(page: str | None, base: str | None, list_: tuple[str, str], link: tuple[str, str], title: tuple[str, str], root: Element | None = None) -> list[dict[str, str]]:
     """(title, url) per list element; what the element lacks is looked up in the page; a regex gives its group 1."""
-    root = parse(page)
+    root = root or parse(page)
     rows = select(root, "body") if list_[0] == "regex" else _elements(root, *list_)[0]
 
     def within(row: Element, kind: str, value: str, attribute: str | None) -> str:
@@ -269,6 +284,26 @@ def links(page: str | None, base: str | None, list_: tuple[str, str], link: tupl
     return out
 
 
+# Fixed words on links to the next page.
+NEXT_WORDS = ("下一页", "next")
+
+
+def next_link(page: str | None, base: str | None, how: str, selector: str, page_no: int, root: Element | None = None) -> str:
+    """The address of the page after page_no (from 0), '' without one. `next` takes the first element of the selector; `page` the
+    first that shows the next number, else the first that says so in words or as '>'."""
+    try:
+        found = select(root or parse(page), selector)
+    except ValueError:
+        return ""
+    if how == "page":
+        numbered = [e for e in found if str(page_no + 2) in e.text()]
+        found = numbered or [e for e in found if (t := e.text().strip()) == ">" or any(w in t for w in NEXT_WORDS)]
+    elif how != "next":
+        return ""
+    href = found[0].attrs.get("href", "") if found else ""
+    return _resolve(base, href) if href else ""
+
+
 def clean(page: str | None, remove_ads: bool = True, ad_patterns: tuple[str, ...] = (), removals: tuple[str, ...] = ()) -> str:
     """The text without scripts, adverts and removed elements; the line-wise part is left to Columns."""
     root = parse(page)
@@ -309,6 +344,37 @@ def link_rows(column, base, list_: tuple[str, str], link: tuple[str, str], title
     return run(column, base)
 
 
+def rule_fields(column, base, fields: dict[str, tuple[str, str]], lists: dict[str, tuple[tuple[str, str], ...]] | None = None):
+    """All fields and link lists of a rule as one struct; a page is parsed once. fields: name to (kind, value); lists: name to the
+    selectors of the list, the link and the title."""
+    lists = lists or {}
+    kinds = [f"{n}:string" for n in fields] + [f"{n}:array<struct<title:string,url:string>>" for n in lists]
+
+    @F.pandas_udf(f"struct<{','.join(kinds)}>")
+    def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, b in zip(pages, bases, strict=True):
+            root = parse(p)
+            rows.append({n: one(p, *s, root) for n, s in fields.items()} | {n: links(p, b, *s, root=root) for n, s in lists.items()})
+        return pd.DataFrame(rows, columns=[*fields, *lists])
+
+    return run(column, base)
+
+
+def page_step(column, base, page_no, items: tuple[str, str], how: str | None, selector: str):
+    """struct<items, next_url> of a list page: its values and the address of the page after it."""
+
+    @F.pandas_udf("struct<items:array<string>,next_url:string>")
+    def run(pages: pd.Series, bases: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, b, n in zip(pages, bases, numbers, strict=True):
+            root = parse(p)
+            rows.append((many(p, *items, root), next_link(p, b, how, selector, int(n), root) if how else ""))
+        return pd.DataFrame(rows, columns=["items", "next_url"])
+
+    return run(column, base, page_no)
+
+
 def plain_text(column, remove_ads: bool = True, ad_patterns: tuple[str, ...] = (), removals: tuple[str, ...] = ()):
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:

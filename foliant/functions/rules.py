@@ -94,6 +94,20 @@ def stage_progress(stage: Column, done: Column, total: Column) -> Column:
     return progress(F.coalesce(at, F.lit(0.0)))
 
 
+# The labels of the three states.
+STATUS_LABELS = {"ongoing": "连载中", "completed": "已完结", "hiatus": "暂停"}
+
+
+def label(code: Column, labels: dict[str, str] = STATUS_LABELS) -> Column:
+    """The label of a code; unknown codes are their own."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[code], code)
+
+
+def in_domain(code: Column, domain) -> Column:
+    """Whether a code is one of the allowed; null isn't."""
+    return F.coalesce(code.isin(*domain), F.lit(False))
+
+
 def only_if(flag: Column, value: Column) -> Column:
     return F.when(flag, value)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "[\\s\\u00a0\\u3000\\ufeff]"
@@ -64,6 +66,12 @@ def usable_regex(pattern: str) -> bool:
         re.compile(pattern)
     except re.error:
         return False
+    session = SparkSession.getActiveSession()
+    if session is not None:  # on the driver, where the expression goes to the JVM's own engine
+        try:
+            session._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JError, PySparkException):
+            return False
     return True
 
 
@@ -141,6 +149,16 @@ def page_title(html: Column) -> Column:
     return ws_trim(F.regexp_replace(inner, "<[^>]+>", ""))
 
 
+def contains_lower(c: Column, part: str) -> Column:
+    """Whether a text holds a part, in either case."""
+    return F.lower(c).contains(part.lower())
+
+
+def prefixed(prefix: str, key: Column) -> Column:
+    """An id with its kind in front."""
+    return F.concat(F.lit(f"{prefix}_"), key.cast("string"))
+
+
 def has_text(c: Column) -> Column:
     return F.length(ws_trim(F.coalesce(c, F.lit("")))) > 0
 

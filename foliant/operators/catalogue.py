@@ -159,3 +159,22 @@ def page_strip(page: int, last: int) -> list[int | None]:
         return list(range(1, last + 1))
     shown = sorted({1, last, *(p for p in (page - 1, page, page + 1) if 1 <= p <= last)})
     return [x for a, b in zip(shown, [*shown[1:], None], strict=True) for x in ([a] if b is None or b == a + 1 else [a, None])]
+
+
+def limited(df: DataFrame, limit: str | int | None, *order: Column, default: int = 20, most: int = 100) -> DataFrame:
+    """The first rows by a limit that a user gave: a whole number from 1 to `most`, else the default."""
+    try:
+        n = int(limit)
+    except (TypeError, ValueError):
+        n = default
+    return df.orderBy(*order).limit(min(max(n or default, 1), most))
+
+
+def filled(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a value in every column."""
+    return df.dropna(subset=list(columns))
+
+
+def seeded(spark, seeds: list[dict], schema: str, stored: DataFrame, key: str) -> DataFrame:
+    """The rows of a fixed seed list that a table lacks by key."""
+    return spark.createDataFrame([tuple(s.get(f.split()[0]) for f in schema.split(", ")) for s in seeds], schema).join(stored.select(key), key, "left_anti")

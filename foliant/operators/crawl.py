@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions.markup import page_step
 from foliant.operators.queue import first_seen
 from foliant.runtime import checkpointed
 
@@ -31,6 +32,28 @@ def follow_pages(starts: DataFrame, pages: DataFrame, most: int | None = None) -
     return reduce(DataFrame.unionByName, [s.select("start", "url", "page_no") for s in steps])
 
 
+def read_lists(starts: DataFrame, pages: DataFrame, items: tuple[str, str], how: str | None, selector: str = "", most: int | None = None) -> DataFrame:
+    """(start, url, page_no, items, n_new) of the list pages (url, html) that each start leads to: items are the values of a selector
+    (kind, value), n_new how many the chain hadn't seen. It ends without a next page, at a page seen before, after a later page
+    with nothing new, or after `most` pages (1 by default, at most 100). All chains advance together, one join a step."""
+    most = min(most or 1, MOST_PAGES)
+    held = pages.groupBy("url").agg(F.max("html").alias("html"))
+    none = F.array().cast("array<string>")
+    ahead = starts.select(F.col("url").alias("start"), "url", none.alias("visited"), none.alias("seen"))
+    steps = []
+    for n in range(most):
+        got = ahead.join(held, "url").withColumn("page_no", F.lit(n))
+        got = got.withColumn("step", page_step(F.col("html"), F.col("url"), F.col("page_no"), items, how, selector)).drop("html")
+        fresh = F.array_except(F.filter("step.items", lambda i: i != ""), F.col("seen"))
+        steps.append(checkpointed(got.withColumn("fresh", fresh)))
+        ahead = steps[-1].where((F.size("fresh") > 0) | (F.col("page_no") == 0)).where(F.col("step.next_url") != "")
+        ahead = ahead.select("start", F.col("step.next_url").alias("url"), F.array_append("visited", F.col("url")).alias("visited"), F.concat("seen", "fresh").alias("seen"))
+        ahead = ahead.where(~F.array_contains("visited", F.col("url")))
+        if n + 1 < most and ahead.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, [s.select("start", "url", "page_no", F.col("step.items").alias("items"), F.size("fresh").cast("long").alias("n_new")) for s in steps])
+
+
 def number_chapters(links: DataFrame, book: str, page: str, position: str) -> DataFrame:
     """Links over several pages, each address once, numbered from 1 in reading order; a blank title is named after its number."""
     once = first_seen(links, [book, "url"], F.col(page), F.col(position))

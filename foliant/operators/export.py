@@ -93,6 +93,6 @@ def every_nth(rows: DataFrame, parent: str, order: list[str], n: int) -> DataFra
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(parent).orderBy(*order)) % n == 0)
 
 
-def write_texts(exported: DataFrame, folder: str) -> None:
-    """Exported books as text files, a folder for each file name."""
-    exported.select("file_name", "text").write.mode("append").partitionBy("file_name").text(folder)
+def write_texts(exported: DataFrame, folder: str, key: str) -> None:
+    """Exported books as text files, a folder for each key and file name, so that equal names stay apart."""
+    exported.select(key, "file_name", "text").write.mode("append").partitionBy(key, "file_name").text(folder)

@@ -124,8 +124,7 @@ def selector_suggestions(spark, d):
 @query("SELECT page_id, length(html) > 50000 AS truncated, length(substring(html, 1, 50000)) AS n_chars FROM pages")
 def page_preview(spark, d):
     pages = table(spark, d, "pages")
-    shown = sources.preview(pages).join(pages.select("url", "page_id"), "url")
-    return shown.select("page_id", "truncated", F.length("html").cast("long").alias("n_chars"))
+    return sources.preview(pages).select("page_id", "truncated", F.length("html").cast("long").alias("n_chars"))
 
 
 _HOSTS = ("http://127.0.0.1/a", "http://10.1.2.3/", "https://example.com/x", "http://169.254.169.254/latest", "ftp://example.com/", "http://localhost:80/", "http://a.local/", "http://0x7f.0.0.1/", "http://2130706433/", "http://[::1]/", "https://x.nip.io/", "http://192.168.1.1/", "http://8.8.8.8/", "http://172.20.0.1/", "http://172.32.0.1/")
@@ -154,8 +153,8 @@ def paginated_chain(spark, d):
 def stored_source(spark, d):
     pages = table(spark, d, "pages")
     sources.register_source("stored", sources.stored_pages(pages))
-    found = sources.source("no such source")(spark, pages.select("url"))
-    return found.join(pages.select("url", "page_id"), "url").select("page_id", "url", F.col("status_code").cast("int").alias("status_code"))
+    found = sources.source("no such source")(spark, pages.select("page_id", "url"))
+    return found.select("page_id", "url", F.col("status_code").cast("int").alias("status_code"))
 
 
 _EVENTS = limits.Events("user_id", "ts", "event_id", "event_type")

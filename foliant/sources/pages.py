@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html import escape
+from json import dumps, loads
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from foliant.functions.text import cut, escape_html, page_title
+from foliant.functions.text import escape_html, page_title
 from foliant.functions.urls import is_safe_url
 
 PAGE = "url string, html string, final_url string, status_code int"
@@ -19,7 +22,7 @@ DEFAULT = "stored"
 
 
 def register_source(name: str, read: Callable[[SparkSession, DataFrame], DataFrame]) -> None:
-    """A source turns rows (url) into rows of PAGE."""
+    """A source turns rows with a url into rows of PAGE, one each, with their other columns."""
     _SOURCES[name] = read
 
 
@@ -32,11 +35,12 @@ def source_names() -> list[str]:
 
 
 def stored_pages(pages: DataFrame) -> Callable[[SparkSession, DataFrame], DataFrame]:
-    """The pages of a table (url, html); addresses that aren't safe are not looked up."""
+    """The pages of a table (url, html), of several of one address the greatest; addresses that aren't safe are not looked up."""
 
     def read(spark: SparkSession, urls: DataFrame) -> DataFrame:
-        found = urls.where(is_safe_url(F.col("url"))).join(pages.select("url", "html"), "url", "left")
-        return found.select("url", "html", F.col("url").alias("final_url"), F.when(F.col("html").isNull(), 404).otherwise(200).alias("status_code"))
+        held = pages.groupBy("url").agg(F.max("html").alias("html"))
+        found = urls.where(is_safe_url(F.col("url"))).join(held, "url", "left")
+        return found.select(*urls.columns, "html", F.col("url").alias("final_url"), F.when(F.col("html").isNull(), 404).otherwise(200).alias("status_code"))
 
     return read
 
@@ -76,8 +80,9 @@ class _Reader(DataSourceReader):
 
 
 def preview(pages: DataFrame, most: int = 50_000) -> DataFrame:
-    """(url, title, html, truncated): pages cut for display."""
-    return pages.select("url", page_title(F.col("html")).alias("title"), F.substring("html", 1, most).alias("html"), (F.length("html") > most).alias("truncated"))
+    """Pages cut for display, with title and truncated, other columns as they are."""
+    others = [c for c in pages.columns if c not in ("title", "html", "truncated")]
+    return pages.select(*others, page_title(F.col("html")).alias("title"), F.substring("html", 1, most).alias("html"), (F.length("html") > most).alias("truncated"))
 
 
 def record_html(fields):
@@ -95,17 +100,72 @@ def provider_page(body):
 
 def json_depth_ok(json, most: int = 20, bytes_: int = 1_000_000):
     """Whether a body is under the byte limit and nested no deeper than allowed, brackets in strings aside."""
-    bare = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', "")
+    json = F.when(F.octet_length(json) <= bytes_, json)
+    bare = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
     depth = F.aggregate(
         F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)),
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
         lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["top"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("top")),
     )
-    return (F.octet_length(json) <= bytes_) & (depth["top"] <= most)
-
-
-def log_messages(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("message", cut(F.col("message"), 500))
+    return F.coalesce(depth["top"] <= most, F.lit(False))
+
+
+def json_keys_ok(json, most: int = 1000):
+    """Whether no object of a body has more keys than allowed; false for what isn't JSON."""
+
+    def fits(body: str | None) -> bool:
+        try:
+            stack = [loads(body or "")]
+        except (ValueError, RecursionError):
+            return False
+        while stack:
+            value = stack.pop()
+            if isinstance(value, dict):
+                if len(value) > most:
+                    return False
+                stack.extend(value.values())
+            elif isinstance(value, list):
+                stack.extend(value)
+        return True
+
+    @F.pandas_udf("boolean")
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(fits)
+
+    return run(json)
+
+
+def nested_record_html(json):
+    """A JSON record as a page: texts as blocks of their field, lists a block for each item, objects their fields as spans;
+    nulls and bare numbers of the top level are left out, values escaped."""
+
+    def spans(record: dict) -> str:
+        return " ".join(f'<span data-field="{k}">{_shown(v)}</span>' for k, v in record.items() if v is not None)
+
+    def page(body: str | None) -> str | None:
+        try:
+            record = loads(body or "")
+        except ValueError:
+            return None
+        blocks = []
+        for key, value in record.items() if isinstance(record, dict) else ():
+            for item in value if isinstance(value, list) else [value]:
+                if isinstance(item, str):
+                    blocks.append(f'<div data-field="{key}">{escape(item)}</div>')
+                elif isinstance(item, dict):
+                    mark = ' data-item="true"' if isinstance(value, list) else ""
+                    blocks.append(f'<div data-field="{key}"{mark}>{spans(item)}</div>')
+        return "<html><body>" + "\n".join(blocks) + "</body></html>"
+
+    @F.pandas_udf("string")
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(page)
+
+    return run(json)
+
+
+def _shown(value) -> str:
+    return escape(value if isinstance(value, str) else dumps(value))
 
 
 def probe(spark: SparkSession) -> DataFrame:

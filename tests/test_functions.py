@@ -147,3 +147,40 @@ def test_page_sources(spark):
     with pytest.raises(Exception, match="fetch"):
         spark.dataSource.register(sources.FetchedPages)
         spark.read.format("fetched_pages").option("urls", "http://a/").load().collect()
+
+
+def test_deep_and_unclosed_markup():
+    from foliant.functions import markup
+
+    deep = "<b>" * 5000 + "<a href=x>end</a>"
+    assert markup.one(deep, "css", "a[href]") == "x"
+    assert markup.clean(deep).endswith("end")
+    assert markup.select(markup.parse(deep), "b")[0].inner().count("</b>") == 4999
+
+
+def test_next_link():
+    from foliant.functions import markup
+
+    page = '<a class=p href=/2>2</a><a class=p href=/3>3</a><a class=p href=/n>下一页</a>'
+    assert markup.next_link(page, "http://h.example/1", "next", "a.p", 0) == "http://h.example/2"
+    assert markup.next_link(page, "http://h.example/1", "page", "a.p", 1) == "http://h.example/3"
+    assert markup.next_link(page, "http://h.example/1", "page", "a.p", 7) == "http://h.example/n"
+    assert markup.next_link(page, "http://h.example/1", "page", "a.q", 0) == ""
+    assert markup.next_link(page, "http://h.example/1", "page", "a[", 0) == ""
+
+
+def test_bodies_with_long_strings_and_many_keys(spark):
+    from foliant.sources import pages
+
+    bodies = [('"' + "x" * 20_000 + '\\""', True, True), ("[" * 21 + "]" * 21, False, True), ('{"a": {"b": 1, "c": 2, "d": 3}}', True, False), ("{", True, False), (None, False, False)]
+    df = spark.createDataFrame([(i, b) for i, (b, _, _) in enumerate(bodies)], "i int, b string")
+    got = {r["i"]: (r["d"], r["k"]) for r in df.select("i", pages.json_depth_ok(df.b).alias("d"), pages.json_keys_ok(df.b, 2).alias("k")).collect()}
+    assert got == {i: (d, k) for i, (_, d, k) in enumerate(bodies)}
+
+
+def test_expressions_that_java_refuses_leave_the_text(spark):
+    from foliant.functions import text
+
+    df = spark.createDataFrame([("banana",)], "t string")
+    assert df.select(text.remove_pattern(df.t, "(?P<n>a)").alias("t")).first()["t"] == "banana"
+    assert df.select(text.remove_pattern(df.t, "(?<n>a)").alias("t")).first()["t"] in ("bnn", "banana")

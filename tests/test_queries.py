@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from foliant.plans import catalogue, pages  # noqa: F401
+from foliant.plans import catalogue, etl, pages  # noqa: F401
 
 NAMES = sorted(catalogue.QUERIES)
 
