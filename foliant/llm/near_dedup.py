@@ -318,21 +318,22 @@ def _pairs_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -
 
 
 def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of the buckets that hold several components: (key, node, label, main), main for nodes of the
-    bucket's largest component."""
+    """Nodes of the buckets that hold several components: (key, node, label, main, held), main for nodes of the
+    bucket's largest component, held the number of the bucket's nodes."""
     held = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     each = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return held.join(mixed, "key").select("key", "node", "label", (F.col("label") == F.col("main.label")).alias("main"))
+    mixed = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return held.join(mixed, "key").select("key", "node", "label", (F.col("label") == F.col("main.label")).alias("main"), "held")
 
 
 def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links across components, from the buckets that hold several. Nodes are told apart by bands of length first; those
+    """Links across components, from the buckets that hold several. Nodes of a bucket of more than a block are told apart by bands of length first; those
     outside a bucket's main component meet the nodes of their own and the two neighbouring bands, block by block, so a
     task holds two blocks whatever the size of the bucket. Small groups are taken together, about four blocks at a time."""
     band = F.floor(F.log(F.greatest("n_words", F.lit(1)) + F.lit(1e-9)) / F.log(F.lit(1 / threshold))).cast("int")
-    rows = materialise(mixed.join(texts.select("node", "n_words", "counts"), "node").withColumn("band", band), "banded")
-    asked = rows.where("NOT main").withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    rows = materialise(mixed.join(texts.select("node", "n_words", "counts"), "node").withColumn("band", F.when(F.col("held") > BLOCK, band).otherwise(0)), "banded")
+    bands = F.when(F.col("held") > BLOCK, F.array(*[F.col("band") + d for d in (-1, 0, 1)])).otherwise(F.array("band"))
+    asked = rows.where("NOT main").withColumn("band", F.explode(bands))
     met_sizes, asked_sizes = (x.groupBy("key", "band").agg(F.count(F.lit(1)).alias(n)) for x, n in ((rows, "n"), (asked, "outside")))
     sizes = materialise(met_sizes.join(asked_sizes, ["key", "band"]), "bands")
 
