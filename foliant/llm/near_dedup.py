@@ -332,18 +332,31 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
     task holds two blocks whatever the size of the bucket. Small groups are taken together, about four blocks at a time."""
     band = F.floor(F.log(F.greatest("n_words", F.lit(1)) + F.lit(1e-9)) / F.log(F.lit(1 / threshold))).cast("int")
     rows = materialise(mixed.join(texts.select("node", "n_words", "counts"), "node").withColumn("band", F.when(F.col("held") > BLOCK, band).otherwise(0)), "banded")
-    bands = F.when(F.col("held") > BLOCK, F.array(*[F.col("band") + d for d in (-1, 0, 1)])).otherwise(F.array("band"))
-    asked = rows.where("NOT main").withColumn("band", F.explode(bands))
-    met_sizes, asked_sizes = (x.groupBy("key", "band").agg(F.count(F.lit(1)).alias(n)) for x, n in ((rows, "n"), (asked, "outside")))
-    sizes = materialise(met_sizes.join(asked_sizes, ["key", "band"]), "bands")
+    each = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("main")).cast("long")).alias("out"))
+    each = each.groupBy("key").agg(F.collect_list(F.struct("band", "n", "out")).alias("bands"))  # bands grow with the log of the longest text
+
+    def around(bands, b):
+        return F.filter(bands, lambda y: F.abs(y["band"] - b) <= 1)
+
+    def outside(b):
+        return F.aggregate(around("bands", b), F.lit(0).cast("long"), lambda total, y: total + y["out"])
+
+    sums = F.transform("bands", lambda x: F.struct(x["band"].alias("band"), x["n"].alias("n"), outside(x["band"]).alias("outside")))
+    sizes = materialise(each.select("key", F.filter(sums, lambda x: x["outside"] > 0).alias("bands")), "bands")
+    packs = max(1, (sizes.agg(F.sum(F.size("bands"))).first()[0] or 0) * 4 // BLOCK)
+    placed = materialise(rows.join(sizes, "key").withColumn("bands", around("bands", F.col("band"))), "placed")
+    discard(rows)
 
     def blocks(of: str):
         return F.ceil(F.col(of) / BLOCK).cast("int")
 
-    packs = max(1, sizes.count() * 4 // BLOCK)
-    small = F.greatest("n", "outside") <= BLOCK
-    sizes = sizes.select("key", "band", "n", "outside", small.alias("small"), F.when(small, F.pmod(F.xxhash64("key", "band"), F.lit(packs))).otherwise(F.xxhash64("key", "band")).alias("pack"))
-    asked, met = (x.join(sizes, ["key", "band"]) for x in (asked, rows))
+    def in_bands(some: DataFrame, bands) -> DataFrame:
+        small = F.greatest("n", "outside") <= BLOCK
+        spread = some.withColumn("in", F.explode(bands)).drop("band", "bands").select("*", "in.*").drop("in")
+        return spread.withColumn("small", small).withColumn("pack", F.when(small, F.pmod(F.xxhash64("key", "band"), F.lit(packs))).otherwise(F.xxhash64("key", "band")))
+
+    asked = in_bands(placed.where("NOT main"), F.col("bands"))
+    met = in_bands(placed, F.filter("bands", lambda x: x["band"] == F.col("band")))
     asked = asked.withColumn("i", F.pmod(F.xxhash64("node"), blocks("outside"))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
     met = met.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outside") - 1))).withColumn("j", F.pmod(F.xxhash64("node"), blocks("n")))
     names = ("small", "pack", "i", "j", "key", "band", "node", "label", "main", "n_words", "counts")
