@@ -395,6 +395,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMI
     labels = components(edges)
     mixed = materialise(mixed_buckets(buckets, labels), "mixed")
     more = materialise(residual_links(mixed, words, threshold), "links")
-    labels = components(edges.union(more))
-    known = named.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
+    first = named.join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("class_id"))
+    ends = (labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
+    lifted = more.join(next(ends), "a", "left").join(next(ends), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(lifted.distinct()).select(F.col("node").alias("class_id"), "label")  # components of components
+    known = first.join(joined, "class_id", "left").select("digest", F.coalesce("label", "class_id").alias("class_id"))
     return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
