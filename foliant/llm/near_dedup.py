@@ -16,8 +16,8 @@ Equal texts are one node, named by their smallest doc_id. A bucket (equal triple
 links the copies of a text without listing their pairs. A bucket that still spans several components is compared
 across them: the nodes outside its main component meet those of the same or a neighbouring band of lengths, block by block, and a pair is aligned unless lengths
 or histograms of words and word pairs already prove it dissimilar. So no candidate pair between different components
-goes untested, while a task holds two blocks whatever the size of the bucket. Components are joined by the least label, which is passed on
-and shortened until nothing changes, each round written to the shared folder.
+goes untested, while a task holds two blocks whatever the size of the bucket. Components are joined in rounds that hang each node below its
+least neighbour and go on with the links between the trees, each round written to the shared folder.
 
 Defined results: null and empty texts equal each other and are one class; texts without words link to exact copies
 only; rows that repeat a doc_id follow their text, and texts with the same smallest doc_id share their class; a null doc_id takes
@@ -281,22 +281,34 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return sized.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each node's component, for nodes with an edge."""
-    both = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "both")
-    labels = materialise(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, label) of (node, label), each label smaller than its node: labels followed to their end, twice as far each round."""
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        jumped = lower.join(jump, "label", "left").select("node", "old", F.least("label", "jumped").alias("label"))
-        fresh = materialise(jumped, "labels")
-        moved = fresh.where("old <> label").limit(1).count()
-        discard(labels)
-        labels = fresh.drop("old")
-        if not moved:
-            discard(both)
-            return labels
+        above = parents.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        jumped = parents.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved"))
+        jumped = materialise(jumped, "roots")
+        discard(parents)
+        parents = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            return parents
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of each node's component, for nodes with an edge. Each round hangs every node below its least
+    neighbour, if that is smaller, and takes the links that are left over to the trees' roots, so later rounds
+    only see links between trees."""
+    left = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "left")
+    labels = left.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+    while not left.isEmpty():
+        hung = roots(materialise(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "hung"))
+        lower, upper = (hung.select(F.col("node").alias(c), F.col("label").alias(f"root_{c}")) for c in "ab")
+        met = left.join(upper, "b").join(lower, "a", "left").withColumn("root_a", F.coalesce("root_a", "a")).where("root_a <> root_b")
+        fresh = materialise(met.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "left")
+        moved = labels.join(hung.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+        labels = materialise(moved.select("node", F.coalesce("root", "label").alias("label")).union(hung), "labels")
+        discard(left)
+        left = fresh
+    return labels.union(labels.select("label", "label").distinct())
 
 
 def _pairs_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -> pd.DataFrame:

@@ -167,3 +167,26 @@ def test_short_links_share_a_key(seed):
     a, b = " ".join(base), " ".join(edited(rng, base, rng.randint(0, 9)))
     one, two = (x.sketch(x.word_hashes(t)).tolist() for t in (a, b))
     assert not near(a, b) or len(b.split()) > 40 or set(one) & set(two)
+
+
+def test_components_of_paths_stars_and_random_links(spark):
+    rng = np.random.default_rng(5)
+    path = [(i, i + 1) for i in range(100, 140)]
+    zigzag = [(200 + (i % 2) * 50 + i // 2, 200 + ((i + 1) % 2) * 50 + (i + 1) // 2) for i in range(60)]
+    star = [(399, i) for i in range(300, 340)]
+    links = path + zigzag + star + [(int(a), int(b)) for a, b in rng.integers(500, 700, (90, 2))] + [(7, 7), (9, 8), (8, 9)]
+    parent = {}
+
+    def root(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = x.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len({r["node"] for r in got})
+    assert {r["node"]: r["label"] for r in got} == {n: root(n) for n in list(parent)}
+    assert x.components(spark.createDataFrame([], "a long, b long")).count() == 0
