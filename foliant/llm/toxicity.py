@@ -169,15 +169,18 @@ def held_out(key: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Model:
     """Fit on rows outside the held-out fold. Labels beyond `sample_rows` are sampled by a hash of doc_id, so the
-    broadcast side and what reaches the driver are bounded by that parameter."""
+    broadcast side and the one task that fits are bounded by that parameter; only the model reaches the driver."""
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = hash_sample(usable, "doc_id", sample_rows)
-    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
-    texts, kinds = rows["text"].tolist(), rows["toxic"].tolist()
-    del rows
-    return fit_rows((texts.pop(0), kind) for kind in kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fit_rows((t.as_py(), int(k.as_py())) for b in batches for t, k in zip(b.column("text"), b.column("toxic"), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([m.ordinary]), pa.array([m.toxic]), pa.array([list(m.weights)], pa.list_(pa.float64()))], names=["ordinary", "toxic", "weights"])
+
+    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text")
+    fitted = rows.select("text", "toxic").mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").first()
+    return Model(bytes(fitted["ordinary"]), bytes(fitted["toxic"]), tuple(fitted["weights"])) if fitted else fit_rows([])
 
 
 def score_texts(texts: Iterable[str], model: Model) -> np.ndarray:
