@@ -84,7 +84,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def settled(name: str) -> Callable:
     """Of a function that returns a table of a row per document or line: write the result and delete all its other
-    scratch tables."""
+    scratch tables. The result goes with the scope that the call is in, or else when the driver ends."""
 
     def wrap(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @wraps(make)
@@ -95,6 +95,9 @@ def settled(name: str) -> Callable:
                 path = _SCOPES.paths[-1].pop()
             if _SCOPES.paths:
                 _SCOPES.paths[-1].append(path)
+            else:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
             return done
 
         return call
@@ -157,6 +160,15 @@ def text_digest(column: str = "text") -> Column:
     return F.sha2(body(column).cast("binary"), 256).alias("text_sha256")
 
 
+#: Bytes of words (digits, a-z, all of other letters) as they are, A-Z lower-cased, all others to spaces.
+_WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+
+
+def byte_words(text: bytes) -> list[bytes]:
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a UTF-8 text, A-Z lower-cased."""
+    return text.translate(_WORD_BYTES).split()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; other letters stay as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

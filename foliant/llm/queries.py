@@ -8,7 +8,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, exact_dedup, html_extract, line_dedup, near_dedup, pii, quality, secrets, spiece, toxicity
+from foliant.llm import decontam, exact_dedup, html_extract, licenses, line_dedup, near_dedup, pii, quality, resample, secrets, spiece, toxicity, whitening
 from foliant.llm.common import table
 
 
@@ -63,6 +63,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs, secrets.fit(docs)))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +88,9 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLES = {
@@ -119,4 +136,35 @@ ORACLES = {
         SELECT t.doc_id, len(t.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM tokens t LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    # DuckDB has no crc32: a table of its 256 remainders, then a byte at a time over each distinct word.
+    "op12_resampling": r"""
+        WITH remainders AS (
+            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+            FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)),
+        words AS (
+            SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+            UNION ALL
+            SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+        bytes AS (
+            SELECT w, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS bs
+            FROM (SELECT DISTINCT w, hex(encode(w)) AS h FROM words)),
+        buckets AS (
+            SELECT w, xor(list_reduce(bs, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+            FROM bytes, remainders),
+        counted AS (
+            SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN buckets USING (w) GROUP BY 1),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (bs + 10000) / (CAST(s + 1 AS DOUBLE) * (bt + 10000)))) AS BIGINT) AS gain
+            FROM counted, (SELECT CAST(sum(s) AS DOUBLE) AS bs, CAST(sum(t) AS DOUBLE) AS bt FROM counted)),
+        weights AS (
+            SELECT id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY 1),
+        scored AS (
+            SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM documents LEFT JOIN weights ON doc_id = id),
+        ordered AS (
+            SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS nth, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN nth <= drawn THEN nth END AS rank FROM ordered""",
 }
