@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import markup, text, urls
-from foliant.operators import crawl
+from foliant.operators import crawl, spread
 from foliant.plans.catalogue import query, table
 from foliant.sources import pages as sources
 from foliant.streaming import limits
@@ -178,3 +178,48 @@ def circuit_breaker(spark, d):
 @query()
 def progress_throttle(spark, d):
     return limits.run_batch(table(spark, d, "events"), _EVENTS, limits.throttle(86_400.0, ("purchase",))).select("id", "allowed", "value")
+
+
+_TIMES = "SELECT {key} AS key, epoch_us(ts) // 1000 AS ms, event_id AS id, row_number() OVER (PARTITION BY {key} ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events"
+
+
+@query(f"""WITH RECURSIVE e AS ({_TIMES.format(key="event_type")}),
+           f AS (SELECT key, n, ms, id, ms + 1800000 AS full_at, true AS allowed, 0 AS retry_after FROM e WHERE n = 1
+                 UNION ALL
+                 SELECT e.key, e.n, e.ms, e.id, CASE WHEN full_at - e.ms <= 29 * 1800000 THEN greatest(e.ms, full_at) + 1800000 ELSE full_at END,
+                        full_at - e.ms <= 29 * 1800000, greatest(0, CAST(ceil((full_at - e.ms - 29 * 1800000) / 1000.0) AS BIGINT))
+                 FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+           SELECT id, key, allowed, CAST(retry_after AS BIGINT) AS retry_after FROM f""")
+def token_bucket_hot(spark, d):
+    """A bucket per kind of event, five keys for all rows: 30 events, one more each half hour."""
+    by_kind = limits.Events("event_type", "ts", "event_id", "event_type")
+    return spread.decide(table(spark, d, "events"), by_kind, spread.TokenBucket(30, 1_800_000)).select("id", "key", "allowed", "retry_after")
+
+
+def _windows_sql(key: str, most: int, length: int, locked: int) -> str:
+    """The chain of windows of each key, one recursion a window; locked 0: none."""
+    lock = f"(SELECT min(x.ms) FROM e x WHERE x.key = w.key AND x.n = w.n + {most} AND x.ms <= w.ms + {length})" if locked else "NULL"
+    after = f"x.ms >= w.lock_at + {locked}" if locked else "false"
+    return f"""WITH RECURSIVE e AS ({_TIMES.format(key=key)}),
+        w AS (SELECT key, n, ms, {lock.replace("w.", "o.")} AS lock_at FROM e o WHERE n = 1
+              UNION ALL
+              SELECT key, n, ms, {lock} FROM (
+                  SELECT w.key, min(x.n) AS n, min(x.ms) AS ms FROM w JOIN e x ON x.key = w.key AND CASE WHEN w.lock_at IS NULL THEN x.ms > w.ms + {length} ELSE {after} END
+                  GROUP BY w.key) w)
+        SELECT e.id, e.key, e.n - w.n < {most} AS allowed,
+               CAST(CASE WHEN e.n - w.n < {most} THEN 0 ELSE ceil((coalesce(w.lock_at + {locked}, w.ms + {length}) - e.ms) / 1000.0) END AS BIGINT) AS retry_after
+        FROM e ASOF JOIN w ON e.key = w.key AND e.n >= w.n"""
+
+
+@query(_windows_sql("user_id % 3", 40, 86_400_000, 0).replace("e.key,", "CAST(e.key AS VARCHAR) AS key,", 1))
+def windows_hot(spark, d):
+    """Three keys for all rows: 40 events in a day, which begins with the first one after the last day's end."""
+    events = table(spark, d, "events").withColumn("third", F.col("user_id") % 3)
+    return spread.decide(events, limits.Events("third", "ts", "event_id", "event_type"), spread.Windows(40, 86_400_000)).select("id", "key", "allowed", "retry_after")
+
+
+@query(_windows_sql("'all'", 50, 3 * 3_600_000, 15 * 3_600_000))
+def global_lockout(spark, d):
+    """One key for all rows: more than 50 events in three hours lock it for fifteen."""
+    events = table(spark, d, "events").withColumn("everyone", F.lit("all"))
+    return spread.decide(events, limits.Events("everyone", "ts", "event_id", "event_type"), spread.Windows(50, 3 * 3_600_000, 15 * 3_600_000)).select("id", "key", "allowed", "retry_after")

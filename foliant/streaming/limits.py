@@ -2,7 +2,8 @@
 
 In batch, a key's events are streamed in order through a small state: rows are dealt by key and sorted within their
 partition, so no key's events are held together in memory. The same steps run in Structured Streaming with keyed state.
-A key's events depend on each other, so one task takes them one by one; keys run side by side.
+A key's events depend on each other, so here one task takes them one by one, and keys run side by side;
+`foliant.operators.spread` deals a hot key's events over many tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def fixed_windows(limits: tuple[tuple[int, float], ...]) -> Step:
         fresh = []
         for i, (_, seconds) in enumerate(limits):
             start, used = state[2 * i : 2 * i + 2]
-            fresh.append((now, 0.0) if used == 0 or now - start >= seconds else (start, used))
+            fresh.append((now, 0.0) if used == 0 or now - start > seconds else (start, used))
         ok = all(used < n for (_, used), (n, _) in zip(fresh, limits, strict=True))
         fresh = [(start, used + ok) for start, used in fresh]
         return tuple(float(x) for pair in fresh for x in pair), (ok, float(fresh[0][1]))
@@ -56,7 +57,7 @@ def lockout(most: int = 50, seconds: float = 60.0, locked: float = 300.0) -> Ste
         start, used, until = state or (now, 0.0, 0.0)
         if now < until:
             return (start, used, until), (False, until)
-        if now - start >= seconds:
+        if now - start > seconds:
             start, used = now, 0.0
         used += 1
         if used > most:

@@ -119,7 +119,7 @@ def fold(step, events):
 
 
 def test_limit_steps():
-    assert fold(limits.fixed_windows(((2, 60.0),)), [(0, ""), (1, ""), (2, ""), (60, ""), (119, ""), (119.5, "")]) == [True, True, False, True, True, False]
+    assert fold(limits.fixed_windows(((2, 60.0),)), [(0, ""), (1, ""), (2, ""), (60, ""), (60.5, ""), (119, ""), (119.5, "")]) == [True, True, False, False, True, True, False]
     assert fold(limits.token_bucket(2, 1), [(0, ""), (0, ""), (0, ""), (1, ""), (1.5, "")]) == [True, True, False, True, False]
     assert fold(limits.circuit_breaker(2, 30), [(0, "error"), (1, "error"), (2, "ok"), (31, "error"), (40, "ok"), (61, "ok"), (62, "ok")]) == [True, True, False, True, False, True, True]
     assert fold(limits.throttle(3, ("status",)), [(0, ""), (1, ""), (2, "status"), (4, ""), (5, "")]) == [True, False, True, False, True]
