@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,25 +70,80 @@ def shuffled(rows: DataFrame, parent: str, key: str, seed: int) -> DataFrame:
 
 def dedupe_books(rows: DataFrame, mode: str, order: str) -> DataFrame:
     """Rows (url, title, <order>) without repeats by address, by title, or by both: there, a row goes if a row that stays and
-    comes earlier shares either, and what went shadows nothing.
+    comes earlier shares either, and what went shadows nothing. A row with a blank address or title shares none by it.
 
-    Each round keeps the rows that come first among the open ones in both their groups, then closes what shares a group
-    with them. A row with a blank address or title shares none by it.
+    By both, rounds keep the rows that come first among the open ones in both their groups, and close what shares a group
+    with them, as long as a round closes half of what is open: that takes the large groups. What is left are chains, in
+    which each decision waits for the one before; their rows are dealt by connected component and taken in order, one pass.
+    A task then holds the addresses and titles that one component's rows keep.
     """
     if mode in ("url", "title"):
         return first_seen(rows, [mode], F.col(order))
-    undecided = checkpointed(rows.withColumn("_u", F.coalesce(F.nullif("url", F.lit("")), F.concat(F.lit("\0"), order))).withColumn("_t", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("\0"), order))))
-    kept = []
-    while not undecided.isEmpty():
+    blank = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("\0"), order))
+    undecided = checkpointed(rows.withColumn("_u", blank("url")).withColumn("_t", blank("title")))
+    kept, open_rows = [], undecided.count()
+    while open_rows:
         first = undecided
         for g in ("_u", "_t"):
-            first = first.withColumn(f"_min{g}", F.min(order).over(Window.partitionBy(g)))
+            first = first.join(undecided.groupBy(g).agg(F.min(order).alias(f"_min{g}")), g)
         stay = checkpointed(first.where((F.col(order) == F.col("_min_u")) & (F.col(order) == F.col("_min_t"))).drop("_min_u", "_min_t"))
         kept.append(stay)
         undecided = checkpointed(undecided.join(stay.select("_u"), "_u", "left_anti").join(stay.select("_t"), "_t", "left_anti"))
-    if not kept:
-        return rows
-    return reduce(DataFrame.unionByName, kept).select(rows.columns)
+        before, open_rows = open_rows, undecided.count()
+        if open_rows * 2 > before:
+            kept.append(_in_order(undecided, order))
+            break
+    return reduce(DataFrame.unionByName, kept).select(rows.columns) if kept else rows
+
+
+def _in_order(rows: DataFrame, order: str) -> DataFrame:
+    """The rows (_u, _t, <order>) that stay when each component's rows are taken one by one."""
+    number = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))  # noqa: E731  equal numbers only join components
+    single = rows.join(rows.groupBy("_u", "_t").agg(F.min(order).alias(order)), ["_u", "_t", order], "left_semi")
+    numbered = single.withColumn("_a", number("u", "_u"))
+    roots = components(numbered.select(F.col("_a").alias("a"), number("t", "_t").alias("b")))
+    dealt = numbered.join(roots.withColumnRenamed("node", "_a"), "_a").repartition("root").sortWithinPartitions("root", order)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, urls, titles = None, set(), set()
+        for b in batches:
+            stays = []
+            for r, u, t in zip(b["root"], b["_u"], b["_t"], strict=True):
+                if r != root:
+                    root, urls, titles = r, set(), set()
+                ok = u not in urls and t not in titles
+                if ok:
+                    urls.add(u)
+                    titles.add(t)
+                stays.append(ok)
+            yield b.loc[stays, keep]
+
+    keep = rows.columns
+    return dealt.mapInPandas(take, rows.schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of each connected component of edges (a, b), which are longs.
+
+    Every node tells its larger neighbours of its least one, then its smaller ones, in turn, until the edges are stars;
+    the number of rounds grows with the logarithm of the longest path. A node's least neighbour is a partial aggregate.
+    """
+    first = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges = checkpointed(edges.select(*first).distinct())
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    state = None
+    while True:
+        both = edges.where("a <> b").select(F.col("b").alias("v"), F.col("a").alias("u")).union(edges.where("a <> b").select(F.col("a").alias("v"), F.col("b").alias("u")))
+        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        larger = both.where("u > v").join(least, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).where("a <> b").distinct()
+        least = larger.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m"))
+        smaller = larger.select(F.col("b").alias("v"), F.col("a").alias("u")).join(least, "v")
+        edges = checkpointed(smaller.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("u").alias("b")), F.struct(F.col("m").alias("a"), F.col("v").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == state:
+            break
+        state = now
+    return nodes.join(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def match_books(new: DataFrame, stored: DataFrame) -> DataFrame:

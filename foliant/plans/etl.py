@@ -149,7 +149,7 @@ def rows_of_other_tasks(spark, d):
 
 
 @query("""SELECT n_name AS name FROM nation WHERE n_name IN (SELECT upper(n_name) FROM nation) AND n_nationkey < 5 ORDER BY 1""")
-def unique_conflicts(spark, d):
+def names_in_use(spark, d):
     n = table(spark, d, "nation")
     new = n.where("n_nationkey < 5").select(F.col("n_name").alias("name")).unionByName(n.limit(1).select(F.lit("nowhere").alias("name")))
     return mutate.conflicts(new, n.select(F.col("n_name").alias("name")), "name")

@@ -87,6 +87,35 @@ def test_dedupe_both_equals_the_sequential_fold(spark):
     assert crawl.dedupe_books(df.limit(0), "both", "at").count() == 0
 
 
+def test_dedupe_both_of_a_long_chain(spark):
+    """Each row shares its title with the next one's address group: only every other one stays; the jobs don't grow with the chain."""
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").alias("at"), F.ceil(F.col("id") / 2).cast("string").alias("url"), F.floor(F.col("id") / 2).cast("string").alias("title"))
+    hot = spark.range(n, n + 3000).select(F.col("id").alias("at"), F.lit("hot").alias("url"), F.concat(F.lit("t"), "id").alias("title"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    kept = [r["at"] for r in crawl.dedupe_books(chain.union(hot), "both", "at").orderBy("at").collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == [*range(0, n, 2), n]
+    assert jobs < 400
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000 + (i * 7) % 50) for i in range(50)] + [(5, 5), (-9, -9), (2000, 2001)]
+    got = {r["node"]: r["root"] for r in crawl.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert got == {x: find(x) for x in root}
+
+
 def test_pages_stop_at_loops(spark):
     pages = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", None)], "url string, next_url string")
     starts = spark.createDataFrame([("a",), ("x",)], "url string")

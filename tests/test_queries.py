@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from foliant.plans import catalogue, etl, pages  # noqa: F401
+from foliant.plans import catalogue, etl, pages, search  # noqa: F401
 
 NAMES = sorted(catalogue.QUERIES)
 
@@ -13,7 +13,7 @@ NAMES = sorted(catalogue.QUERIES)
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return con
 
