@@ -307,12 +307,11 @@ def first_seen_dedupe(spark, d):
     return numbered.select("user_id", F.col("url").alias("event_type"), "event_id", F.col("sort_order").cast("long").alias("sort_order"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id AS id, CAST(event_id * 13 % 701 AS VARCHAR) AS url, CAST(event_id * 29 % 811 AS VARCHAR) AS title, row_number() OVER (ORDER BY event_id) AS n FROM events),
-    f AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS titles, CAST(NULL AS BIGINT) AS event_id
-          UNION ALL
-          SELECT m, CASE WHEN gone THEN urls ELSE list_append(urls, url) END, CASE WHEN gone THEN titles ELSE list_append(titles, title) END, CASE WHEN gone THEN NULL ELSE id END
-          FROM (SELECT urls, titles, id, url, title, e.n AS m, list_contains(urls, url) OR list_contains(titles, title) AS gone FROM f JOIN e ON e.n = f.n + 1))
-    SELECT event_id FROM f WHERE event_id IS NOT NULL""")
+@query("""SELECT unnest(f.kept) AS event_id FROM (
+          SELECT list_reduce(list({'id': event_id, 'url': event_id * 13 % 701, 'title': event_id * 29 % 811} ORDER BY event_id),
+              lambda s, r: CASE WHEN list_contains(s.urls, r.url) OR list_contains(s.titles, r.title) THEN s
+                                ELSE {'urls': list_append(s.urls, r.url), 'titles': list_append(s.titles, r.title), 'kept': list_append(s.kept, r.id)} END,
+              {'urls': CAST([] AS BIGINT[]), 'titles': CAST([] AS BIGINT[]), 'kept': CAST([] AS BIGINT[])}) AS f FROM events)""")
 def dedupe_both(spark, d):
     rows = table(spark, d, "events").select("event_id", (F.col("event_id") * 13 % 701).cast("string").alias("url"), (F.col("event_id") * 29 % 811).cast("string").alias("title"))
     return crawl.dedupe_books(rows, "both", "event_id").select("event_id")

@@ -78,6 +78,19 @@ def json_gate(spark, d):
     return e.select("event_id", sources.json_depth_ok(wide).alias("depth_ok"), sources.json_keys_ok(wide, 2).alias("keys_ok"))
 
 
+@query("""SELECT doc_id, k <= 20 AND kind <> 3 AS depth_ok, kind <> 3 AND NOT (kind = 1 AND doc_id % 260 >= 200) AS keys_ok
+          FROM (SELECT doc_id, doc_id % 4 AS kind, CASE doc_id % 4 WHEN 1 THEN 1 ELSE doc_id // 4 % 26 END AS k FROM documents)""")
+def json_bodies(spark, d):
+    """Bodies of documents' own texts, brackets and colons in them included: nested lists, wide records, nested records, broken ones."""
+    doc, k = F.col("doc_id"), F.expr("int(doc_id div 4 % 26)")
+    text = F.concat(F.lit('"'), F.regexp_replace(F.substring("text", 1, 200), r'[\x00-\x1f"\\]', "{[:"), F.lit('"'))
+    wide = F.concat(F.lit("{"), F.array_join(F.transform(F.sequence(F.lit(0), F.expr("int(doc_id % 260)")), lambda n: F.concat(F.lit('"'), n.cast("string"), F.lit('": '), F.when(n == 0, text).otherwise("[]"))), ", "), F.lit("}"))
+    lists = F.concat(F.repeat(F.lit("[ "), k), text, F.repeat(F.lit(" ]"), k))
+    records = F.concat(F.repeat(F.lit('{"a\\"b": '), k), text, F.repeat(F.lit("}"), k))
+    body = F.when(doc % 4 == 0, lists).when(doc % 4 == 1, wide).when(doc % 4 == 2, records).otherwise(F.concat(F.lit("[1, "), lists))
+    return table(spark, d, "documents").select("doc_id", sources.json_depth_ok(body).alias("depth_ok"), sources.json_keys_ok(body).alias("keys_ok"))
+
+
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN '连载中' WHEN 'F' THEN '已完结' ELSE o_orderstatus END AS label, o_orderstatus IN ('O', 'F') AS known,
           contains(lower(o_orderpriority), 'urg') AS urgent, 'ord_' || o_orderkey AS prefixed FROM orders""")
 def labels_and_domains(spark, d):

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from html import escape
-from json import dumps, loads
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -98,74 +95,63 @@ def provider_page(body):
     return F.when(F.lower(page).contains("<html"), page).otherwise(F.concat(F.lit("<html><body>"), page, F.lit("</body></html>")))
 
 
-def json_depth_ok(json, most: int = 20, bytes_: int = 1_000_000):
-    """Whether a body is under the byte limit and nested no deeper than allowed, brackets in strings aside."""
-    json = F.when(F.octet_length(json) <= bytes_, json)
-    bare = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    depth = F.aggregate(
-        F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["top"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("top")),
-    )
-    return F.coalesce(depth["top"] <= most, F.lit(False))
+def json_shape(json: Column, most_chars: int = 1 << 20) -> Column:
+    """struct<depth, keys> of a JSON body: how deep its deepest value lies (a bare one: 0) and the most keys of one object;
+    null for what isn't JSON, is over the limit, or repeats a key in an object.
 
+    Strings and empty containers stand for any bare value; what opens and closes around the others is followed in one pass,
+    with the keys so far of each container that is open.
+    """
+    json = F.when(F.length(json) <= most_chars, json)
+    bare = F.regexp_replace(F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '"'), r"\[\s*\]|\{\s*\}", '"')
+    marks = F.regexp_extract_all(bare, F.lit(r"[\[\]{}:]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("keys"), F.lit(0).alias("ends"), F.array().cast("array<int>").alias("open"))
 
-def json_keys_ok(json, most: int = 1000):
+    def step(s, c):
+        rest = F.slice(s["open"], F.lit(2), F.size(s["open"]))
+        now = F.when(c.isin("[", "{"), F.concat(F.array(F.lit(0)), s["open"])).when(c == ":", F.concat(F.array(s["open"][0] + 1), rest)).otherwise(rest)
+        keys = F.greatest(s["keys"], F.when(c == ":", s["open"][0] + 1).otherwise(0))
+        return F.struct(F.greatest(s["depth"], F.size(now)).alias("depth"), keys.alias("keys"), (s["ends"] + F.when(F.size(now) == 0, 1).otherwise(0)).alias("ends"), now.alias("open"))
+
+    shape = F.aggregate(marks, start, step)
+    one = F.when(shape["ends"] == 0, bare.rlike(r'^\s*("|[^\s"\[\]{},:]+)\s*$')).otherwise((shape["ends"] == 1) & bare.rlike(r"^\s*[\[{][\s\S]*[\]}]\s*$"))  # the parser stops after a value
+    return F.when(F.try_parse_json(json).isNotNull() & one, F.struct(shape["depth"].alias("depth"), shape["keys"].alias("keys")))
+
+
+def json_depth_ok(json: Column, most: int = 20) -> Column:
+    """Whether a body is JSON within the size limit, nested no deeper than allowed."""
+    return F.coalesce(json_shape(json)["depth"] <= most, F.lit(False))
+
+
+def json_keys_ok(json: Column, most: int = 200) -> Column:
     """Whether no object of a body has more keys than allowed; false for what isn't JSON."""
+    return F.coalesce(json_shape(json)["keys"] <= most, F.lit(False))
+
 
-    def fits(body: str | None) -> bool:
-        try:
-            stack = [loads(body or "")]
-        except (ValueError, RecursionError):
-            return False
-        while stack:
-            value = stack.pop()
-            if isinstance(value, dict):
-                if len(value) > most:
-                    return False
-                stack.extend(value.values())
-            elif isinstance(value, list):
-                stack.extend(value)
-        return True
-
-    @F.pandas_udf("boolean")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(fits)
-
-    return run(json)
-
-
-def nested_record_html(json):
+def nested_record_html(json: Column) -> Column:
     """A JSON record as a page: texts as blocks of their field, lists a block for each item, objects their fields as spans;
-    nulls and bare numbers of the top level are left out, values escaped."""
-
-    def spans(record: dict) -> str:
-        return " ".join(f'<span data-field="{k}">{_shown(v)}</span>' for k, v in record.items() if v is not None)
-
-    def page(body: str | None) -> str | None:
-        try:
-            record = loads(body or "")
-        except ValueError:
-            return None
-        blocks = []
-        for key, value in record.items() if isinstance(record, dict) else ():
-            for item in value if isinstance(value, list) else [value]:
-                if isinstance(item, str):
-                    blocks.append(f'<div data-field="{key}">{escape(item)}</div>')
-                elif isinstance(item, dict):
-                    mark = ' data-item="true"' if isinstance(value, list) else ""
-                    blocks.append(f'<div data-field="{key}"{mark}>{spans(item)}</div>')
-        return "<html><body>" + "\n".join(blocks) + "</body></html>"
-
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(page)
-
-    return run(json)
-
-
-def _shown(value) -> str:
-    return escape(value if isinstance(value, str) else dumps(value))
+    nulls and bare numbers of the top level are left out, values escaped, fields in the record's order. Null for what isn't
+    JSON; a body of another kind than a record is an empty page."""
+    record, kinds = "map<string,string>", "map<string,variant>"
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    block = lambda key, inner, mark="": F.concat(F.lit('<div data-field="'), key, F.lit(f'"{mark}>'), inner, F.lit("</div>"))
+
+    def spans(text):
+        entries = F.filter(F.map_entries(F.from_json(text, record)), lambda e: e["value"].isNotNull())
+        return F.array_join(F.transform(entries, lambda e: F.concat(F.lit('<span data-field="'), e["key"], F.lit('">'), escape_html(e["value"]), F.lit("</span>"))), " ")
+
+    def items(key, text):
+        of = F.transform(F.from_json(text, "array<variant>"), kind)
+        shown = F.zip_with(F.from_json(text, "array<string>"), of, lambda t, k: F.when(k == "STRING", block(key, escape_html(t))).when(k == "OBJECT", block(key, spans(t), ' data-item="true"')))
+        return F.filter(shown, lambda b: b.isNotNull())
+
+    def blocks(e, k):
+        one = F.when(k == "STRING", block(e["key"], escape_html(e["value"]))).when(k == "OBJECT", block(e["key"], spans(e["value"])))
+        return F.when(k == "ARRAY", items(e["key"], e["value"])).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+
+    of = F.transform(F.map_entries(F.from_json(json, kinds)), lambda e: F.coalesce(kind(e["value"]), F.lit("VOID")))
+    body = F.array_join(F.flatten(F.zip_with(F.map_entries(F.from_json(json, record)), of, blocks)), "\n")
+    return F.when(F.try_parse_json(json).isNotNull(), F.concat(F.lit("<html><body>"), F.coalesce(body, F.lit("")), F.lit("</body></html>")))
 
 
 def probe(spark: SparkSession) -> DataFrame:

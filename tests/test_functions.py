@@ -172,7 +172,7 @@ def test_next_link():
 def test_bodies_with_long_strings_and_many_keys(spark):
     from foliant.sources import pages
 
-    bodies = [('"' + "x" * 20_000 + '\\""', True, True), ("[" * 21 + "]" * 21, False, True), ('{"a": {"b": 1, "c": 2, "d": 3}}', True, False), ("{", True, False), (None, False, False)]
+    bodies = [('"' + "x" * 20_000 + '\\""', True, True), ("[" * 21 + "1" + "]" * 21, False, True), ('{"a": {"b": 1, "c": 2, "d": 3}}', True, False), ("{", False, False), (None, False, False)]
     df = spark.createDataFrame([(i, b) for i, (b, _, _) in enumerate(bodies)], "i int, b string")
     got = {r["i"]: (r["d"], r["k"]) for r in df.select("i", pages.json_depth_ok(df.b).alias("d"), pages.json_keys_ok(df.b, 2).alias("k")).collect()}
     assert got == {i: (d, k) for i, (_, d, k) in enumerate(bodies)}
