@@ -28,47 +28,54 @@ class ExportConfig:
     seed: int = 1
 
 
-def _block(chapters: Column, values: dict[str, Column], config: ExportConfig):
-    def one(chapter: Column, i: Column) -> Column:
-        due = ((i + 1) % max(1, config.ad_every) == 0) if config.ad else F.lit(False)
-        ad = F.concat(F.lit("\n"), fill_template(F.lit(config.ad), {**values, "chapterTitle": chapter["title"]}), F.lit("\n\n"))
-        here = lambda place: F.when(due & F.lit(config.ad_at == place), ad).otherwise("")
-        ps = paragraphs(F.coalesce(chapter["content"], F.lit("")))
-        last, middle = F.size(ps) - 1, F.floor(F.size(ps) / 2)
-
-        def paragraph(p: Column, j: Column) -> Column:
-            text = F.concat(F.when(j == middle, here("middle")).otherwise(""), p, F.lit("\n\n"))
-            if config.confusion:
-                text = F.concat(text, F.when(j < last, F.concat(confusion_block(F.lit(config.confusion), config.seed), F.lit("\n\n"))).otherwise(""))
-            return text
+def chapter_text(chapter: Column, i: Column, values: dict[str, Column], config: ExportConfig) -> Column:
+    """The text of the chapter (title, content) at place i, counted from 0, of its book."""
+    due = ((i + 1) % max(1, config.ad_every) == 0) if config.ad else F.lit(False)
+    ad = F.concat(F.lit("\n"), fill_template(F.lit(config.ad), {**values, "chapterTitle": chapter["title"]}), F.lit("\n\n"))
+    here = lambda place: F.when(due & F.lit(config.ad_at == place), ad).otherwise("")
+    ps = paragraphs(F.coalesce(chapter["content"], F.lit("")))
+    last, middle = F.size(ps) - 1, F.floor(F.size(ps) / 2)
+
+    def paragraph(p: Column, j: Column) -> Column:
+        text = F.concat(F.when(j == middle, here("middle")).otherwise(""), p, F.lit("\n\n"))
+        if config.confusion:
+            text = F.concat(text, F.when(j < last, F.concat(confusion_block(F.lit(config.confusion), config.seed), F.lit("\n\n"))).otherwise(""))
+        return text
+
+    return F.concat(here("start"), F.coalesce(chapter["title"], F.lit("")), F.lit("\n\n"), F.array_join(F.transform(ps, paragraph), ""), here("end"))
+
+
+def book_values(words: Column, n: Column, today: Column) -> dict[str, Column]:
+    """What a book's templates can name."""
+    return {
+        "title": F.col("title"),
+        "author": F.col("author"),
+        "wordCount": F.coalesce(words, F.lit(0)).cast("string"),
+        "chapterCount": F.coalesce(n, F.lit(0)).cast("string"),
+        "date": F.date_format(today, "yyyy-MM-dd"),
+        "siteName": F.lit("本站"),
+    }
 
-        return F.concat(here("start"), chapter["title"], F.lit("\n\n"), F.array_join(F.transform(ps, paragraph), ""), here("end"))
 
-    return F.array_join(F.transform(chapters, one), "\n")
+def text_name(values: dict[str, Column], config: ExportConfig) -> Column:
+    return file_name(F.concat(fill_template(F.lit(config.name or ExportConfig.name), values), F.lit(".txt")))
 
 
 def export_text(books: DataFrame, chapters: DataFrame, key: str, config: ExportConfig, today: Column) -> DataFrame:
     """(key, file_name_text, text, n_bytes) per book (key, title, author) of its chapters (key, sort_order, id, title, content).
 
-    A book is one text, so one row holds it; books are dealt over the cluster by their key.
+    A book is one text, so one row holds it; books are dealt over the cluster by their key. `textsink` writes books of any
+    size.
     """
     ordered = F.array_sort(F.collect_list(F.struct("sort_order", "id", "title", "content")))
     told = chapters.groupBy(key).agg(ordered.alias("chapters"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("words"), F.count(F.lit(1)).alias("n"))
     rows = books.join(told, key, "left").withColumn("chapters", F.coalesce("chapters", F.array().cast(dict(told.dtypes)["chapters"])))
-    values = {
-        "title": F.col("title"),
-        "author": F.col("author"),
-        "wordCount": F.coalesce("words", F.lit(0)).cast("string"),
-        "chapterCount": F.coalesce("n", F.lit(0)).cast("string"),
-        "date": F.date_format(today, "yyyy-MM-dd"),
-        "siteName": F.lit("本站"),
-    }
-    text = _block(F.col("chapters"), values, config)
+    values = book_values(F.col("words"), F.col("n"), today)
+    text = F.array_join(F.transform("chapters", lambda c, i: chapter_text(c, i, values, config)), "\n")
     if config.site_info:
         info = fill_template(F.lit(config.site_info), values)
         text = F.concat(info, F.lit("\n\n"), text, F.lit("\n"), info)
-    named = file_name(F.concat(fill_template(F.lit(config.name or ExportConfig.name), values), F.lit(".txt")))
-    return rows.select(key, named.alias("file_name"), text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return rows.select(key, text_name(values, config).alias("file_name"), text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
 
 def search_keywords(books: DataFrame, key: str) -> DataFrame:

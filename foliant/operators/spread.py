@@ -43,12 +43,16 @@ class TokenBucket:
     capacity: int = 30
     period: int = 500
 
-    def step(self, full: int | None, now: int) -> tuple[int, bool, int]:
+    def step(self, full: int | None, now: int, _: str = "") -> tuple[int, bool, int]:
         late = (full if full is not None and full > now else now) - now - (self.capacity - 1) * self.period
         if late > 0:
             return full, False, -(-late // 1000)
         return max(now, full if full is not None else now) + self.period, True, 0
 
+    def ends(self, full: int) -> int:
+        """When a state is as good as none."""
+        return full
+
     def function(self) -> BucketFunction:
         return BucketFunction(self.capacity, self.period)
 
@@ -102,7 +106,7 @@ class Windows:
     length: int = 60_000
     locked: int | None = None
 
-    def step(self, state: tuple | None, now: int) -> tuple[tuple, bool, int]:
+    def step(self, state: tuple | None, now: int, _: str = "") -> tuple[tuple, bool, int]:
         if state and state[2] is not None and now < state[2]:
             return state, False, -(-(state[2] - now) // 1000)
         start, used, _ = state if state and state[2] is None and now - state[0] <= self.length else (now, 0, None)
@@ -111,6 +115,10 @@ class Windows:
         until = now + self.locked if self.locked else None
         return (start, used + 1, until), False, -(-((until or start + self.length) - now) // 1000)
 
+    def ends(self, state: tuple) -> int:
+        """When a state is as good as none."""
+        return state[2] if state[2] is not None else state[0] + self.length + 1
+
     def function(self) -> WindowFunction:
         return WindowFunction(self)
 

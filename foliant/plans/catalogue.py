@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import rules
 from foliant.functions.text import has_text
 from foliant.operators import catalogue as C
-from foliant.operators import crawl, export, mutate, queue
+from foliant.operators import crawl, export, mutate, queue, textsink
 from foliant.runtime import make_importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -364,6 +364,23 @@ def export_txt(spark, d):
     return done.select("conv_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "file_name")
 
 
+@query("""WITH parts AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+        list_filter(string_split(text, chr(10)), lambda p: length(regexp_replace(p, '\\s', '', 'g')) > 0) AS ps FROM conversations),
+    blocks AS (SELECT conv_id, i - 1 AS seq, CASE WHEN i > 1 THEN chr(10) ELSE '《c' || CAST(conv_id AS VARCHAR) || '》本站' || chr(10) || chr(10) END
+        || role || chr(10) || chr(10) || coalesce(list_reduce(list_prepend('', list_transform(ps, lambda p: p || chr(10) || chr(10))), lambda a, b: a || b), '')
+        || CASE WHEN i % 2 = 0 THEN chr(10) || '[' || role || '/' || CAST(n AS VARCHAR) || ']' || chr(10) || chr(10) ELSE '' END
+        || CASE WHEN i = n THEN chr(10) || '《c' || CAST(conv_id AS VARCHAR) || '》本站' ELSE '' END AS text FROM parts)
+    SELECT conv_id, seq, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM blocks""")
+def export_pieces(spark, d):
+    """The same books as export_txt, a row for each chapter's piece."""
+    rows = table(spark, d, "conversations")
+    chapters = rows.select("conv_id", F.col("turn").alias("sort_order"), F.col("turn").alias("id"), F.col("role").alias("title"), F.col("text").alias("content"))
+    books = rows.select("conv_id").distinct().select("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("title"), F.lit("a/b").alias("author"))
+    config = export.ExportConfig(ad=_AD, ad_every=2, ad_at="end", site_info=_INFO)
+    done = textsink.export_pieces(books, chapters, "conv_id", config, F.lit("2024-01-01").cast("date"))
+    return done.select("conv_id", "seq", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 def _keyword_sql() -> str:
     fixed = [(f"p_name || '{e}'", "百度") for e in export.TITLE_ENDINGS] + [(f"p_brand || '{e}'", "搜狗") for e in export.AUTHOR_ENDINGS]
     fixed += [("cat || '小说推荐'", "必应"), ("cat || '小说排行榜'", "必应"), ("'热门' || cat || '小说'", "360搜索"), ("p_type || '小说推荐'", "神马搜索")]
