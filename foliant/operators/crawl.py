@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.markup import page_step
+from foliant.functions.markup import page_step, rule_fields
 from foliant.operators.queue import first_seen
 from foliant.runtime import checkpointed
 
@@ -56,6 +56,33 @@ def read_lists(starts: DataFrame, pages: DataFrame, items: tuple[str, str], how:
     return reduce(DataFrame.unionByName, [s.select("start", "url", "page_no", F.col("step.items").alias("items"), F.size("fresh").cast("long").alias("n_new")) for s in steps])
 
 
+def read_contents(starts: DataFrame, pages: DataFrame, content: tuple[str, str], title: tuple[str, str] | None = None, how: str | None = None, selector: str = "", most: int | None = None) -> DataFrame:
+    """(url, title, content, n_pages, found) of each start's address (url): the texts of its chain of content pages (url, html), in
+    order, joined by a blank line; the title is the first page's. The chain ends without a next page, at a page seen before,
+    or after `most` pages (1 by default, at most 100); found is false if one of its pages isn't there. All chains advance
+    together, one join a step."""
+    most = min(most or 1, MOST_PAGES)
+    held = pages.groupBy("url").agg(F.max("html").alias("html"))
+    ahead = starts.select(F.col("url").alias("start"), "url", F.array("url").alias("visited")).distinct()
+    steps = []
+    fields = {"content": content} | ({"title": title} if title else {})
+    for n in range(most):
+        got = ahead.join(held, "url", "left").withColumn("page_no", F.lit(n))
+        fetched = F.col("html").isNotNull()
+        got = got.withColumn("got", rule_fields(F.coalesce("html", F.lit("")), F.col("url"), fields))
+        follows = bool(how) and n + 1 < most
+        got = got.withColumn("next_url", page_step(F.coalesce("html", F.lit("")), F.col("url"), F.col("page_no"), ("regex", "(?!)"), how, selector)["next_url"] if follows else F.lit(""))
+        titled = F.col("got.title") if title and n == 0 else F.lit("")
+        steps.append(checkpointed(got.select("start", "url", "visited", "page_no", fetched.alias("found"), F.col("got.content").alias("part"), titled.alias("title"), "next_url")))
+        ahead = steps[-1].where("found AND next_url <> ''").where(~F.array_contains("visited", F.col("next_url")))
+        ahead = ahead.select("start", F.col("next_url").alias("url"), F.array_append("visited", F.col("next_url")).alias("visited"))
+        if not follows or ahead.isEmpty():
+            break
+    parts = reduce(DataFrame.unionByName, [s.select("start", "page_no", "found", "part", "title") for s in steps])
+    told = parts.groupBy("start").agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("n_pages"), F.min("found").alias("found"))
+    return told.join(join_content(parts, "start", "page_no", F.col("part")), "start").select(F.col("start").alias("url"), "title", "content", "n_pages", "found")
+
+
 def number_chapters(links: DataFrame, book: str, page: str, position: str) -> DataFrame:
     """Links over several pages, each address once, numbered from 1 in reading order; a blank title is named after its number."""
     once = first_seen(links, [book, "url"], F.col(page), F.col(position))

@@ -8,6 +8,7 @@ from foliant.functions import rules, text, urls
 from foliant.operators import catalogue as C
 from foliant.operators import crawl, extract, mutate, queue
 from foliant.plans.catalogue import query, table
+from foliant.runtime import checkpointed
 from foliant.sources import pages as sources
 
 RULE = {
@@ -62,6 +63,64 @@ def rule_run_addresses(spark, d):
     return extract.book_addresses(rule, more).select("url")
 
 
+def _book_pages(spark, d):
+    """Ten list pages over a book for each row of pages: its page, its chapters, their content in one to three parts. Some
+    books' pages, some titles and some parts are missing, some texts are empty."""
+    b, j, k = F.col("page_id"), F.col("j"), F.col("k")
+    host = lambda *path: F.concat(F.lit("http://books.example/"), *[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in path])
+    rows = table(spark, d, "pages").select("page_id")
+    chapters = rows.select("page_id", F.explode(F.sequence(F.lit(0), F.expr("int(page_id % 4)"))).alias("j"))
+    lists = rows.groupBy((b % 10).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<li><a href="/b/'), F.lpad(b.cast("string"), 9, "0"), F.lit('">x</a></li>')))), "").alias("html"))
+    lists = lists.select(host("l/", F.col("n")).alias("url"), F.concat("html", F.lit('<a class=n href="/l/'), (F.col("n") + 1).cast("string"), F.lit('">next</a>')).alias("html"))
+    links = chapters.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("j")), lambda x: F.concat(F.lit('<li><a href="/c/'), b.cast("string"), F.lit("/"), x.cast("string"), F.lit('/0">Part '), x.cast("string"), F.lit("</a></li>"))), "").alias("links"))
+    title = F.when(b % 19 == 0, "").otherwise(F.concat(F.lit("T"), (b % 60).cast("string")))
+    books = links.where(b % 17 != 0).select(host("b/", F.lpad(b.cast("string"), 9, "0")).alias("url"), F.concat(F.lit("<h1>"), title, F.lit("</h1><ol>"), "links", F.lit("</ol>")).alias("html"))
+    parts = chapters.select("page_id", "j", F.explode(F.sequence(F.lit(0), F.expr("int((page_id + j) % 3)"))).alias("k")).where(~((b % 11 == 0) & (k == 1)))
+    said = F.when(b % 13 == 0, " ").otherwise(F.concat(F.lit("text "), b.cast("string"), F.lit("."), j.cast("string"), F.lit("."), k.cast("string")))
+    following = F.when(k < (b + j) % 3, F.concat(F.lit('<a class=n href="/c/'), b.cast("string"), F.lit("/"), j.cast("string"), F.lit("/"), (k + 1).cast("string"), F.lit('">next</a>'))).otherwise("")
+    contents = parts.select(host("c/", b, "/", j, "/", k).alias("url"), F.concat(F.lit("<h2>"), F.when(k == 0, F.concat(F.lit("Title "), j.cast("string"))).otherwise("other"), F.lit("</h2><div id=c>"), said, F.lit("</div>"), following).alias("html"))
+    return lists.unionByName(books).unionByName(contents)
+
+
+_BOOK_RULE = {
+    "listUrl": "http://books.example/l/0", "listSelector": {"type": "css", "value": "li a"}, "listPagination": '{"type": "next", "selector": "a.n", "maxPage": 10}',
+    "bookTitleSelector": {"type": "css", "value": "h1"}, "chapterListSelector": {"type": "css", "value": "ol li"}, "chapterLinkSelector": {"type": "css", "value": "a"},
+    "chapterTitleSelector": {"type": "css", "value": "a"}, "contentTitleSelector": {"type": "css", "value": "h2"}, "contentSelector": {"type": "css", "value": "#c"},
+    "contentPagination": '{"type": "next", "selector": "a.n", "maxPage": 5}', "dedupMode": "title",
+}
+
+_BOOK_SQL = """WITH b AS (SELECT page_id AS id, page_id % 17 <> 0 AS there, page_id % 19 <> 0 AS titled, 'T' || page_id % 60 AS title, page_id % 10 AS list FROM pages),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY there AND titled, title ORDER BY list, id) AS nth FROM b),
+    books AS (SELECT id, CASE WHEN NOT there THEN 'failed' WHEN NOT titled OR nth > 1 THEN 'skipped' WHEN id % 7 = 0 THEN 'existing' ELSE 'new' END AS outcome FROM seen),
+    c AS (SELECT id, unnest(range(0, id % 4 + 1)) AS j FROM books WHERE outcome IN ('new', 'existing')),
+    chapters AS (SELECT id, j, (id + j) % 3 AS last, CASE WHEN id % 5 = 0 AND j = 0 THEN 'skipped' WHEN id % 11 = 0 AND (id + j) % 3 > 0 THEN 'failed' WHEN id % 13 = 0 THEN 'skipped' ELSE 'new' END AS outcome FROM c)"""
+
+
+def _book_pass(spark, d):
+    stored = table(spark, d, "pages").select("page_id")
+    url = F.concat(F.lit("http://books.example/b/"), F.lpad(F.col("page_id").cast("string"), 9, "0"))
+    books = stored.where("page_id % 7 = 0").select(F.col("page_id").alias("id"), url.alias("url"), F.lit("another title").alias("title"), F.lit(1).alias("updated_at"))
+    first = stored.where("page_id % 5 = 0").select(url.alias("book_url"), F.concat(F.lit("http://books.example/c/"), F.col("page_id").cast("string"), F.lit("/0/0")).alias("url"), F.lit("x").alias("title"))
+    return extract.run_pass(_BOOK_RULE, checkpointed(_book_pages(spark, d)), books, first)
+
+
+@query(_BOOK_SQL + """ SELECT 'http://books.example/c/' || id || '/' || j || '/0' AS url, j + 1 AS sort_order, outcome,
+          CASE WHEN outcome = 'new' THEN list_reduce(list_transform(range(0, last + 1), lambda k: 'text ' || id || '.' || j || '.' || k), lambda x, y: x || chr(10) || chr(10) || y) END AS content,
+          CASE WHEN outcome = 'new' THEN 'Title ' || j END AS title FROM chapters""")
+def rule_run_chapters(spark, d):
+    """A rule's whole pass: every chapter of the books it keeps, with its content over all its pages."""
+    chapters = _book_pass(spark, d).chapters
+    return chapters.select("url", F.col("sort_order").cast("long").alias("sort_order"), "outcome", "content", F.when(F.col("outcome") == "new", F.col("title")).alias("title"))
+
+
+@query(_BOOK_SQL + """ SELECT * FROM (SELECT count(*) FILTER (outcome IN ('new', 'existing')) AS total_books, count(*) FILTER (outcome = 'new') AS new_books, count(*) FILTER (outcome = 'skipped') AS skipped_books,
+          count(*) FILTER (outcome = 'failed') AS failed_books FROM books), (SELECT count(*) FILTER (outcome = 'new') AS new_chapters, count(*) FILTER (outcome = 'skipped') AS skipped_chapters,
+          count(*) FILTER (outcome = 'failed') AS failed_chapters FROM chapters)""")
+def rule_run_counts(spark, d):
+    """The counters of the same pass."""
+    return _book_pass(spark, d).counts()
+
+
 @query("""SELECT o_orderkey, '<html><body><div data-field="status">' || o_orderstatus || '</div>' || chr(10) || '<div data-field="tags">a&amp;b</div>' || chr(10)
           || '<div data-field="tags">' || replace(o_orderpriority, '>', '&gt;') || '</div>' || chr(10) || '<div data-field="items" data-item="true"><span data-field="id">'
           || o_custkey || '</span> <span data-field="n">x</span></div>' || chr(10) || '<div data-field="book"><span data-field="id">' || o_orderkey || '</span></div></body></html>' AS html FROM orders""")

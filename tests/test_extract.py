@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from foliant.operators import catalogue, extract
+from foliant.operators import catalogue, crawl, extract
 
 HOST = "http://books.example"
 
@@ -59,3 +59,24 @@ def test_seeds_and_limits(spark):
     ids = spark.range(30)
     assert [catalogue.limited(ids, n, ids.id).count() for n in (None, "x", 0, -3, "5", 9999)] == [20, 20, 20, 1, 5, 30]
     assert catalogue.filled(spark.createDataFrame([(1, None), (1, 2)], "a int, b int"), "a", "b").count() == 1
+
+
+def test_contents_over_pages(spark):
+    page = lambda text, following=None: f"<h2>{text} title</h2><p>{text}</p>" + (f'<a class=n href="{following}">more</a>' if following else "")
+    rows = [("/a", page("a0", "/a1")), ("/a1", page("", "/a2")), ("/a2", page("a2", "/a")), ("/b", page("b0", "/gone")), ("/d", page("d0")), ("/e", page("e0", "/e"))]
+    pages = spark.createDataFrame([(HOST + u, h) for u, h in rows], "url string, html string")
+    starts = spark.createDataFrame([(HOST + u,) for u in ("/a", "/b", "/c", "/d", "/e", "/d")], "url string")
+    read = lambda most: {r["url"].removeprefix(HOST): tuple(r)[1:] for r in crawl.read_contents(starts, pages, ("css", "p"), ("css", "h2"), "next", "a.n", most).collect()}
+    assert read(100) == {"/a": ("a0 title", "a0\n\na2", 3, True), "/b": ("b0 title", "b0", 2, False), "/c": ("", "", 1, False), "/d": ("d0 title", "d0", 1, True), "/e": ("e0 title", "e0", 1, True)}
+    assert read(1)["/a"] == ("a0 title", "a0", 1, True) and read(2)["/a"][2] == 2 and read(None)["/b"][3]
+
+
+def test_outcomes_of_a_pass(spark):
+    pages = made(spark).unionByName(spark.createDataFrame([(HOST + "/l/1", '<li><a href="/b/1">x</a></li><li><a href="/b/2">x</a></li><li><a href="/b/4">x</a></li><a class=n href="/l/2">n</a>')], "url string, html string"))
+    stored = spark.createDataFrame([("id2", HOST + "/b/2", "Two volumes", "a", "d", 1), ("id1", HOST + "/b/1", "Unrelated", "a", "d", 2)], "id string, url string, title string, author string, description string, updated_at int")
+    chapters = spark.createDataFrame([(HOST + "/b/1", HOST + "/c/12", "Part 12")], "book_url string, url string, title string")
+    done = extract.run_pass(RULE, pages, stored, chapters)
+    assert {r["url"].removeprefix(HOST): (r["outcome"], r["match"]) for r in done.books.collect()} == {
+        "/b/1": ("new", None), "/b/2": ("existing", "id2"), "/b/3": ("skipped", None), "/b/4": ("failed", None),
+    }, "the stored book with the first's address doesn't contain its title"
+    assert done.counts().first().asDict() == {"total_books": 2, "new_books": 1, "skipped_books": 1, "failed_books": 1, "new_chapters": 2, "skipped_chapters": 1, "failed_chapters": 0}
