@@ -6,11 +6,14 @@ import html as entities
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
-from foliant.functions.text import usable_regex
+from foliant.functions import xpath
+from foliant.functions.text import tester_regex, usable_regex
 from foliant.functions.urls import _resolve
 
 # Fixed lists of HTML.
@@ -20,6 +23,7 @@ IMPLIED = (
     (("li",), frozenset({"ul", "ol", "menu"})), (("dt", "dd"), frozenset({"dl"})), (("td", "th"), frozenset({"tr", "table"})),
     (("tr",), frozenset({"table", "tbody", "thead", "tfoot"})), (("option",), frozenset({"select"})),
 )
+# Fixed lists of what cleaning removes.
 SCRIPTS = "script, style, iframe, noscript, object, embed, applet"
 AD_SELECTORS = (
     '[class*="ad"]', '[class*="Ad"]', '[class*="AD"]', '[class*="advert"]', '[class*="sponsor"]', '[class*="promo"]', '[class*="banner"]', '[class*="popup"]',
@@ -202,39 +206,38 @@ def select(root: Element, selector: str) -> list[Element]:
     return [e for e in root.walk() if test(e)]
 
 
-def xpath_to_css(path: str) -> tuple[str, str | None, bool]:
-    """(css, attribute, asks for text) of the XPath subset //a/b[@x='v']/text() or /@attr; a predicate on any step counts."""
-    wants_text = "text()" in path
-    path = path.replace("/text()", "")
-    attribute = re.search(r"/@([\w-]+)$", path)
-    if attribute:
-        path = path[: attribute.start()]
-    name = attribute[1] if attribute else None
-    if not name and (m := re.search(r"\[@([\w-]+)\]$", path)):
-        name = m[1]
-    out, child = [], False
-    for slash, step in re.findall(r"(/{0,2})((?:\[[^\]]*\]|[^/\[])+)", path):
-        step = re.sub(r"\[@([\w-]+)=(['\"])(.*?)\2\]", r'[\1="\3"]', step)
-        step = re.sub(r"\[@([\w-]+)\]", r"[\1]", step)
-        step = re.sub(r"\[contains\(@([\w-]+),\s*(['\"])(.*?)\2\)\]", r'[\1*="\3"]', step)
-        step = re.sub(r"\[(\d+)\]", r":nth-child(\1)", step)
-        out.append(("> " if child and slash == "/" else "") + step)
-        child = True
-    return " ".join(out), name, wants_text
+def xpath_elements(root: Element, path: str) -> tuple[list[Element], str | None, bool]:
+    """(elements, attribute, asks for text) of an XPath: those whose attribute or text it ends with, else its own elements. A path
+    that ends with [@name] asks for that attribute as well."""
+    found = xpath.nodes(root, path)
+    attribute = next((part for _, part in found if isinstance(part, str)), None)
+    text = any(isinstance(part, int) for _, part in found)
+    if not attribute and not text and (m := re.search(r"\[@([\w-]+)\]$", path)):
+        attribute = m[1].lower()
+    return list({id(e): e for e, _ in found}.values()), attribute, text
 
 
 def _elements(root: Element, kind: str, value: str) -> tuple[list[Element], str | None, bool]:
-    css, attribute, text = xpath_to_css(value) if kind == "xpath" else (value, None, False)
     try:
-        return select(root, css), attribute, text
-    except ValueError:
-        return [], attribute, text
+        return xpath_elements(root, value) if kind == "xpath" else (select(root, value), None, False)
+    except (ValueError, RecursionError, TypeError):  # not a path: a wrong number of arguments, too deep
+        return [], None, False
 
 
 def _regex(page: str, pattern: str, flags: int = re.I) -> list[re.Match]:
     return list(re.finditer(pattern, page[:500_000], flags)) if usable_regex(pattern) else []
 
 
+def _timed(text: str, pattern: str, most: int, seconds: float = 2.0) -> list[str]:
+    """The first matches of a tester's expression; none if it is refused or takes too long."""
+    if not tester_regex(pattern):
+        return []
+    try:
+        return [m[0] for m in islice(regex.finditer(pattern, text, regex.S, timeout=seconds), most)]
+    except (TimeoutError, regex.error):
+        return []
+
+
 def one(page: str | None, kind: str, value: str, root: Element | None = None) -> str:
     """A single field: a regex's first whole match; an attribute of the first element, else the text of all."""
     if kind == "regex":
@@ -389,7 +392,7 @@ def inspect(column, kind: str, value: str, most: int = 100):
     def rows(page: str | None) -> list[dict]:
         if kind == "regex":
             body = next(iter(select(parse(page), "body")), parse(page)).text()[:100_000]
-            return [{"at": i, "tag": "#text", "text": m[0][:100], "attrs": {}} for i, m in enumerate(_regex(body, value, re.S)[:most])]
+            return [{"at": i, "tag": "#text", "text": m[:100].strip(), "attrs": {}} for i, m in enumerate(_timed(body, value, most))]
         found = _elements(parse(page), kind, value)[0][:most]
         return [{"at": i, "tag": e.tag, "text": e.text().strip()[:100], "attrs": {k: v[:100] for k, v in e.attrs.items()}} for i, e in enumerate(found)]
 

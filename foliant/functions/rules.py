@@ -157,8 +157,8 @@ RETRY_CODES = (408, 429, 500, 502, 503, 504)
 
 
 def backoff(attempt: Column, base: int = 1000, most: int = 30_000, jitter: Column | None = None) -> Column:
-    """Milliseconds before the next try: doubled each time up to a bound, times 0.5 to 1.5."""
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(float(most))) * (0.5 + (F.rand() if jitter is None else jitter))
+    """Milliseconds before the next try: doubled each time up to a bound, times 0.5 to 1."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(float(most))) * (0.5 + 0.5 * (F.rand() if jitter is None else jitter))
 
 
 def retryable(code: Column) -> Column:

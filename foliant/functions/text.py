@@ -58,6 +58,17 @@ DANGEROUS = (
 )
 
 
+# Fixed shapes that the selector tester refuses.
+TESTER_DANGEROUS = (
+    r"\((?:\([^)]*\)[+*]?\s*)+\+", r"(\.\+|\.\*)\1", r"\[[^\]]*\]\{(\d+),\1\}", r"(\+[+*]|\*[\+*])", r"\(\?[=!:]\([^)]*\)[+*]",
+)
+
+
+def tester_regex(pattern: str) -> bool:
+    """Whether the selector tester runs an expression; the tester has a time limit besides."""
+    return not any(re.search(d, pattern) for d in TESTER_DANGEROUS)
+
+
 def usable_regex(pattern: str) -> bool:
     """Whether an expression of a user may run: no dangerous shape, and it compiles."""
     if any(re.search(d, pattern) for d in DANGEROUS):

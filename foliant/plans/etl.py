@@ -159,7 +159,7 @@ def labels_and_domains(spark, d):
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 20 ELSE least(100, greatest(1, event_id % 300)) END AS size, CASE WHEN event_id % 4 = 0 THEN 1 ELSE least(10000, greatest(1, event_id - 50)) END AS page,
-          CASE WHEN event_id % 7 = 0 THEN 3 ELSE least(20, event_id % 7 * 5) END AS threads, 0.5 * least(1000 * pow(2, event_id % 8), 30000) * 2 AS wait, event_id % 9 IN (0, 1, 4, 5, 6, 7, 8) AS again FROM events""")
+          CASE WHEN event_id % 7 = 0 THEN 3 ELSE least(20, event_id % 7 * 5) END AS threads, 0.75 * least(1000 * pow(2, event_id % 8), 30000) AS wait, event_id % 9 IN (0, 1, 4, 5, 6, 7, 8) AS again FROM events""")
 def clamps_and_retries(spark, d):
     e, i = table(spark, d, "events"), F.col("event_id")
     codes = F.array(*[F.lit(c) for c in (408, 429, 200, 404, 500, 502, 503, 504)])

@@ -98,10 +98,14 @@ def xpath_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(markup.css_many(F.col("html"), "xpath", "//nav//li/a/@href"), " ").alias("links"))
 
 
-@query()
+_LINKS = r"""SELECT page_id, url AS base, unnest(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text,
+             unnest(range(len(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS "at" FROM (SELECT *, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages)"""
+
+
+@query(f"""SELECT page_id, "at", text AS title, CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^https?://[^/?#]+') || href ELSE href END AS url FROM ({_LINKS})""")
 def list_links(spark, d):
     found = markup.link_rows(F.col("html"), F.col("url"), ("css", "nav li"), ("css", "a"), ("css", "a"))
-    return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("at", "link")).select("page_id", "at", "link.title", "link.url")
+    return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("at", "link")).select("page_id", F.col("at").cast("long").alias("at"), "link.title", "link.url")
 
 
 @query()
@@ -110,15 +114,45 @@ def clean_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(plain).cast("long").alias("n_chars"), plain.alias("text"))
 
 
-@query()
+@query(f"""SELECT page_id, "at", 'a' AS tag, trim(text[:100]) AS text, href[:100] AS href FROM ({_LINKS}) WHERE "at" < 100""")
 def selector_tester(spark, d):
     found = markup.inspect(F.col("html"), "css", "nav a[href]")
-    return table(spark, d, "pages").select("page_id", F.explode(found).alias("m")).select("page_id", "m.at", "m.tag", "m.text", F.col("m.attrs")["href"].alias("href"))
+    return table(spark, d, "pages").select("page_id", F.explode(found).alias("m")).select("page_id", F.col("m.at").cast("long").alias("at"), "m.tag", "m.text", F.col("m.attrs")["href"].alias("href"))
 
 
-@query()
+@query(r"""SELECT doc_id, "at", trim(m[:100]) AS text FROM (
+           SELECT doc_id, unnest(ms[:100]) AS m, unnest(range(least(100, len(ms)))) AS "at" FROM (
+               SELECT doc_id, regexp_extract_all(translate(text, '<>&', '   ')[:100000], '[A-Z][a-z]+[,.]\s[A-Z]\w*', 0) AS ms FROM documents))""")
+def tester_matches(spark, d):
+    """A tester's expression over texts as pages."""
+    page = F.concat(F.lit("<body>"), F.translate("text", "<>&", "   "), F.lit("</body>"))
+    found = markup.inspect(page, "regex", r"[A-Z][a-z]+[,.]\s[A-Z][0-9A-Za-z_]*")
+    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("m")).select("doc_id", F.col("m.at").cast("long").alias("at"), "m.text")
+
+
+@query("""SELECT page_id, 'b' || page_id || CASE WHEN page_id % 3 = 0 THEN '|d' ELSE '' END AS second, CAST(CASE WHEN page_id % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS items,
+          CASE WHEN page_id % 2 = 0 THEN 'c' || page_id ELSE '' END AS marked FROM pages""")
+def xpath_positions(spark, d):
+    """Positions among equal names, with other elements between them."""
+    i = F.col("page_id").cast("string")
+    last = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<li class=k>c"), i, F.lit("</li>"))).otherwise("<li>c</li>")
+    more = F.when(F.col("page_id") % 3 == 0, "<ol><p>q</p><li>x</li><i>r</i><li>d</li></ol>").otherwise("<ol></ol>")
+    html = F.concat(F.lit("<ul><p>x</p><li>a</li><p>y</p><li>b"), i, F.lit("</li><i>z</i>"), last, F.lit("</ul>"), more)
+    paths = {"second": "//li[2]/text()", "items": "//ul/li | //ol/li[last()]", "marked": "//li[@class='k' and position() = last()]"}
+    got = {n: markup.css_many(html, "xpath", path) for n, path in paths.items()}
+    return table(spark, d, "pages").select("page_id", F.array_join(got["second"], "|").alias("second"), F.size(got["items"]).cast("long").alias("items"), F.array_join(got["marked"], "|").alias("marked"))
+
+
+_OFFERS = (
+    ("title", "h1", "<h1[ >]"), ("content", "article", "<article[ >]"), ("chapters", '[class*="chapter"]', 'class="[^"]*chapter'), ("chapters", '[class*="list"]', 'class="[^"]*list'),
+    ("content", ".content", 'class="(?:[^" ]* )*content[" ]'), ("content", "#content", 'id="content"'), ("link", "a[href]", "<a [^>]*href="), ("image", "img[src]", "<img [^>]*src="),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, '{f}' AS field, '{c}' AS selector, len(regexp_extract_all(bare, '{p}')) AS matches FROM bare WHERE len(regexp_extract_all(bare, '{p}')) > 0" for f, c, p in _OFFERS).join(
+    ("WITH bare AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS bare FROM pages) ", "")))
 def selector_suggestions(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(markup.suggest(F.col("html"))).alias("s")).select("page_id", "s.field", "s.selector", "s.matches")
+    return table(spark, d, "pages").select("page_id", F.explode(markup.suggest(F.col("html"))).alias("s")).select("page_id", "s.field", "s.selector", F.col("s.matches").cast("long").alias("matches"))
 
 
 @query("SELECT page_id, length(html) > 50000 AS truncated, length(substring(html, 1, 50000)) AS n_chars FROM pages")
@@ -160,22 +194,46 @@ def stored_source(spark, d):
 _EVENTS = limits.Events("user_id", "ts", "event_id", "event_type")
 
 
-@query()
+def _fold_sql(first: str, following: str, result: str) -> str:
+    """A step of each user's state after the other; `first` and `following` give the state from at, label (and the state before)."""
+    return f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, epoch_us(ts) / 1e6 AS sec, event_type AS label,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        f AS (SELECT key, n, id, {first} FROM e WHERE n = 1
+              UNION ALL SELECT e.key, e.n, e.id, {following} FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+        SELECT id, {result} FROM f"""
+
+
+_W1, _W2 = "(used1 = 0 OR sec - start1 > 86400)", "(used2 = 0 OR sec - start2 > 604800)"
+_OK = f"(CASE WHEN {_W1} THEN 0 ELSE used1 END < 5 AND CASE WHEN {_W2} THEN 0 ELSE used2 END < 15)"
+
+
+@query(_fold_sql("sec AS start1, 1 AS used1, sec AS start2, 1 AS used2, true AS allowed",
+    f"CASE WHEN {_W1} THEN sec ELSE start1 END, CASE WHEN {_W1} THEN 0 ELSE used1 END + CAST({_OK} AS INT), CASE WHEN {_W2} THEN sec ELSE start2 END, CASE WHEN {_W2} THEN 0 ELSE used2 END + CAST({_OK} AS INT), {_OK}",
+    "allowed, CAST(used1 AS DOUBLE) AS value"))
 def rate_limit_fixed_window(spark, d):
     return limits.run_batch(table(spark, d, "events"), _EVENTS, limits.fixed_windows(((5, 86_400.0), (15, 7 * 86_400.0)))).select("id", "allowed", "value")
 
 
-@query()
+_REFILLED = "least(3.0::DOUBLE, tokens + (sec - last) * (1::DOUBLE / 86400))"
+
+
+@query(_fold_sql("2.0::DOUBLE AS tokens, sec AS last, true AS allowed", f"CASE WHEN {_REFILLED} >= 1 THEN {_REFILLED} - 1 ELSE {_REFILLED} END, sec, {_REFILLED} >= 1",
+    "allowed, CASE WHEN allowed THEN 0.0::DOUBLE ELSE -floor((tokens - 1) / (1::DOUBLE / 86400)) END AS value"))
 def token_bucket(spark, d):
     return limits.run_batch(table(spark, d, "events"), _EVENTS, limits.token_bucket(3.0, 1 / 86_400)).select("id", "allowed", "value")
 
 
-@query()
+_OPEN = "(opened >= 0 AND sec - opened < 86400)"
+
+
+@query(_fold_sql("CAST(label = 'error' AS INT) AS failed, -1.0::DOUBLE AS opened, true AS allowed",
+    f"CASE WHEN {_OPEN} THEN failed WHEN label = 'error' THEN failed + 1 ELSE 0 END, CASE WHEN {_OPEN} THEN opened WHEN label = 'error' AND (failed + 1 >= 2 OR opened >= 0) THEN sec ELSE -1 END, NOT {_OPEN}",
+    "allowed, CAST(failed AS DOUBLE) AS value"))
 def circuit_breaker(spark, d):
     return limits.run_batch(table(spark, d, "events"), _EVENTS, limits.circuit_breaker(2, 86_400.0)).select("id", "allowed", "value")
 
 
-@query()
+@query(_fold_sql("sec AS last, true AS allowed", "CASE WHEN label = 'purchase' OR sec - last >= 86400 THEN sec ELSE last END, label = 'purchase' OR sec - last >= 86400", "allowed, last AS value"))
 def progress_throttle(spark, d):
     return limits.run_batch(table(spark, d, "events"), _EVENTS, limits.throttle(86_400.0, ("purchase",))).select("id", "allowed", "value")
 

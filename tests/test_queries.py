@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from foliant.plans import catalogue, etl, pages, search  # noqa: F401
+from foliant.plans import catalogue, etl, fetch, pages, search  # noqa: F401
 
 NAMES = sorted(catalogue.QUERIES)
 
