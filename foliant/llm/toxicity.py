@@ -1,13 +1,15 @@
 """Toxicity by compression distance: one zstandard dictionary of toxic and one of ordinary text.
 
-The toxic dictionary is trained on the words that toxic documents have in excess, not on their running text: the README gives
-the figures of both. Only letters count; digits and signs are no part of a window.
+The toxic dictionary is trained on the windows that toxic documents have in excess, not on their running text: the README
+gives the figures of both. Only letters count; digits and signs are no part of a window.
 
 A window is one word with its borders, followed by a filler that both dictionaries hold, so that a match may start
-anywhere in the word. Its gain is the compressed length under the ordinary dictionary less that under the toxic one,
-which knows the ordinary text as well: ordinary words gain nothing, words of toxic text several bytes. A document
-is described by how many of its windows reach each gain threshold; a logistic curve fitted on the labelled sample
-calibrates those counts to the probability of the label.
+anywhere in the word; the toxic one holds its windows with their fillers, so that a whole window is a single match. Its gain
+is the compressed length under the ordinary dictionary less that under the toxic one, which knows the ordinary text as
+well: ordinary words gain nothing or little, words of toxic text most of their bytes. A document is described by how many of
+its windows reach each gain threshold; a logistic curve fitted on the labelled sample calibrates those counts to the
+probability of the label. There is a pair of dictionaries for each part of the sample, trained on the other parts: the curve
+is fitted on what each part's own pair tells of it, and a new text's score is the mean over the pairs.
 
 Fitting reads a bounded sample: at most about `sample_rows` labelled rows, chosen by a hash of doc_id. Scoring reads
 every row and whole texts, in one narrow stage without a shuffle.
@@ -19,7 +21,9 @@ empty documents table gives no rows; repeated rows are scored each; other column
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,12 +38,13 @@ from pyspark.sql import functions as F
 from foliant.llm.common import body, hash_sample, text_digest, worker_cache
 
 WORD = re.compile(r"[^\W\d_]+")
-FILLER = b"0123456789ABCDEFGHIJKLMNOP"
+FILLER = b"0123456789ABCDEF"
 LEVEL = 6
 #: Gains, in bytes, at which windows are counted.
-THRESHOLDS = (1, 2, 3, 4, 5)
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 7, 8)
+TOP = THRESHOLDS[-1]
 FOLDS = 5
-#: Parts of the labelled sample that calibrate the curve, each by the dictionaries of the others.
+#: Parts of the labelled sample; each has dictionaries that were trained on the others.
 INNER = 3
 #: Distinct windows whose gain a Python worker remembers.
 CACHE_WINDOWS = 400_000
@@ -47,8 +52,9 @@ CACHE_WINDOWS = 400_000
 
 @dataclass(frozen=True)
 class Model:
-    ordinary: bytes
-    toxic: bytes
+    """Pairs of contents (ordinary, toxic), one for each part of the sample, trained on the other parts, and one curve for all."""
+
+    pairs: tuple[tuple[bytes, bytes], ...]
     weights: tuple[float, ...]
 
 
@@ -57,11 +63,11 @@ def words_of(text: str) -> list[str]:
 
 
 class Gains(dict):
-    """Window -> gain; unseen windows are compressed under both dictionaries."""
+    """Window -> its gains, clipped to 0..TOP, under each pair of dictionaries, as the digits of one number."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, pairs: tuple[tuple[bytes, bytes], ...]) -> None:
         super().__init__()
-        self.pair = [self._compressor(model.ordinary), self._compressor(model.toxic)]
+        self.pairs = [tuple(self._compressor(content) for content in pair) for pair in pairs]
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -73,20 +79,26 @@ class Gains(dict):
 
     def __missing__(self, word: str) -> int:
         window = f" {word} ".encode() + FILLER
-        ordinary, toxic = (len(c.compress(window)) for c in self.pair)
+        code = 0
+        for ordinary, toxic in self.pairs:
+            code = code * (TOP + 1) + min(TOP, max(0, len(ordinary.compress(window)) - len(toxic.compress(window))))
         if len(self) >= CACHE_WINDOWS:
             self.clear()
-        self[word] = gain = ordinary - toxic
-        return gain
+        self[word] = code
+        return code
 
 
 def features(words: list[str], gains: Gains) -> np.ndarray:
-    top = THRESHOLDS[-1]
-    got = np.fromiter((gains[w] for w in words), dtype=np.int64, count=len(words))
-    counts = np.bincount(np.clip(got, 0, top), minlength=top + 1)
-    reach = np.cumsum(counts[::-1])[::-1][1:].astype(float)
-    share = reach / (len(words) + 20)
-    return np.concatenate([[1.0, np.log1p(len(words)) / 8], np.sqrt(share), np.log1p(reach) / 4, 4 * share])
+    """A row for each pair of dictionaries."""
+    n = len(gains.pairs)
+    counts = np.bincount(np.fromiter((gains[w] for w in words), dtype=np.int64, count=len(words)), minlength=(TOP + 1) ** n).reshape((TOP + 1,) * n)
+    rows = []
+    for k in range(n):
+        own = counts.sum(axis=tuple(i for i in range(n) if i != k))
+        reach = np.cumsum(own[::-1])[::-1][list(THRESHOLDS)].astype(float)
+        share = reach / (len(words) + 20)
+        rows.append(np.concatenate([[1.0, np.log1p(len(words)) / 8], np.sqrt(share), np.log1p(reach) / 4, 4 * share]))
+    return np.array(rows)
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -125,42 +137,48 @@ class Part:
 
 
 def _dictionaries(parts: list[Part], size: int, odds: float) -> tuple[bytes, bytes]:
-    """Trained contents. Toxic samples are the windows over-represented in toxic documents, as often as they occur
-    there; ordinary samples are runs of four words of ordinary documents."""
+    """Trained contents. Toxic samples are the windows over-represented in toxic documents (their share there at least `odds`
+    times that in ordinary ones), as often as they occur there; ordinary samples are runs of four words of ordinary documents."""
     seen = [sum((p.seen[kind] for p in parts), Counter()) for kind in (0, 1)]
     rows = [sum(p.rows[kind] for p in parts) for kind in (0, 1)]
     sure = {w: k - math.sqrt(k) for w, k in seen[1].items() if k >= 2}  # a count less its own spread
     ratio = {w: (k / rows[1]) / ((seen[0][w] + 0.5) / rows[0]) for w, k in sure.items()}
     strange = sorted((w for w in ratio if ratio[w] >= odds), key=lambda w: (-seen[1][w], w))
-    toxic = [f" {w} ".encode() for w in strange for _ in range(seen[1][w])]
-    toxic = [b"".join(toxic[i::len(toxic) // 3 + 1]) for i in range(len(toxic) // 3 + 1)]
-    return _trained([x for p in parts for x in p.ordinary], 4096), _trained(toxic, size)
-
-
-def fit_rows(rows: Iterable[tuple[str, int]], size: int = 4096, odds: float = 40.0) -> Model:
-    """The model of labelled texts. Each of INNER parts of the sample is scored by dictionaries of the other parts to fit
-    the curve, since a dictionary knows its own samples too well; the dictionaries kept are those of the whole sample."""
-    docs, known, shared = [], set(), {}
+    windows = [f" {w} ".encode() + FILLER for w in strange]
+    toxic = [x for w, x in zip(strange, windows, strict=True) for _ in range(seen[1][w])]
+    trained = _trained([b"".join(toxic[i::len(toxic) // 3 + 1]) for i in range(len(toxic) // 3 + 1)], size)
+    missing, room = [x for x in windows if x not in trained], size  # the trainer cuts windows; the commonest of them are put behind
+    while missing and sum(map(len, missing)) > room:
+        missing.pop()
+    return _trained([x for p in parts for x in p.ordinary], 4096), trained + b"".join(reversed(missing))
+
+
+def fit_rows(rows: Iterable[tuple[str, int]], size: int = 4096, odds: float = 15.0) -> Model:
+    """The model of labelled texts, the same for any order of the rows. A dictionary knows its own samples too well, so each of
+    INNER parts of the sample is told by the dictionaries of the other parts, and the curve is fitted on that. New texts are
+    scored under each of these pairs with the one curve, and the scores averaged: the curve meets what it was fitted on."""
+    labelled: dict[bytes, tuple[str, int]] = {}
     for text, toxic in rows:
-        mark = hash(text)
-        if mark not in known:
-            known.add(mark)
-            docs.append(([shared.setdefault(w, w) for w in words_of(text)], int(toxic)))
+        mark = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+        labelled[mark] = (text, max(int(toxic), labelled.get(mark, ("", 0))[1]))
+    shared: dict[str, str] = {}
+    docs = [([shared.setdefault(w, w) for w in words_of(text)], toxic) for _, (text, toxic) in sorted(labelled.items())]
     y = np.array([t for _, t in docs], dtype=float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
-        return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (1 + 3 * len(THRESHOLDS))))
+        return Model((), (float(np.log(share / (1 - share))), *[0.0] * (1 + 3 * len(THRESHOLDS))))
     x = np.zeros((len(docs), 2 + 3 * len(THRESHOLDS)))
     parts = [Part(docs[i::INNER]) for i in range(INNER)]
+    pairs = []
     for i, part in enumerate(parts):
         others = parts[:i] + parts[i + 1 :]
         mixed = all(sum(p.rows[kind] for p in others) for kind in (0, 1))
         ordinary, toxic = _dictionaries(others if mixed else parts, size, odds)
-        gains = Gains(Model(ordinary, toxic + ordinary, ()))
+        pairs.append((ordinary, toxic + ordinary))
+        gains = Gains((pairs[-1],))
         for k, (words, _) in enumerate(part.docs):
-            x[i + k * INNER] = features(words, gains)
-    ordinary, toxic = _dictionaries(parts, size, odds)
-    return Model(ordinary, toxic + ordinary, tuple(_curve(x, y)))
+            x[i + k * INNER] = features(words, gains)[0]
+    return Model(tuple(pairs), tuple(_curve(x, y)))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -176,17 +194,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = fit_rows((t.as_py(), int(k.as_py())) for b in batches for t, k in zip(b.column("text"), b.column("toxic"), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([m.ordinary]), pa.array([m.toxic]), pa.array([list(m.weights)], pa.list_(pa.float64()))], names=["ordinary", "toxic", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)])], names=["model"])
 
-    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text")
-    fitted = rows.select("text", "toxic").mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").first()
-    return Model(bytes(fitted["ordinary"]), bytes(fitted["toxic"]), tuple(fitted["weights"])) if fitted else fit_rows([])
+    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id").repartition(1)
+    fitted = rows.select("text", "toxic").mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit_rows([])
 
 
 def score_texts(texts: Iterable[str], model: Model) -> np.ndarray:
-    gains, w = worker_cache(model, lambda: Gains(model)), np.array(model.weights)
-    x = np.array([features(words_of(t) if model.toxic else [], gains) for t in texts]).reshape(-1, len(w))
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    w = np.array(model.weights)
+    if not model.pairs:
+        at = np.zeros(len(w))
+        at[0] = 1.0
+        return np.full(len(list(texts)), 1 / (1 + np.exp(-np.clip(at @ w, -30, 30))))
+    gains = worker_cache(model, lambda: Gains(model.pairs))
+    x = np.array([features(words_of(t), gains) for t in texts]).reshape(-1, len(model.pairs), len(w))
+    return (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).mean(axis=1)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
