@@ -45,11 +45,13 @@ def flushes(rows: DataFrame, task: str = "task_id", order: tuple[str, ...] = ("c
 
 def start_log_sink(stream: DataFrame, folder: str, checkpoint: str, once: bool = False, after: Callable[[int], None] | None = None) -> StreamingQuery:
     """Write what a tick flushes to folder/batch=N, every five seconds, or over what is there. A batch that is run again
-    after a failure, with the same number and rows, replaces its own folder, so each row is there once. `after` is called
-    with N once a batch is written."""
+    after a failure, with the same number and rows, replaces its own folder, so each row is there once. Rows without task_id,
+    created_at and id are written as they come. `after` is called with N once a batch is written."""
 
     def write(batch: DataFrame, n: int) -> None:
-        flushes(log_rows(batch)).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        rows = log_rows(batch)
+        rows = flushes(rows) if {"task_id", "created_at", "id"} <= set(rows.columns) else rows
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={n}")
         if after:
             after(n)
 
