@@ -177,10 +177,12 @@ def resolve_urls(spark, d):
     return linked.select("page_id", urls.resolve_url(F.col("url"), F.col("link")).alias("resolved"))
 
 
-@query()
+@query("""WITH RECURSIVE chain AS (SELECT page_id AS first, page_id AS id, CAST(0 AS BIGINT) AS page_no FROM pages WHERE page_id % 5 = 0
+          UNION ALL SELECT first, p.page_id, page_no + 1 FROM chain JOIN pages p ON p.page_id = chain.id + 1 WHERE chain.id % 5 <> 4 AND page_no < 9)
+          SELECT CAST(first AS VARCHAR) AS start, CAST(id AS VARCHAR) AS url, page_no FROM chain""")
 def paginated_chain(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), F.when(F.col("page_id") % 5 != 4, (F.col("page_id") + 1).cast("string")).alias("next_url"))
-    return crawl.follow_pages(pages.where("url % 5 = 0").select("url"), pages, 10)
+    return crawl.follow_pages(pages.where("url % 5 = 0").select("url"), pages, 10).withColumn("page_no", F.col("page_no").cast("long"))
 
 
 @query("""SELECT page_id, u.url, CASE WHEN u.url LIKE 'http%' THEN 200 ELSE 404 END AS status_code FROM pages u""")
