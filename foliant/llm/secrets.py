@@ -10,7 +10,7 @@ patterns match is random, words and identifiers outside of matches are ordinary;
 alphabets join the random side, so that a corpus without secrets trains a usable model. Scanning is one narrow stage
 over every row and whole texts.
 
-Defined results: null and empty texts have no spans (the digest of the empty text); a very long text is scanned whole; an empty table
+Defined results: null and empty texts have no spans (the digest of the empty text); a very long text is scanned whole, in time that grows with its length times the log of its secrets; an empty table
 gives no rows; repeated rows are scanned each;
 spans count code points, ends exclusive; ties of start order as assign, access, hex, markov.
 """
@@ -18,6 +18,7 @@ spans count code points, ends exclusive; ties of start order as assign, access,
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -96,8 +97,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _covered(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, _, e in spans)
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, overlapping ones put together, in order."""
+    starts, ends = [], []
+    for s, _, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _covered(merged: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    starts, ends = merged
+    last = bisect_left(starts, end) - 1  # the last that starts before the end
+    return last >= 0 and ends[last] > start
 
 
 def train(texts: Iterable[str], seed: int = 7, drawn: int = 400) -> Markov:
@@ -106,9 +121,10 @@ def train(texts: Iterable[str], seed: int = 7, drawn: int = 400) -> Markov:
     random, ordinary = Counter(), Counter()
     for text in texts:
         spans = base_spans(text)
+        covered = _merged(spans)
         random.update(text[s:e] for s, kind, e in spans if kind)
         random.update(m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 16)
-        ordinary.update(m[0] for m in WORD.finditer(text) if not _covered(spans, *m.span()))
+        ordinary.update(m[0] for m in WORD.finditer(text) if not _covered(covered, *m.span()))
     strings = ["".join(rng.choice(list(a), size=int(rng.integers(16, 65)))) for a in ALPHABETS for _ in range(drawn)]
     ratio = _model(random + Counter(strings)) - _model(ordinary)
     high = np.array([_score(ratio, t) for t in strings])
@@ -124,14 +140,14 @@ def fit(docs: DataFrame, sample_rows: int = 1500) -> Markov:
 
 def scan(text: str, model: Markov, known: dict[str, bool]) -> list[tuple[int, int, int]]:
     spans = base_spans(text)
-    added = []
+    covered, added = _merged(spans), []
     for m in TOKEN.finditer(text):
         token = m[0]
         if token not in known:
             if len(known) > 100_000:
                 known.clear()
             known[token] = not token.isdigit() and model.score(token) > model.threshold
-        if known[token] and not _covered(spans, *m.span()):
+        if known[token] and not _covered(covered, *m.span()):
             added.append((m.start(), 3, m.end()))
     return sorted(spans + added)
 

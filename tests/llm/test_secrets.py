@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from foliant.llm import secrets as x
 
@@ -75,3 +76,25 @@ def test_added_spans_leave_base_ones():
     model = x.train(ordinary())
     text = "token=Zk3xQ9vLw7Tt2Bn8Yp4R and Hq8Zr2Wk9Lx4Vb7Nm3Tc6"
     assert x.joined(x.scan(text, model, {})) == "assign:0:26,markov:31:52"
+
+
+def test_covered_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        spans = sorted((s, rng.randint(0, 2), s + rng.randint(1, 12)) for s in (rng.randint(0, 80) for _ in range(rng.randint(0, 9))))
+        merged = x._merged(spans)
+        for start in range(0, 95, 3):
+            end = start + rng.randint(1, 9)
+            assert x._covered(merged, start, end) == any(s < end and start < e for s, _, e in spans)
+
+
+def test_time_is_linear_in_a_text_full_of_secrets():
+    model = x.train(ordinary())
+
+    def seconds(n: int) -> float:
+        text, began = "token=Zk3xQ9vLw7Tt2Bn8 environmental_protection_agency " * n, time.perf_counter()
+        x.scan(text, model, {})
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.01)
