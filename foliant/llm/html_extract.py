@@ -8,7 +8,9 @@ kept with those siblings that score well beside it or are plain running text. Fr
 headers, footers, sidebars, notices, adverts, forms, comments. A headed page keeps its h1 if it leads the container.
 
 Within an article or main element, a header's headings stay, and a name that may stand on furniture as well as on a part of the article
-(notice, tools, side) drops only what isn't running text; elsewhere such names drop the block.
+(notice, tools, side) drops only what isn't running text. Elsewhere a block of such a name, or of one of sharing, stays if
+it holds most of the page's text outside of links and furniture. Text of formulas and objects stays; what is meant for browsers without
+scripts (noscript) goes with the scripts.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined in page order
 by one space. Nothing is capped; a page is one row of a narrow stage.
@@ -45,7 +47,7 @@ SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -    　]+")
 
 # Fixed sets of HTML's own element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas noembed noframes annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -70,18 +72,24 @@ OFF = re.compile(
     re.I,
 )
 #: Names that also stand on parts of an article: there, running text of this many characters with few links stays.
-SOFT = re.compile(r"(?:^|[\s_-])(?:byline|foot|header|masthead|notices?|side|skip|tags?|toolbar|tools|widgets?|alert|disclaimer|search)(?:$|[\s_\d-])", re.I)
+SOFT_NAMES = "byline|foot|header|masthead|notices?|side|skip|tags?|toolbar|tools|widgets?|alert|disclaimer|search"
+SOFT = re.compile(rf"(?:^|[\s_-])(?:{SOFT_NAMES})(?:$|[\s_\d-])", re.I)
+#: Names that also stand on an article's container: elsewhere, such a block stays if it holds most of the page's unlinked text.
+CONTAINER = re.compile(rf"(?:^|[\s_-])(?:{SOFT_NAMES}|share|sharing|social)(?:$|[\s_\d-])", re.I)
 RUNNING = 240
 GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 ROLES_OFF = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "parts", "up", "score", "hidden", "depth")
+    __slots__ = ("tag", "names", "role", "parts", "up", "score", "hidden", "depth", "inside", "chars", "links", "clear", "most", "off")
 
     def __init__(self, tag: str, up: Node | None, attrs: str = "") -> None:
         self.tag, self.up, self.names, self.role, self.hidden = tag, up, "", "", False
         self.depth = up.depth + 1 if up else 0
+        self.inside = up is not None and (up.inside or up.tag in ("article", "main"))
+        self.chars = self.links = self.clear = 0
+        self.most = self.off = False
         self.parts: list[Node | str] = []
         self.score = 0.0
         if attrs and not attrs.isspace():
@@ -163,36 +171,42 @@ def parse(page: str) -> Node:
     return root
 
 
-def off_page(node: Node) -> bool:
-    """Whether a node is the page's furniture rather than part of an article."""
-    if node.tag == "header" and not node.hidden and _in_article(node):
+def _fixed(node: Node) -> bool:
+    """Whether a node's kind, role or state, or a name that no article has, makes it furniture whatever it holds."""
+    if node.tag == "header" and not node.hidden and node.inside:
         return False
     if node.tag in DROPPED or node.hidden or node.role in ROLES_OFF:
         return True
-    if not node.names or node.tag in ("html", "body", "article", "main") or not OFF.search(node.names):
-        return False
-    return not (_in_article(node) and not OFF.search(SOFT.sub(" ", node.names)) and _runs(node))
+    return _named_off(node) and bool(OFF.search((SOFT if node.inside else CONTAINER).sub(" ", node.names)))
 
 
-def _in_article(node: Node) -> bool:
-    up = node.up
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.up
-    return up is not None
+def _named_off(node: Node) -> bool:
+    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and bool(OFF.search(node.names))
 
 
-def _runs(node: Node) -> bool:
-    """Whether a node holds running text rather than short labels or links."""
-    chars = links = 0
-    stack: list[tuple[Node | str, bool]] = [(p, node.tag == "a") for p in node.parts]
-    while stack:
-        part, linked = stack.pop()
-        if isinstance(part, str):
-            size = len(SPACE.sub(" ", part).strip())
-            chars, links = chars + size, links + size * linked
-        else:
-            stack += [(p, linked or part.tag == "a") for p in part.parts]
-    return chars >= RUNNING and links <= 0.2 * chars
+def _measure(root: Node) -> None:
+    """Of each element, the characters below, those in links, those neither in links nor in fixed furniture, whether the
+    latter are most of the page's, and whether it is the page's furniture rather than part of an article (off)."""
+    order = list(root.elements())
+    for node in reversed(order):  # children come before their parents
+        for p in node.parts:
+            if isinstance(p, str):
+                size = len(SPACE.sub(" ", p).strip())
+                node.chars += size
+                node.clear += size
+            else:
+                node.chars += p.chars
+                node.links += p.links
+                node.clear += p.clear
+        if node.tag == "a":
+            node.links = node.chars
+        node.off = _fixed(node)
+        if node.tag == "a" or node.off:
+            node.clear = 0
+    for node in order:
+        node.most = 2 * node.clear > root.clear
+        if not node.off and node.tag != "header" and _named_off(node):
+            node.off = not (node.chars >= RUNNING and node.links <= 0.2 * node.chars if node.inside else node.most)
 
 
 def blocks(node: Node, keep_all: bool = False) -> list[str]:
@@ -215,7 +229,7 @@ def blocks(node: Node, keep_all: bool = False) -> list[str]:
             run.append(part)
         elif part.tag in ("br", "hr"):
             run.append(" ")
-        elif keep_all or not off_page(part):
+        elif keep_all or not part.off:
             if part.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -225,21 +239,6 @@ def blocks(node: Node, keep_all: bool = False) -> list[str]:
     return out
 
 
-def _lengths(root: Node) -> dict[int, tuple[int, int]]:
-    """(characters, of those in links) below each element."""
-    found: dict[int, tuple[int, int]] = {}
-    for node in reversed(list(root.elements())):  # children come before their parents
-        chars = links = 0
-        for p in node.parts:
-            if isinstance(p, str):
-                chars += len(SPACE.sub(" ", p).strip())
-            else:
-                c, l = found[id(p)]
-                chars, links = chars + c, links + l
-        found[id(node)] = (chars, chars if node.tag == "a" else links)
-    return found
-
-
 def _own_text(node: Node) -> str:
     """A paragraph's text: its inline content, without nested blocks."""
     out, stack = [], [*reversed(node.parts)]
@@ -254,10 +253,10 @@ def _own_text(node: Node) -> str:
 
 def _weight(node: Node) -> float:
     names = node.names
-    return (25.0 if GOOD.search(names) else 0.0) - (25.0 if OFF.search(names) else 0.0) + (25.0 if node.tag in ("article", "main") else 0.0)
+    return (25.0 if GOOD.search(names) else 0.0) - (25.0 if OFF.search(names) and not node.most else 0.0) + (25.0 if node.tag in ("article", "main") else 0.0)
 
 
-def _whole(best: Node, furniture: set[int], lengths: dict[int, tuple[int, int]]) -> Node:
+def _whole(best: Node, furniture: set[int]) -> Node:
     """The innermost article or main element around the best container; without one, the outermost parent (below the
     body) reached while the other children are no furniture and under a quarter of their text is links."""
     up = best
@@ -267,7 +266,7 @@ def _whole(best: Node, furniture: set[int], lengths: dict[int, tuple[int, int]])
         up = up.up
     while best.up is not None and best.up.tag in ("div", "section", "td"):
         others = [p for p in best.up.parts if isinstance(p, Node) and p is not best]
-        chars, links = (sum(lengths[id(p)][i] for p in others) for i in (0, 1))
+        chars, links = sum(p.chars for p in others), sum(p.links for p in others)
         if any(id(p) in furniture for p in others) or links > 0.25 * chars:
             break
         best = best.up
@@ -278,14 +277,14 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _measure(root)
     furniture: set[int] = set()
     order: list[Node] = []
     for node in root.elements():
-        if id(node.up) in furniture or (node.up is not None and off_page(node)):
+        if id(node.up) in furniture or (node.up is not None and node.off):
             furniture.add(id(node))
         else:
             order.append(node)
-    lengths = _lengths(root)
     candidates: dict[int, Node] = {}
     for node in order:
         if node.tag not in PARAGRAPH:
@@ -302,22 +301,21 @@ def extract(page: str | None) -> str:
             up.score += points * share
             up, share = up.up, share / 2
     for node in candidates.values():
-        chars, links = lengths[id(node)]
-        node.score *= 1 - links / chars if chars else 0
+        node.score *= 1 - node.links / node.chars if node.chars else 0
     best = max(candidates.values(), key=lambda n: n.score, default=None)
     if best is None or best.score <= 0:
         bodies = [n for n in order if n.tag == "body"] or [root]
         return " ".join(blocks(bodies[0]))
     while best.tag not in ("article", "main", "body", "div", "section", "td", "#page") and best.up is not None:
         best = best.up
-    best = _whole(best, furniture, lengths)
+    best = _whole(best, furniture)
     if best.up is None or best.tag in ("body", "article", "main", "html"):
         return " ".join(blocks(best))
     bar, out = max(10.0, best.score * 0.2), []
     for part in best.up.parts:
         if not isinstance(part, Node) or id(part) in furniture:
             continue
-        chars, links = lengths[id(part)]
+        chars, links = part.chars, part.links
         density = links / chars if chars else 1.0
         running = part.tag == "p" and (chars > 80 and density < 0.25 or 0 < chars <= 80 and links == 0 and _own_text(part).endswith((".", "!", "?")))
         if part is best or (id(part) in candidates and part.score >= bar) or running or (part.tag in ("h1", "h2") and links == 0):

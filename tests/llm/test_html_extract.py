@@ -87,6 +87,32 @@ def test_names_of_furniture_in_an_article(inside, text):
     assert x.extract(FRAME.format(f"<article>{inside}</article>")) == text
 
 
+@pytest.mark.parametrize("names", ["blog-share-post", "story side", "page-header main", "tag-article", "widget post", "social-science", "tools", "search-results"])
+def test_names_of_furniture_on_a_container(names):
+    assert x.extract(FRAME.format(f"<div class='{names}'>{LONG}</div><div><p>Short.</p></div>")) == KEPT
+    assert x.extract(FRAME.format(f"<div><div class='{names}'><p>{P2}</p></div><div>{LONG}</div></div>")) == KEPT
+
+
+@pytest.mark.parametrize("names", ["comments", "sidebar", "related", "newsletter", "disqus", "ad"])
+def test_names_that_no_article_has(names):
+    assert x.extract(FRAME.format(f"<div><p>{P1}</p><p>{P2}</p></div><div class='{names}'>{LONG}</div>")) == f"{P1} {P2}"
+
+
+def test_formulas_and_objects_stay():
+    inside = f"<p>{P1} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p><object data=a.pdf><p>{P2}</p></object><noscript>Turn scripts on</noscript>"
+    assert x.extract(FRAME.format(f"<article>{inside}</article>")) == f"{P1} x=2 {P2}"
+
+
+def test_time_is_linear_in_nested_names():
+    def seconds(n: int) -> float:
+        page, began = "<article>" + "<div class=tools>" * n + f"<p>{P1}</p>" * 4000 + "</div>" * n + "</article>", time.perf_counter()
+        assert len(x.extract(page)) > 300_000
+        return time.perf_counter() - began
+
+    seconds(5)
+    assert seconds(500) < 4 * max(seconds(50), 0.1)
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<b>x</i>", "<div>", "<b>", "<i><div></i>", "<li>", "<td>", "<a href='", '<a href="x', "<p><b>", "<!-- ", "</b>", "<ul><li><b>"])
 def test_time_is_linear_in_broken_pages(unit):
     def seconds(n: int) -> float:
