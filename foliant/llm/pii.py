@@ -10,9 +10,9 @@ the value (check digits are computed anew), different values stay different, and
 Each document is one row of a narrow stage: what lies between candidates is kept as it is.
 
 Defined results: null and empty texts stay empty with no findings; invalid candidates stay and don't count; dates
-outside of the 72,900 days from 1900-01-01 stay, and so do dates with the month's name; 03/04/2020 counts as a day of April, 12/31/1999 as
-one of December; very long texts are one row each, matched without backtracking over their length; an empty table gives no rows; repeated
-rows are treated each; other columns are ignored.
+outside of the 72,900 days from 1900-01-01 stay, and so do dates with the month's name; 03/04/2020 counts as a day of April; 12/31/1999, one of
+December, becomes another month-first date of the first 44,100 (up to April 2099; later ones stay); very long texts are one row each, matched without backtracking over their length, and a
+very long value takes time in proportion to its length; an empty table gives no rows; repeated rows are treated each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 FIRST_DAY, DAYS_ROOT = "1900-01-01", 270
+#: Month-first dates are those of the days from the 13th on; so many squared of them are permuted among each other.
+LATE_ROOT = 210
 
 
 def _let(value: Column, then) -> Column:
@@ -65,14 +67,14 @@ def _let(value: Column, then) -> Column:
 
 
 def _chars(s: Column) -> Column:
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
-def _round(key: str, kind: str, r: Column, half: Column) -> Column:
+def _round(key: Column | str, kind: str, r: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), half).cast("binary"), 256)
 
 
-def permute_pair(x: Column, y: Column, mx: int, my: int, key: str, kind: str) -> Column:
+def permute_pair(x: Column, y: Column, mx: int, my: int, key: Column | str, kind: str) -> Column:
     """struct(x, y): a keyed permutation of the pairs with 0 <= x < mx and 0 <= y < my."""
     start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(mx).cast("long").alias("mx"), F.lit(my).cast("long").alias("my"))
 
@@ -83,7 +85,7 @@ def permute_pair(x: Column, y: Column, mx: int, my: int, key: str, kind: str) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def permute_symbols(s: Column, alphabet: str, key: str, kind: str) -> Column:
+def permute_symbols(s: Column, alphabet: str, key: Column | str, kind: str) -> Column:
     """A keyed permutation of the strings of one length over an alphabet; a single symbol is moved by a keyed step, so that
     none stays as it is (of longer strings, one on average does)."""
 
@@ -110,14 +112,9 @@ def permute_symbols(s: Column, alphabet: str, key: str, kind: str) -> Column:
 def _refill(value: Column, fresh: Column, symbols: str) -> Column:
     """value with its characters of the class `symbols`, in order, replaced by those of fresh."""
 
-    def fill(f: Column) -> Column:
-        def place(c: Column, i: Column) -> Column:
-            nth = F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), f"[^{symbols}]", ""))
-            return F.when(c.rlike(f"[{symbols}]"), F.substring(f, nth, F.lit(1))).otherwise(c)
-
-        return F.array_join(F.transform(_chars(value), place), "")
-
-    return _let(fresh, fill)
+    between = F.split(value, f"[{symbols}]", -1)
+    woven = F.zip_with(between, _chars(fresh), lambda kept, new: F.concat(kept, F.coalesce(new, F.lit(""))))
+    return F.array_join(woven, "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -139,13 +136,13 @@ def _valid_card(digits: Column) -> Column:
     return F.pmod(_luhn(digits), F.lit(10)) == 0
 
 
-def _fresh_card(digits: Column, key: str) -> Column:
+def _fresh_card(digits: Column, key: Column | str) -> Column:
     payload = permute_symbols(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
     check = lambda p: F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(p, F.lit("0"))), F.lit(10)), F.lit(10))
     return _let(payload, lambda p: F.concat(p, check(p).cast("string")))
 
 
-def _card(x: Column, key: str) -> Column:
+def _card(x: Column, key: Column | str) -> Column:
     """One card, or a chain of groups of four in which each first valid run of four groups is a card."""
 
     def one(digits: Column) -> Column:
@@ -175,7 +172,7 @@ def _card(x: Column, key: str) -> Column:
     return F.when(kind[0], chained(" ")).when(kind[1], chained("-")).otherwise(_let(F.regexp_replace(x, "[^0-9]", ""), one))
 
 
-def _iban(x: Column, key: str) -> Column:
+def _iban(x: Column, key: Column | str) -> Column:
     def fresh(plain: Column) -> Column:
         country, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
         body_ = _refill(rest, permute_symbols(F.regexp_replace(rest, "[^0-9]", ""), DIGITS, key, "iban"), "0-9")
@@ -186,7 +183,7 @@ def _iban(x: Column, key: str) -> Column:
     return _let(F.replace(x, F.lit(" "), F.lit("")), fresh)
 
 
-def _ip(x: Column, key: str) -> Column:
+def _ip(x: Column, key: Column | str) -> Column:
     def fresh(o: Column) -> Column:
         new = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
         dotted = _let(new, lambda p: F.concat_ws(".", *[n.cast("string") for h in ("x", "y") for n in (F.floor(p[h] / 256), p[h] % 256)]))
@@ -195,22 +192,49 @@ def _ip(x: Column, key: str) -> Column:
     return _let(F.transform(F.split(x, r"\."), lambda p: p.cast("int")), fresh)
 
 
-def _date(x: Column, key: str) -> Column:
+def _late_rank(day: Column) -> Column:
+    """The number of days from the 13th of a month on between FIRST_DAY and a day that is one itself."""
+    months = (F.year(day) - 1900) * 12 + F.month(day)
+    return F.datediff(day, F.lit(FIRST_DAY).cast("date")) - months * 12
+
+
+def _late_day(rank: Column) -> Column:
+    """The day of a rank: the last month from whose 13th on the ranks reach it."""
+    first = F.lit(FIRST_DAY).cast("date")
+    begun = lambda m: F.date_add(F.add_months(first, m), 12)
+    guess = F.floor(rank / (365.2425 / 12 - 12)).cast("int")
+    near = F.filter(F.sequence(guess - 1, guess + 1), lambda m: (m >= 0) & (_late_rank(begun(m)) <= rank))
+    return _let(begun(F.array_max(near)), lambda day: F.date_add(day, (rank - _late_rank(day)).cast("int")))
+
+
+def _date(x: Column, key: Column | str) -> Column:
     plain = F.translate(x, "./", "--")
     iso = x.rlike("^[0-9]{4}")
     day_first = F.try_to_date(plain, "dd-MM-yyyy")
-    day = F.when(iso, F.try_to_date(plain, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, F.try_to_date(plain, "MM-dd-yyyy")))
 
-    def fresh(n: Column) -> Column:
-        new = permute_pair(F.floor(n / DAYS_ROOT), n % DAYS_ROOT, DAYS_ROOT, DAYS_ROOT, key, "date")
-        moved = _let(new, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS_ROOT + p["y"]).cast("int")))
-        digits = _let(moved, lambda d: F.when(iso, F.date_format(d, "yyyyMMdd")).when(day_first.isNotNull(), F.date_format(d, "ddMMyyyy")).otherwise(F.date_format(d, "MMddyyyy")))
-        return F.when((n >= 0) & (n < DAYS_ROOT * DAYS_ROOT), _refill(x, digits, "0-9"))
+    def fresh(day: Column, form: str) -> Column:
+        def moved(n: Column) -> Column:
+            new = permute_pair(F.floor(n / DAYS_ROOT), n % DAYS_ROOT, DAYS_ROOT, DAYS_ROOT, key, "date")
+            date = _let(new, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS_ROOT + p["y"]).cast("int")))
+            return F.when((n >= 0) & (n < DAYS_ROOT * DAYS_ROOT), _refill(x, F.date_format(date, form), "0-9"))
+
+        return _let(F.datediff(day, F.lit(FIRST_DAY).cast("date")), moved)
+
+    def month_first(day: Column) -> Column:
+        """Never a day-first date, whose second number is a month: the days from the 13th on are permuted by their ranks."""
+
+        def moved(n: Column) -> Column:
+            new = permute_pair(F.floor(n / LATE_ROOT), n % LATE_ROOT, LATE_ROOT, LATE_ROOT, key, "late date")
+            date = _let(_let(new, lambda p: (p["x"] * LATE_ROOT + p["y"]).cast("int")), _late_day)
+            return F.when((n >= 0) & (n < LATE_ROOT * LATE_ROOT), _refill(x, F.date_format(date, "MMddyyyy"), "0-9"))
+
+        return _let(F.when(day >= F.lit(FIRST_DAY).cast("date"), _late_rank(day)), moved)
 
-    return _let(F.datediff(day, F.lit(FIRST_DAY).cast("date")), fresh)
+    early = F.when(day_first.isNotNull(), fresh(day_first, "ddMMyyyy")).otherwise(month_first(F.try_to_date(plain, "MM-dd-yyyy")))
+    return F.when(iso, fresh(F.try_to_date(plain, "yyyy-MM-dd"), "yyyyMMdd")).otherwise(early)
 
 
-def _ssn(x: Column, key: str) -> Column:
+def _ssn(x: Column, key: Column | str) -> Column:
     area, group, serial = (p.cast("int") for p in (F.substring(x, 1, 3), F.substring(x, 5, 2), F.substring(x, 8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = area - 1 - F.when(area > 666, F.lit(1)).otherwise(F.lit(0))
@@ -223,7 +247,7 @@ def _ssn(x: Column, key: str) -> Column:
     return F.when(valid, _let(permute_pair(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn"), written))
 
 
-def _phone(x: Column, key: str) -> Column:
+def _phone(x: Column, key: Column | str) -> Column:
     def fresh(code: Column) -> Column:
         rest = F.substring(x, F.length(code) + 1, F.length(x))
         digits = F.regexp_replace(rest, "[^0-9]", "")
@@ -232,7 +256,7 @@ def _phone(x: Column, key: str) -> Column:
     return _let(F.regexp_extract(x, COUNTRY_CODE, 0), fresh)
 
 
-def _email(x: Column, key: str) -> Column:
+def _email(x: Column, key: Column | str) -> Column:
     def fresh(local: Column) -> Column:
         new = permute_symbols(F.regexp_replace(local, "[^A-Za-z0-9]", ""), ALPHABET, key, "email")
         return F.concat(_refill(local, new, "A-Za-z0-9"), F.substring(x, F.length(local) + 1, F.length(x)))
@@ -243,7 +267,7 @@ def _email(x: Column, key: str) -> Column:
 _REPLACE = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def _finding(x: Column, key: str) -> Column:
+def _finding(x: Column, key: Column | str) -> Column:
     """struct(kind, value, pseudonym) of a candidate; the pseudonym is null if it isn't valid."""
 
     def fresh(kind: Column) -> Column:
@@ -257,9 +281,10 @@ def _finding(x: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(doc_id, text, findings array<struct<kind, value, pseudonym>>) of every row."""
     pattern = "|".join(PATTERNS[k] for k in KINDS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text"))
+    secret = docs.sparkSession.createDataFrame([(key,)], "secret string")  # a row, so that no plan, log or page shows it
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text")).crossJoin(F.broadcast(secret))
     found = rows.withColumn("seen", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    found = found.withColumn("made", F.transform("seen", lambda x: _finding(x, key)))
+    found = found.withColumn("made", F.transform("seen", lambda x: _finding(x, F.col("secret"))))
     between = F.split("text", pattern, -1)
     fresh = F.transform("made", lambda f: F.coalesce(f["pseudonym"], f["value"]))
     woven = F.array_join(F.zip_with(between, fresh, lambda g, v: F.concat(F.coalesce(g, F.lit("")), F.coalesce(v, F.lit("")))), "")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 import re
-from datetime import date
+import time
+from datetime import date, timedelta
+
+from pyspark.sql import functions as F
 
 from foliant.llm import pii as x
 
@@ -103,6 +106,46 @@ def test_long_broken_texts(spark):
     assert done[0]["findings"][0]["kind"] == "email"
 
 
+def test_dates_stay_different(spark):
+    """Every date of ten years, written both ways where that can be told: as many pseudonyms, none of the other form."""
+    days = [date(1990, 1, 1) + timedelta(n) for n in range(3652)]
+    late = [d.strftime("%m/%d/%Y") for d in days if d.day > 12]
+    early = [d.strftime("%d/%m/%Y") for d in days]
+    edge = ["01/13/1900", "12/31/1899", "04/30/2099", "05/31/2099", "12/31/2099"]
+    done = by_id(x.pseudonymise(documents(spark, list(enumerate(late + early + edge))), KEY))
+    new = [done[i]["text"] for i in range(len(late + early + edge))]
+    assert len(set(new)) == len(new)
+    for t in new[: len(late)]:
+        assert date(int(t[6:]), int(t[:2]), int(t[3:5])).day > 12 and int(t[6:]) < 2100
+    for t in new[len(late) : len(late + early)]:
+        date(int(t[6:]), int(t[3:5]), int(t[:2]))
+    assert new[-4] == "12/31/1899" and new[-1] == "12/31/2099"
+
+
+def test_ranks_of_late_days(spark):
+    ranks = spark.range(x.LATE_ROOT**2).select("id", x._late_day(F.col("id")).alias("day"))
+    got = ranks.select("day", (x._late_rank(F.col("day")) == F.col("id")).alias("same"), (F.dayofmonth("day") > 12).alias("late")).toPandas()
+    assert got["same"].all() and got["late"].all() and got["day"].nunique() == x.LATE_ROOT**2 and str(got["day"].min()) == "1900-01-13"
+
+
+def test_very_long_value(spark):
+    """One address of 16,000 and of 256,000 characters: time by length, not by its square."""
+
+    def seconds(n: int) -> float:
+        docs, began = documents(spark, [(1, "ab.c" * (n // 4) + "@example.org")], clash=False), time.perf_counter()
+        (row,) = x.pseudonymise(docs, KEY).collect()
+        assert len(row["text"]) == n + 12 and row["text"].endswith("@example.org") and row["text"][2::4][:50] == "." * 50
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(256_000) < 16 * max(seconds(16_000), 1.0)
+
+
+def test_plans_hide_the_key(spark):
+    done = x.pseudonymise(documents(spark, [(1, "8.8.8.8")]), "a key nobody may read")
+    assert "nobody may read" not in done._jdf.queryExecution().toString() and done.collect()
+
+
 def test_one_letter_names_change(spark):
     rows = [(i, f"{c}@example.org") for i, c in enumerate(x.ALPHABET)]
     for key in ("a", "b", "c"):
