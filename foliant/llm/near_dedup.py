@@ -8,9 +8,11 @@ or more, found by an alignment that walks the diagonals within the band the thre
 words, so texts of similarity 0.8 share 0.43 of their k-mers however the edits lie; such a pair agrees on none of the 96 triples
 with a probability of about 0.001 at worst.
 
-Short texts have an exact route. If the shorter text has l words, at most l / 4 edits part the two; of its disjoint runs of
-three words (l >= 9) or two (l >= 4), more than l / 4, one is spared, and below 4 words the texts are equal. So texts
-of up to SHORT words are candidates if they share any such run, and no linked pair of them is missed.
+Short texts, of up to SHORT words, have an exact route. If the shorter text has l words, at most l / 4 edits part the two; of its disjoint
+runs of three words (l >= 13) or two (l >= 4), more than l / 4, one is spared, and below 4 words the texts are equal. Only the rarest runs
+of a text are its keys: in the order of how many texts hold a run, the least prefix that l / 4 edits can't wholly change. If two linked texts
+had no key in common, the one whose prefix ends first would have lost all of it to the edits. So no linked pair of short texts is
+missed, while a phrase that many share is a key only of texts that it makes up too much of.
 
 Equal texts are one node, named by their smallest doc_id. A bucket (equal triple) is compared with its least node first, which
 links the copies of a text without listing their pairs. A bucket that still spans several components is compared
@@ -121,22 +123,46 @@ def order_keys(words: np.ndarray) -> np.ndarray:
     return keys
 
 
-def short_keys(words: np.ndarray) -> list[np.ndarray]:
-    """The keys of a text of at most SHORT words: the whole text below 4 words, its pairs up to 10, its triples from 9."""
-    n = len(words)
-    if n < 4:
-        return [_mix(plain_runs(words, 3) + np.uint64(n))]
-    return [_mix(plain_runs(words, k) + np.uint64(10 + k)) for k, least, most in ((2, 4, 10), (3, 9, SHORT)) if least <= n <= most]
+#: Run lengths of short texts by the number of words. A text of 12 words has partners of up to 15, one of 13 none below 11.
+RUNS = ((2, 4, 15), (3, 13, SHORT))
+
+
+def short_runs(words: np.ndarray, k: int) -> np.ndarray:
+    """The runs of k words of a text whose length has such keys."""
+    least, most = next((least, most) for of, least, most in RUNS if of == k)
+    return _mix(plain_runs(words, k) + np.uint64(10 + k)) if least <= len(words) <= most else np.zeros(0, np.uint64)
+
+
+def spared(places: list[int], k: int) -> int:
+    """How many edits it takes at least to change all the runs of k words that start at these places."""
+    edits, reach = 0, -1
+    for at in sorted(places):
+        if at > reach:
+            edits, reach = edits + 1, at + k - 1
+    return edits
+
+
+def rare_prefix(runs: list[tuple[int, int, int]], k: int) -> list[int]:
+    """Of (frequency, key, place), the fewest first in that order that a quarter of the words, edited, can't all change."""
+    ordered, most = sorted(runs), (len(runs) + k - 1) // 4
+    low, high = 1, len(ordered)
+    while low < high:
+        half = (low + high) // 2
+        if spared([at for _, _, at in ordered[:half]], k) > most:
+            high = half
+        else:
+            low = half + 1
+    return [key for often, key, _ in ordered[:low] if often > 1]
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
-    """The signed 64-bit bucket keys of a text."""
+    """The signed 64-bit keys of a text that don't hang on other texts: of all its words below 4, of triples of its k-mers beyond
+    0.8 SHORT."""
     if not len(words):
         return np.zeros(0, np.int64)
-    parts = short_keys(words) if len(words) <= SHORT else []
-    if len(words) >= SIMILARITY * SHORT:
-        parts.append(order_keys(words))
-    return np.unique(np.concatenate(parts)).view(np.int64)
+    if len(words) < 4:
+        return _mix(plain_runs(words, 3) + np.uint64(len(words))).view(np.int64)
+    return np.unique(order_keys(words)).view(np.int64) if len(words) >= SIMILARITY * SHORT else np.zeros(0, np.int64)
 
 
 def histogram(words: np.ndarray) -> bytes:
@@ -147,18 +173,38 @@ def histogram(words: np.ndarray) -> bytes:
 
 
 def sketch_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, digest, buckets) of every row."""
+    """(doc_id, digest, buckets, twos, threes) of every row: its keys, and its runs of two and three words, in text order, if it is short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                keys = [sketch(word_hashes(t)) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *keys]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), lists], names=["doc_id", "digest", "buckets"])
+                words = [word_hashes(t) for t in part.column("text").to_pylist()]
+                lists = [_lists([sketch(w) for w in words]), *(_lists([short_runs(w, k).view(np.int64) for w in words]) for k in (2, 3))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), *lists], names=["doc_id", "digest", "buckets", "twos", "threes"])
+
+    return named_texts(docs, text).mapInArrow(run, "doc_id long, digest binary, buckets array<long>, twos array<long>, threes array<long>")
+
+
+def _lists(keys: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)], dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *keys]))
+
+
+def rare_keys(nodes: DataFrame) -> DataFrame:
+    """(node, key) of (node, twos, threes): the runs of each short text's prefix that other texts hold too. The runs that occur once,
+    most of them, are not in the table of frequencies; a text has at most SHORT runs of a length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("node", "k", "runs")]
+            kept = [(node, key) for node, k, runs in zip(*columns, strict=True) for key in set(rare_prefix([(r["often"], r["key"], r["at"]) for r in runs], k))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["node", "key"])
 
-    return named_texts(docs, text).mapInArrow(run, "doc_id long, digest binary, buckets array<long>")
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("keys")) for k, c in ((2, "twos"), (3, "threes"))])
+    short = nodes.where("size(twos) + size(threes) > 0").select("node", F.inline(kinds)).select("node", "k", F.posexplode("keys").alias("at", "key"))
+    often = materialise(short.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    ranked = short.join(small_or_not(often), "key", "left").groupBy("node", "k").agg(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key", "at")).alias("runs"))
+    return ranked.where(F.exists("runs", lambda r: r["often"] > 1)).select("node", "k", "runs").mapInArrow(run, "node long, key long")
 
 
 def named_texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -397,8 +443,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMI
     texts = named.where("node IS NOT NULL").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = materialise(texts, "texts")
     one = small_or_not(texts)
-    keyed = rows.join(one, (rows["doc_id"] == one["node"]) & (rows["digest"] == one["digest"])).select("node", F.explode("buckets").alias("key"))
-    keyed = keyed.repartition("key")
+    named_rows = rows.join(one, (rows["doc_id"] == one["node"]) & (rows["digest"] == one["digest"])).drop(one["digest"])
+    single = named_rows.select("node", "twos", "threes").where("size(twos) + size(threes) > 0").dropDuplicates(["node"])
+    rare = materialise(rare_keys(materialise(single, "short")), "rare")
+    keyed = named_rows.select("node", F.explode("buckets").alias("key")).union(rare).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     buckets = materialise(keyed.join(shared, "key").select("key", "node", "a").distinct(), "buckets")
     pairs = materialise(buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")

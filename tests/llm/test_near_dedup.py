@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -165,8 +166,37 @@ def test_short_links_share_a_key(seed):
     rng = random.Random(seed)
     base = [rng.choice("abcdef") for _ in range(rng.randint(1, 40))]
     a, b = " ".join(base), " ".join(edited(rng, base, rng.randint(0, 9)))
-    one, two = (x.sketch(x.word_hashes(t)).tolist() for t in (a, b))
-    assert not near(a, b) or len(b.split()) > 40 or set(one) & set(two)
+    one, two = (keys(x.word_hashes(t), seed) for t in (a, b))
+    assert not near(a, b) or len(b.split()) > 40 or one & two
+
+
+def keys(words, seed):
+    """A text's keys where runs have made frequencies, many of them equal."""
+    out = set(x.sketch(words).tolist())
+    for k in (2, 3):
+        runs = x.short_runs(words, k).view(np.int64).tolist()
+        if runs:
+            out |= set(x.rare_prefix([(2 + hash((key, seed)) % 4, key, at) for at, key in enumerate(runs)], k))
+    return out
+
+
+def test_spared_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        k, places = rng.choice((2, 3)), rng.sample(range(9), rng.randint(0, 6))
+        least = next(n for n in range(10) for hit in itertools.combinations(range(11), n) if all(any(p <= h < p + k for h in hit) for p in places))
+        assert x.spared(places, k) == least
+
+
+def test_a_phrase_of_all_short_texts_is_no_key(spark):
+    """Texts of 6 to 40 words that end alike and share nothing else have no bucket; near copies of some are found."""
+    rng = random.Random(21)
+    texts = [" ".join([*(f"x{rng.randrange(10**12)}" for _ in range(3 + i % 35)), "all", "rights", "reserved"]) for i in range(3000)]
+    rows = x.sketch_rows(documents(spark, list(enumerate(texts)))).withColumnRenamed("doc_id", "node")
+    assert rows.where("size(twos) + size(threes) > 0").count() == 3000 and x.rare_keys(rows).count() == 0
+    near_copies = [(3000 + i, t.replace("reserved", "preserved")) for i, t in enumerate(texts[:70])]
+    kept = {r["doc_id"]: r["class_id"] for r in x.near_duplicates(documents(spark, [*enumerate(texts), *near_copies])).collect()}
+    assert all(kept[i] == i for i in range(3000)) and all(kept[i] == i - 3000 for i, _ in near_copies)
 
 
 def test_components_of_paths_stars_and_random_links(spark):
