@@ -48,3 +48,14 @@ def test_match_contained(spark, books, most):
         want[k] = next((r[0] for r in held[:most] if (url and r[3] == url) or r[1] == title), None)
     got = search.match_contained(spark.createDataFrame(new, "k long, url string, title string"), stored, most=most).collect()
     assert {r["k"]: r["match"] for r in got} == want and len(got) == len(new)
+
+
+def test_repeated_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files of repeated values are small, so Spark's estimate would send the rows to every task."""
+    monkeypatch.setattr("foliant.runtime.BROADCAST_BYTES", 1000, raising=False)
+    spark.range(20_000).select("id", F.lit("large ring").alias("name")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    asked = spark.createDataFrame([("arge",), ("none",), ("r",)], "needle string")
+    found = search.containing(asked, search.TrigramIndex.over(rows, "id", F.col("name")), rows, "id", F.col("name"))
+    assert found.count() == 40_000
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
