@@ -89,8 +89,7 @@ def regex_links(spark, d):
 @query("""SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS raw_title, regexp_extract(html, 'href="([^"]*)"', 1) AS first_link FROM pages""")
 def css_extract(spark, d):
     html = F.col("html")
-    escaped = F.replace(F.replace(F.replace(markup.css_one(html, "css", "article h1"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return table(spark, d, "pages").select("page_id", escaped.alias("raw_title"), markup.css_one(html, "css", "nav li > a[href]").alias("first_link"))
+    return table(spark, d, "pages").select("page_id", markup.css_source(html, "css", "article h1").alias("raw_title"), markup.css_one(html, "css", "nav li > a[href]").alias("first_link"))
 
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")

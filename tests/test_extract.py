@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from foliant.functions import markup
 from foliant.operators import catalogue, crawl, extract
 
 HOST = "http://books.example"
@@ -80,3 +81,10 @@ def test_outcomes_of_a_pass(spark):
         "/b/1": ("new", None), "/b/2": ("existing", "id2"), "/b/3": ("skipped", None), "/b/4": ("failed", None),
     }, "the stored book with the first's address doesn't contain its title"
     assert done.counts().first().asDict() == {"total_books": 2, "new_books": 1, "skipped_books": 1, "failed_books": 1, "new_chapters": 2, "skipped_chapters": 1, "failed_chapters": 0}
+
+
+def test_source_is_as_the_page_has_it():
+    page = "<article>\n<p>a<p>b &lt;\n<h1 class=x> a &quot;b&quot; &amp;&am </h1><br/><li>one<li>two &#65;<i>x</i></article>"
+    got = {s: markup.source(page, "css", s) for s in ("h1", "p", "p:nth-child(2)", "li", "li:last-child", "i", "br", "b")}
+    assert got == {"h1": "a &quot;b&quot; &amp;&am", "p": "a", "p:nth-child(2)": "b &lt;", "li": "one", "li:last-child": "two &#65;<i>x</i>", "i": "x", "br": "", "b": ""}
+    assert markup.source("<b>open &amp;", "css", "b") == "open &amp;" and markup.source(None, "css", "b") == ""
