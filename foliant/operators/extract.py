@@ -37,12 +37,13 @@ def compile_fields(rule: dict, fields: dict[str, str]) -> dict[str, tuple[str, s
     return {name: s for name, column in fields.items() if (s := parsed(rule.get(column)))}
 
 
-def book_columns(rule: dict, html: Column, url: Column) -> dict[str, Column]:
-    """Columns of a book page: its fields ('' where the rule has none; the status as one of three) and its chapter links."""
+def book_columns(rule: dict, html: Column, url: Column, sources: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Columns of a book page: its fields ('' where the rule has none; the status as one of three; those of `sources` as the page has
+    them written) and its chapter links."""
     fields = compile_fields(rule, BOOK)
     chapters = [parsed(rule.get(k)) for k in ("chapterListSelector", "chapterLinkSelector", "chapterTitleSelector")]
     lists = {"chapters": tuple(chapters)} if all(chapters) else {}
-    got = markup.rule_fields(html, url, fields, lists)
+    got = markup.rule_fields(html, url, fields, lists, sources)
     none = F.array().cast("array<struct<title:string,url:string>>")
     out = {name: got[name] if name in fields else F.lit("") for name in BOOK}
     out["status"] = text.status_of(out["status"])

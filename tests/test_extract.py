@@ -88,3 +88,9 @@ def test_source_is_as_the_page_has_it():
     got = {s: markup.source(page, "css", s) for s in ("h1", "p", "p:nth-child(2)", "li", "li:last-child", "i", "br", "b")}
     assert got == {"h1": "a &quot;b&quot; &amp;&am", "p": "a", "p:nth-child(2)": "b &lt;", "li": "one", "li:last-child": "two &#65;<i>x</i>", "i": "x", "br": "", "b": ""}
     assert markup.source("<b>open &amp;", "css", "b") == "open &amp;" and markup.source(None, "css", "b") == ""
+
+
+def test_book_fields_by_source(spark):
+    df = spark.createDataFrame([("<title>a &quot;b&quot; &amp;&am</title>", "u")], "html string, url string")
+    rule = {"bookTitleSelector": {"type": "css", "value": "title"}}
+    assert df.select(extract.book_columns(rule, df.html, df.url, sources=("title",))["title"]).first()[0] == "a &quot;b&quot; &amp;&am"
