@@ -9,10 +9,11 @@ time. What a stretch does to the state that reaches it is a function small enoug
 * windows and lockout: a window's start alone decides where the next one starts. A stretch tells for each time at which
   a window may begin in it what is left open at its end; equal outcomes are held once.
 
-A first pass makes one such function per partition, the functions are read one after the other in the order of the
-partitions, and a second pass decides every event from its stretch's known start. Only the first key of a partition can
-have begun in an earlier one. No task holds more than a partition's rows; the driver holds one function at a time and a
-state per partition.
+A first pass makes one such function per partition. Functions of neighbouring stretches follow each other as one function
+that is no larger than a single one may be, so tasks join the functions of a run of partitions (about the root of their number),
+one task goes over the runs' functions, and tasks go over each run's own from its known start. A second pass decides every
+event from its stretch's known start. Only the first key of a partition can have begun in an earlier one. No task holds more than
+a partition's rows or a run's functions; the driver gets a state per partition and no function.
 
 Times count in milliseconds. Rows without key or time are left out; events of the same time go by their id.
 """
@@ -34,6 +35,8 @@ from foliant.runtime import checkpointed
 from foliant.streaming.limits import Events
 
 SCHEMA = "key string, at long, id long, label string, allowed boolean, retry_after long"
+FUNCTIONS = "part int, first string, last string, data binary"
+REACHED = "part int, first string, state binary"
 
 
 @dataclass(frozen=True)
@@ -87,6 +90,14 @@ class BucketFunction:
             last[3] = top if cap is None else min(cap + self.period, top)
             last[0] = n + 1
 
+    def then(self, after: BucketFunction) -> BucketFunction:
+        """This stretch's function followed by that of the next one."""
+        if not after.pieces or (len(after.pieces) == 1 and after.pieces[0][3] is None):
+            return after if after.pieces else self
+        if len(self.pieces) == 1 and self.pieces[0][3] is None:
+            return BucketFunction(self.capacity, self.period, [[0, None, after(self.pieces[0][2]), None]])
+        return BucketFunction(self.capacity, self.period, self.pieces + after.pieces)
+
     def __call__(self, full: int | None) -> int | None:
         for n, bound, constant, cap in self.pieces:
             if cap is None or full is None or full < bound:
@@ -155,6 +166,19 @@ class WindowFunction:
         self.times = []
         return self
 
+    def then(self, after: WindowFunction) -> WindowFunction:
+        """This stretch's function followed by that of the next one, as the function of both stretches as one."""
+        both = WindowFunction(self.rule)
+        both.head, both.count, both.last = (self.head + after.head)[: self.rule.most + 1], self.count + after.count, after.last
+        reach = self.head[0] + self.rule.length + (self.rule.locked or 0) + 1  # the latest that a window can open from an earlier start
+        upto, left = list(self.upto), [after(state) for state in self.left]
+        if upto[-1] >= self.last:
+            most = bisect_left(after.upto, reach) + 1
+            upto, left = upto + after.upto[:most], left + after.left[:most]
+        ends = [i for i in range(len(left)) if i + 1 == len(left) or left[i] != left[i + 1]]
+        both.upto, both.left = [upto[i] for i in ends], [left[i] for i in ends]
+        return both
+
     def __call__(self, state: tuple | None) -> tuple:
         opens = self.head[0]
         if state and state[2] is not None:
@@ -181,6 +205,57 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]
             yield key, run
 
 
+def _after(key: str | None, state: tuple | int | None, r) -> tuple[str, tuple | int | None]:
+    """The last key of a stretch and its state, if the stretch before ended with `key` and `state`."""
+    function, end = pickle.loads(r.data)
+    return (r.first, function(state if r.first == key else None)) if function is not None else (r.last, end)
+
+
+def _joined(rows: pd.DataFrame) -> tuple[str, str | None, tuple]:
+    """The stretches of a run as one: (first key, last key or None for one key, (function, end))."""
+    rows = rows.sort_values("part")
+    first, whole, key, end = rows["first"].iloc[0], None, None, None
+    for i, r in enumerate(rows.itertuples(index=False)):
+        if i == 0 or (whole is not None and r.first == first):
+            function, end = pickle.loads(r.data)
+            whole = function if i == 0 else whole.then(function) if function is not None else None
+            key = r.last
+        else:
+            if whole is not None:  # the first key ends here
+                key, whole = first, None
+            key, end = _after(key, end if key == r.first else None, r)
+    return first, key if whole is None else None, (whole, end if whole is None else None)
+
+
+def _starts(functions: DataFrame, parts: int) -> dict[int, tuple | int | None]:
+    """The state that reaches each partition whose first key began in an earlier one."""
+    size = max(1, round(parts**0.5))
+    functions = functions.withColumn("run", F.floor(F.col("part") / size).cast("int"))
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        first, last, data = _joined(rows)
+        return pd.DataFrame([{"part": int(rows["part"].min()) // size, "first": first, "last": last, "data": pickle.dumps(data)}])
+
+    def follow(rows, key, state):
+        found = []
+        for r in rows.sort_values("part").itertuples(index=False):
+            found.append((r.part, r.first, pickle.dumps((key, state))))
+            key, state = _after(key, state, r)
+        return pd.DataFrame(found, columns=["part", "first", "state"])
+
+    def over(rows: pd.DataFrame) -> pd.DataFrame:
+        return follow(rows, None, None)
+
+    runs = functions.groupBy("run").applyInPandas(join, FUNCTIONS)
+    before = {r.part: pickle.loads(r.state) for r in runs.withColumn("run", F.lit(0)).groupBy("run").applyInPandas(over, REACHED).collect()}
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        return follow(rows, *before[int(rows["part"].min()) // size])
+
+    reached = [(r.part, r.first, *pickle.loads(r.state)) for r in functions.groupBy("run").applyInPandas(within, REACHED).collect()]
+    return {part: state for part, first, key, state in reached if key == first}
+
+
 def decide(df: DataFrame, events: Events, rule: TokenBucket | Windows) -> DataFrame:
     """Every event with (allowed, retry_after in seconds), as if the events of its key had been taken one by one."""
     at = F.unix_millis(F.col(events.time).cast("timestamp"))
@@ -204,14 +279,11 @@ def decide(df: DataFrame, events: Events, rule: TokenBucket | Windows) -> DataFr
                 state = rule.step(state, now)[0]
         if first is not None:
             function = function.closed() if isinstance(function, WindowFunction) else function
-            yield pd.DataFrame([{"part": TaskContext.get().partitionId(), "first": first, "last": key, "data": pickle.dumps((function, state))}])
-
-    starts, key, state = {}, None, None
-    for r in dealt.mapInPandas(summarise, "part int, first string, last string, data binary").orderBy("part").toLocalIterator():
-        function, end = pickle.loads(r.data)
-        if r.first == key:
-            starts[r.part] = state
-        key, state = (r.first, function(starts.get(r.part))) if r.last is None else (r.last, end)
+            made = (function, None) if key is None else (None, state)  # a stretch with a later key ends the same whatever came before
+            yield pd.DataFrame([{"part": TaskContext.get().partitionId(), "first": first, "last": key, "data": pickle.dumps(made)}])
+
+    functions = checkpointed(dealt.mapInPandas(summarise, FUNCTIONS))
+    starts = _starts(functions, parts)
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, begun = None, starts.get(TaskContext.get().partitionId()), False

@@ -53,6 +53,32 @@ def test_functions_of_stretches(rule):
                 assert mine == theirs, (rule, times[:b], cuts)
 
 
+@pytest.mark.parametrize("rule", RULES, ids=str)
+def test_functions_follow_each_other_as_one(rule):
+    rng = random.Random(f"then {rule}")
+    for _ in range(400):
+        times = [t + 10 * rule.length for t in stretch(rng, rule)] if isinstance(rule, spread.Windows) else stretch(rng, rule)
+        cuts = sorted({0, len(times), *(rng.randint(0, len(times)) for _ in range(rng.randint(2, 6)))})
+        whole = before = None
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if n == 0 and rng.random() < 0.7:  # some state reaches the first stretch
+                for now in times[a:b]:
+                    before = rule.step(before, now)[0]
+                continue
+            f = rule.function()
+            f.take(times[a:b])
+            f = f.closed() if isinstance(rule, spread.Windows) else f
+            whole = f if whole is None else whole.then(f)
+        if whole is None:
+            continue
+        x, y = whole(before), None
+        for now in times:
+            y = rule.step(y, now)[0]
+        for now in sorted(times[-1] + d for d in (0, 0, 0, 1, 3, 40, 41, 400, 2000, 70_000, 400_000)):
+            (x, *mine), (y, *theirs) = rule.step(x, now), rule.step(y, now)
+            assert mine == theirs, (rule, times, cuts)
+
+
 def test_steps_are_those_of_the_stream():
     rng = random.Random(4)
     for mine, theirs, unit in ((spread.TokenBucket(3, 500), token_bucket(3.0, 2.0), 250), (spread.Windows(2, 60_000, 300_000), lockout(2, 60.0, 300.0), 10_000)):
@@ -66,7 +92,7 @@ def test_steps_are_those_of_the_stream():
 
 
 @pytest.mark.parametrize("rule", (spread.TokenBucket(3, 700), spread.Windows(4, 3000), spread.Windows(6, 3000, 9000)), ids=str)
-def test_one_key_over_many_tasks(spark, rule):
+def test_one_key_over_many_tasks(spark, rule, monkeypatch):
     """A key with nine tenths of the rows is dealt over partitions; every decision is the fold's."""
     rng, zero = random.Random(7), datetime(2024, 1, 1, tzinfo=timezone.utc)
     rows = [(None if i % 97 == 0 else f"u{rng.randint(1, 40)}" if i % 10 == 0 else "hot", zero + timedelta(milliseconds=rng.randint(0, 900_000)), i, "x") for i in range(6000)]
@@ -74,12 +100,15 @@ def test_one_key_over_many_tasks(spark, rule):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "16")
+        pulled, local = [], type(df).toLocalIterator
+        monkeypatch.setattr(type(df), "toLocalIterator", lambda self, *a: pulled.append(self) or local(self, *a))
         got = spread.decide(df, NAMES, rule)
         largest = max(len(p) for p in got.rdd.glom().collect())
         found = {r["id"]: (r["allowed"], r["retry_after"]) for r in got.collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert largest < 1500
+    assert not pulled, "functions of stretches stay off the driver"
     want, states = {}, {}
     for user, ts, i, _ in sorted((r for r in rows if r[0]), key=lambda r: (r[0], r[1], r[2])):
         states[user], *result = rule.step(states.get(user), round((ts - zero).total_seconds() * 1000) + int(zero.timestamp() * 1000))
