@@ -30,16 +30,35 @@ Fetch = Callable[[str], tuple[int, dict[str, str], str]]
 Ask = Callable[[DataFrame], DataFrame]
 
 
-def stored(responses: DataFrame) -> Ask:
+class Stored:
     """Answers of a table (url, status, location, content_type, body), of several of one address the one of least status; an
-    address it lacks fails."""
+    address it lacks fails. Rounds only ask where an address leads: the bodies, and what they are, are read once, of the addresses
+    that chains end at."""
 
-    def ask(current: DataFrame) -> DataFrame:
-        known = responses.groupBy("url").agg(F.min_by(F.struct("status", "location", "content_type", "body"), F.struct("status", "location", "body")).alias("r"))
+    def __init__(self, responses: DataFrame) -> None:
+        self.responses = responses
+
+    def __call__(self, current: DataFrame) -> DataFrame:
+        known = self.responses.groupBy("url").agg(F.min(F.struct("status", "location")).alias("r"))
         got = current.join(known, current["current"] == known["url"], "left")
-        return got.select("current", F.col("r.status").cast("int").alias("status"), "r.location", "r.content_type", "r.body", F.when(F.col("r").isNull(), "no response").alias("failure"))
+        nothing = F.lit(None).cast("string")
+        return got.select("current", F.col("r.status").cast("int").alias("status"), "r.location", nothing.alias("content_type"), nothing.alias("body"), F.when(F.col("r").isNull(), "no response").alias("failure"))
 
-    return ask
+    def bodies(self, rows: DataFrame) -> DataFrame:
+        """rows (current, status, ...) with the content type and the body of each success (of one without a status, too); others need none."""
+        rows = rows.drop("content_type", "body")
+        page = "error IS NULL AND failure IS NULL AND coalesce(status BETWEEN 200 AND 299, true)"
+        ended = rows.where(page).select(F.col("current").alias("url")).distinct()
+        success = self.responses.where(F.coalesce(F.col("status").cast("int").between(200, 299), F.lit(True)))
+        answer = F.min_by(F.struct("content_type", "body"), F.struct("status", "location", "body")).alias("r")
+        known = success.join(ended, "url", "left_semi").groupBy("url").agg(answer)
+        on = (F.col("current") == F.col("url_")) & F.expr(page)
+        return rows.join(known.withColumnRenamed("url", "url_"), on, "left").select(*rows.columns, "r.content_type", "r.body")
+
+
+def stored(responses: DataFrame) -> Ask:
+    """Answers of a table of responses, for fetch_pages."""
+    return Stored(responses)
 
 
 def attempts(url: str, fetch: Fetch, retries: int, base: float, most: float, sleep: Callable[[float], None] = time.sleep) -> tuple:
@@ -89,6 +108,8 @@ def fetch_pages(addresses: DataFrame, ask: Ask) -> DataFrame:
         if ahead.isEmpty():
             break
     rows = reduce(DataFrame.unionByName, done)
+    if isinstance(ask, Stored):
+        rows = ask.bodies(rows)
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     text = (kind == "") | reduce(lambda a, b: a | b, [kind.contains(k) for k in ("text", "html", "json", "xml")])
     body = F.regexp_replace(F.coalesce("body", F.lit("")), "^﻿", "")

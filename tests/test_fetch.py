@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.sources import fetch
 
@@ -48,6 +49,15 @@ def test_rules_of_a_page(spark, how):
     assert missing["html"] is None and missing["error"] in ("no response", "KeyError: 'http://z.example/'")
 
 
+def test_rounds_carry_no_bodies(spark):
+    rows = [("a", 302, "b", None, "x"), ("a", 302, "b", None, "w"), ("b", 200, None, "image/png", "z"), ("b", 200, None, "text/html", "y"), ("b", 404, None, None, "a"), ("c", None, None, None, "n")]
+    ask = fetch.stored(spark.createDataFrame(rows, "url string, status int, location string, content_type string, body string"))
+    got = ask(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "current string"))
+    assert {r["current"]: (r["status"], r["location"], r["body"], r["failure"]) for r in got.collect()} == {"a": (302, "b", None, None), "b": (200, None, None, None), "c": (None, None, None, None), "d": (None, None, None, "no response")}
+    ended = ask.bodies(got.withColumn("error", F.lit(None).cast("string")))
+    assert {r["current"]: (r["content_type"], r["body"]) for r in ended.collect()} == {"a": (None, None), "b": ("text/html", "y"), "c": (None, "n"), "d": (None, None)}
+
+
 def test_retries():
     waits, left = [], [503, 500, None, 200]
 
