@@ -184,3 +184,16 @@ def test_expressions_that_java_refuses_leave_the_text(spark):
     df = spark.createDataFrame([("banana",)], "t string")
     assert df.select(text.remove_pattern(df.t, "(?P<n>a)").alias("t")).first()["t"] == "banana"
     assert df.select(text.remove_pattern(df.t, "(?<n>a)").alias("t")).first()["t"] in ("bnn", "banana")
+
+
+def test_page_functions_take_slices_of_a_batch(spark):
+    from pyspark.sql import functions as F
+    from pyspark.util import PythonEvalType
+
+    from foliant.functions import markup
+
+    n = 2 * markup.SLICE + 3
+    html = F.when(F.col("id") % 50 == 0, None).otherwise(F.concat(F.lit("<script>x</script><b>t"), F.col("id").cast("string"), F.lit("</b>")))
+    df = spark.range(0, n, 1, 1).select("id", html.alias("html")).select("id", markup.plain_text(F.col("html")).alias("t"), markup.css_many(F.col("html"), "css", "b").alias("many"))
+    assert {r["id"]: (r["t"], r["many"]) for r in df.collect()} == {i: (("", []) if i % 50 == 0 else (f"t{i}", [f"t{i}"])) for i in range(n)}
+    assert df.where("id < 0").collect() == [] and f"], {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in df._jdf.queryExecution().executedPlan().toString()
