@@ -16,8 +16,9 @@ missed, while a phrase that many share is a key only of texts that it makes up t
 
 Equal texts are one node, named by their smallest doc_id. A bucket (equal triple) is compared with its least node first, which
 links the copies of a text without listing their pairs. A bucket that still spans several components is compared
-across them: the nodes outside its main component meet those of the same or a neighbouring band of lengths, block by block, and a pair is aligned unless lengths
-or histograms of words and word pairs already prove it dissimilar. So no candidate pair between different components
+across them: the nodes outside its main component meet those of the same or a neighbouring band of lengths, block by block, and a pair is aligned unless lengths,
+histograms of words and word pairs or the words that one side lacks already prove it dissimilar. Buckets of one main component, which share most of their
+nodes, are taken as one wherever that makes fewer pairs. So no candidate pair between different components
 goes untested, while a task holds two blocks whatever the size of the bucket. Components are joined in rounds that hang each node below its
 least neighbour and go on with the links between the trees, each round written to the shared folder.
 
@@ -301,6 +302,15 @@ def least_distance(a: np.ndarray, b: np.ndarray) -> int:
     return max(len(a), len(b)) - shared
 
 
+def numbered(words: np.ndarray) -> np.ndarray:
+    """Each word with the number of equal words before it, as one integer; what two texts share of them is what least_distance counts."""
+    ordered = np.sort(words).astype(np.uint64)
+    at = np.arange(len(ordered), dtype=np.uint64)
+    fresh = np.ones(len(ordered), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    return ordered << np.uint64(32) | (at - np.maximum.accumulate(np.where(fresh, at, np.uint64(0))))
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool:
     most = int((1 - threshold) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most or least_distance(a, b) > most:
@@ -308,9 +318,9 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
     return edit_distance(a.tolist(), b.tolist(), most) <= most
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment confirms the similarity. A node in very many pairs is one row of texts, so
-    Spark's skew join may split its pairs."""
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, sized: bool = False) -> DataFrame:
+    """The pairs (a, b) whose alignment confirms the similarity; sized ones are known to be near in length. A node in very many pairs
+    is one row of texts, so Spark's skew join may split its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,9 +332,10 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     left = texts.select(F.col("node").alias("a"), F.col("words").alias("wa"), F.col("n_words").alias("na"))
     right = texts.select(F.col("node").alias("b"), F.col("words").alias("wb"), F.col("n_words").alias("nb"))
-    near = F.abs(F.col("na") - F.col("nb")) <= (1 - threshold) * F.greatest("na", "nb") + 1e-9
-    sized = pairs.join(right.drop("wb"), "b").join(left.drop("wa"), "a").where(near).select("a", "b")
-    return sized.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    if not sized:
+        near = F.abs(F.col("na") - F.col("nb")) <= (1 - threshold) * F.greatest("na", "nb") + 1e-9
+        pairs = pairs.join(right.drop("wb"), "b").join(left.drop("wa"), "a").where(near).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -359,29 +370,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _pairs_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """The pairs between the nodes of two blocks of a bucket, or within several small buckets, that have different labels
-    and that lengths and histograms leave possible."""
+    and that lengths, histograms and the words that one side lacks leave possible."""
     found = []
     if len(asked) and len(met):
         counts = np.frombuffer(b"".join(met["counts"]), np.uint8).reshape(len(met), -1).astype(np.int16)
         keys, bands, nodes, labels, sizes, main = (met[c].to_numpy() for c in ("key", "band", "node", "label", "n_words", "main"))
-        for key, band, node, label, size, own in asked[["key", "band", "node", "label", "n_words", "counts"]].itertuples(index=False):
+        bags = [numbered(np.frombuffer(w, np.uint32)) for w in met["words"]]
+        for key, band, node, label, size, own, words in asked[["key", "band", "node", "label", "n_words", "counts", "words"]].itertuples(index=False):
             most = ((1 - threshold) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
             off = np.abs(sizes - size)
             some = np.flatnonzero((keys == key) & (bands == band) & (labels != label) & (off <= most) & (main | (nodes > node)))
             apart = np.abs(counts[some] - np.frombuffer(own, np.uint8).astype(np.int16))
             single, double = apart[:, :HISTOGRAM].sum(axis=1), apart[:, HISTOGRAM:].sum(axis=1)
             some = some[(single + off[some] <= 2 * most[some]) & (double + off[some] <= 4 * most[some])]
-            found += [(node, n) for n in nodes[some].tolist()]
+            bag = numbered(np.frombuffer(words, np.uint32)) if len(some) else None
+            found += [(node, nodes[n]) for n in some.tolist() if max(size, sizes[n]) - len(np.intersect1d(bag, bags[n], assume_unique=True)) <= most[n]]
     return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
 
 
 def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Nodes of the buckets that hold several components: (key, node, label, main, held), main for nodes of the
-    bucket's largest component, held the number of the bucket's nodes."""
+    bucket's largest component, held the number of the bucket's nodes. Buckets with the same largest component are one bucket, named by it, if
+    its pairs of an outside node and any other are no more than those of the buckets one by one."""
     held = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     each = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return held.join(mixed, "key").select("key", "node", "label", (F.col("label") == F.col("main.label")).alias("main"), "held")
+    mixed = materialise(mixed.select("key", "held", F.col("main.label").alias("of"), (F.col("held") - F.col("main.n")).alias("out")), "several")
+    apart = materialise(held.join(mixed, "key").select("key", "node", "label", "of", "held"), "apart")
+    once = materialise(apart.select("of", "node", "label").distinct(), "once")
+    sums = once.groupBy("of").agg(F.count(F.lit(1)).alias("held"), F.sum((F.col("label") != F.col("of")).cast("long")).alias("out"))
+    by_one = mixed.groupBy("of").agg(F.sum(F.col("held") * F.col("out")).alias("most"))
+    fewer = small_or_not(materialise(sums.join(by_one, "of").where("held * out <= most").select("of", "held"), "fewer"))
+    main = (F.col("label") == F.col("of")).alias("main")
+    together = once.join(fewer, "of").select(F.col("of").alias("key"), "node", "label", main, "held")
+    return together.union(apart.join(fewer, "of", "left_anti").select("key", "node", "label", main, "held"))
 
 
 def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -389,7 +411,7 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
     outside a bucket's main component meet the nodes of their own and the two neighbouring bands, block by block, so a
     task holds two blocks whatever the size of the bucket. Small groups are taken together, about four blocks at a time."""
     band = F.floor(F.log(F.greatest("n_words", F.lit(1)) + F.lit(1e-9)) / F.log(F.lit(1 / threshold))).cast("int")
-    rows = materialise(mixed.join(texts.select("node", "n_words", "counts"), "node").withColumn("band", F.when(F.col("held") > BLOCK, band).otherwise(0)), "banded")
+    rows = materialise(mixed.join(texts, "node").withColumn("band", F.when(F.col("held") > BLOCK, band).otherwise(0)), "banded")
     each = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("main")).cast("long")).alias("out"))
     each = each.groupBy("key").agg(F.collect_list(F.struct("band", "n", "out")).alias("bands"))  # bands grow with the log of the longest text
 
@@ -417,12 +439,13 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
     met = in_bands(placed, F.filter("bands", lambda x: x["band"] == F.col("band")))
     asked = asked.withColumn("i", F.pmod(F.xxhash64("node"), blocks("outside"))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
     met = met.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outside") - 1))).withColumn("j", F.pmod(F.xxhash64("node"), blocks("n")))
-    names = ("small", "pack", "i", "j", "key", "band", "node", "label", "main", "n_words", "counts")
-    asked, met = (x.select([F.col(c).alias(c) for c in names]).groupBy("small", "pack", "i", "j") for x in (asked, met))
+    names = ("key", "band", "node", "label", "main", "n_words", "counts", "words")
+    places = [F.col(c).cast("long").alias(c) for c in ("pack", "i", "j")]  # rows of an int and a long that are equal go to different tasks
+    asked, met = (x.select("small", *places, *[F.col(c).alias(c) for c in names]).groupBy("small", "pack", "i", "j") for x in (asked, met))
     pairs = asked.cogroup(met).applyInPandas(lambda a, b: _pairs_of_blocks(a, b, threshold), "a long, b long").distinct()
     pairs = materialise(pairs, "possible")
     asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    return verify(pairs, texts.join(small_or_not(asked), "node", "left_semi"), threshold)
+    return verify(pairs, texts.join(small_or_not(asked), "node", "left_semi"), threshold, sized=True)
 
 
 def fetch_words(docs: DataFrame, texts: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:

@@ -220,3 +220,49 @@ def test_components_of_paths_stars_and_random_links(spark):
     assert len(got) == len({r["node"] for r in got})
     assert {r["node"]: r["label"] for r in got} == {n: root(n) for n in list(parent)}
     assert x.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=40), st.lists(st.integers(0, 9), max_size=40))
+def test_numbered_words_count_what_one_side_lacks(a, b):
+    one, two = np.array(a, np.uint32), np.array(b, np.uint32)
+    assert max(len(a), len(b)) - len(np.intersect1d(x.numbered(one), x.numbered(two), assume_unique=True)) == x.least_distance(one, two)
+
+
+@pytest.fixture
+def hot(spark, monkeypatch):
+    """A bucket of one large component and 40 nodes of their own, as (node, key) rows, labels and words; and its similar pairs across labels."""
+    rng = random.Random(31)
+    base = [rng.choice(VOCABULARY) for _ in range(60)]
+    texts = {i: edited(rng, base, i % 4 if i < 60 else 5 + i % 20) for i in range(100)}
+    names = {i: " ".join(t) for i, t in texts.items()}
+    want = {(i, j) for i in texts for j in texts if max(i, 59) < j and near(names[i], names[j])}
+    labels = spark.createDataFrame([(i, 0) for i in range(60)], "node long, label long")
+    words = x.materialise(x.word_rows(spark.createDataFrame(list(names.items()), "node long, text string")), "words")
+    monkeypatch.setattr(x, "BLOCK", 8)
+    return labels, words, want
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_links_of_a_bucket_do_not_hang_on_the_partitions(spark, hot, partitions):
+    """A block's two sides must meet in one task, whatever the number of tasks."""
+    labels, words, want = hot
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = x.mixed_buckets(spark.range(100).selectExpr("7L AS key", "id AS node"), labels)
+        got = {tuple(r) for r in x.residual_links(mixed, words, x.SIMILARITY).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert want and got == want
+
+
+def test_buckets_of_one_component_are_one_where_that_makes_fewer_pairs(spark, hot):
+    labels, _, _ = hot
+    same = spark.range(100).selectExpr("explode(sequence(1000L, 1029L)) AS key", "id AS node")  # thirty buckets of the same nodes
+    apart = spark.createDataFrame([(1, 0), (1, 2), (1, 60), (2, 1), (2, 3), (2, 61)], "key long, node long")  # buckets that share none, of the same component
+    assert {(r["key"], r["node"]) for r in x.mixed_buckets(same, labels).collect()} == {(0, i) for i in range(100)}
+    rows = x.mixed_buckets(apart, labels).collect()
+    assert {(r["key"], r["node"], r["main"], r["held"]) for r in rows} >= {(1, 60, False, 3), (2, 61, False, 3)} and len(rows) == 6
