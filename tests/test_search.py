@@ -59,3 +59,17 @@ def test_repeated_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
     found = search.containing(asked, search.TrigramIndex.over(rows, "id", F.col("name")), rows, "id", F.col("name"))
     assert found.count() == 40_000
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_the_same_in_columns_and_in_tasks(spark):
+    texts = ["abcab", "ab", "", None, "é🙂\nx", "a\x00\x00", "\x00", "🙂" * 5]
+    column = spark.createDataFrame([(t,) for t in texts], "t string").select(F.transform(search.grams(F.col("t")), search.code)).collect()
+    assert [sorted(r[0]) for r in column] == [search.gram_codes((t,)).tolist() for t in texts]
+
+
+def test_an_index_of_the_session_writes_no_postings(spark, monkeypatch):
+    """Nearly as many postings as characters: writing them took most of a lookup's time."""
+    written = []
+    monkeypatch.setattr(search, "checkpointed", lambda df: written.append(df.columns) or df)
+    index = search.TrigramIndex.over(spark.createDataFrame([(1, "one two")], "id long, t string"), "id", F.col("t"))
+    assert written == [["gram", "n"]] and index.postings.count() == 5
