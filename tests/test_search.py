@@ -73,3 +73,13 @@ def test_an_index_of_the_session_writes_no_postings(spark, monkeypatch):
     monkeypatch.setattr(search, "checkpointed", lambda df: written.append(df.columns) or df)
     index = search.TrigramIndex.over(spark.createDataFrame([(1, "one two")], "id long, t string"), "id", F.col("t"))
     assert written == [["gram", "n"]] and index.postings.count() == 5
+
+
+def test_a_frequent_second_trigram_is_not_looked_up(spark):
+    """Its postings are read for every search text that has it, so their number grows with the square of the table."""
+    rows = spark.range(50).select("id", F.concat(F.lit("common "), F.char(F.lit(65) + F.col("id").cast("int"))).alias("t"))
+    index = search.TrigramIndex.over(rows, "id", F.col("t"))
+    asked = rows.select(F.col("t").alias("needle"))
+    assert {(r["needle"], r["key"]) for r in search.containing(asked, index, rows, "id", F.col("t")).collect()} == {(r["t"], r["id"]) for r in rows.collect()}
+    read = index.postings.join(index.probes(asked), "gram").count()
+    assert read == 50 and index.candidates(asked).count() == 50
