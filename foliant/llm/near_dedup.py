@@ -22,6 +22,10 @@ nodes, are taken as one wherever that makes fewer pairs. So no candidate pair be
 goes untested, while a task holds two blocks whatever the size of the bucket. Components are joined in rounds that hang each node below its
 least neighbour and go on with the links between the trees, each round written to the shared folder.
 
+Words move as seldom as they can: a text's words are written once, as lower and upper halves of their hashes. Buckets, bands and blocks are worked
+out on narrow rows; the lower halves, which give the histograms as they are and the shared words nearly, are joined to the rows of the blocks
+last. Both halves go only where a pair is aligned.
+
 Defined results: null and empty texts equal each other and are one class; texts without words link to exact copies
 only; rows that repeat a doc_id follow their text, and texts with the same smallest doc_id share their class; a null doc_id takes
 the class of its text (null if no such row has an id); an empty table gives no rows; other columns are ignored.
@@ -212,18 +216,34 @@ def named_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(body(text).cast("binary"), 256)).alias("digest"), body(text).alias("text"))
 
 
+def halves(words: np.ndarray) -> tuple[bytes, bytes]:
+    """32-bit hashes as their packed lower and upper 16 bits."""
+    return words.astype("<u2").tobytes(), (words >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def lower_half(low: bytes) -> np.ndarray:
+    """The words by their lower 16 bits. Equal words stay equal, so what two texts share is never counted too low, and a histogram
+    takes no higher bits: of a pair it takes bits 8 to 14 of a sum of products."""
+    return np.frombuffer(low, "<u2").astype(np.uint32)
+
+
+def whole(low: bytes, high: bytes) -> np.ndarray:
+    return lower_half(low) | lower_half(high) << np.uint32(16)
+
+
 def word_rows(texts: DataFrame) -> DataFrame:
-    """(node, n_words, words, counts) of (node, text): words as packed 32-bit hashes, counts their histogram."""
+    """(node, n_words, low, high) of (node, text): words as 32-bit hashes in two packed halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 short = [word_hashes(t).astype(np.uint32) for t in part.column("text").to_pylist()]
-                columns = [pa.array([len(h) for h in short], pa.int64()), pa.array([h.tobytes() for h in short], pa.binary()), pa.array([histogram(h) for h in short], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("node"), *columns], names=["node", "n_words", "words", "counts"])
+                packed = [halves(h) for h in short]
+                columns = [pa.array([len(h) for h in short], pa.int64()), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *columns], names=["node", "n_words", "low", "high"])
 
-    return texts.mapInArrow(run, "node long, n_words long, words binary, counts binary")
+    return texts.mapInArrow(run, "node long, n_words long, low binary, high binary")
 
 
 def _near_diagonals(a: list[int], b: list[int], most: int) -> int:
@@ -319,23 +339,23 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float, sized: bool = False) -> DataFrame:
-    """The pairs (a, b) whose alignment confirms the similarity; sized ones are known to be near in length. A node in very many pairs
-    is one row of texts, so Spark's skew join may split its pairs."""
+    """The pairs (a, b) of a written table whose alignment confirms the similarity; sized ones are known to be near in length. Words of b go
+    to the tasks of a, with the words of those nodes only that are an a. A node in very many pairs is one row of texts, so Spark's skew join
+    may split its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold)
-                for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)
-            ]
+            keep = [similar(whole(*x[:2]), whole(*x[2:]), threshold) for x in zip(*(batch.column(c).to_pylist() for c in ("la", "ha", "lb", "hb")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("node").alias("a"), F.col("words").alias("wa"), F.col("n_words").alias("na"))
-    right = texts.select(F.col("node").alias("b"), F.col("words").alias("wb"), F.col("n_words").alias("nb"))
     if not sized:
+        na, nb = (small_or_not(texts.select(F.col("node").alias(c), F.col("n_words").alias(f"n{c}"))) for c in "ab")
         near = F.abs(F.col("na") - F.col("nb")) <= (1 - threshold) * F.greatest("na", "nb") + 1e-9
-        pairs = pairs.join(right.drop("wb"), "b").join(left.drop("wa"), "a").where(near).select("a", "b")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+        pairs = materialise(pairs.join(nb, "b").join(na, "a").where(near).select("a", "b"), "near")
+    first = small_or_not(materialise(pairs.select("a").distinct(), "first"))
+    left = texts.select(F.col("node").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha")).join(first, "a", "left_semi")
+    right = texts.select(F.col("node").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    return right.join(small_or_not(pairs), "b").join(left, "a").select("a", "b", "la", "ha", "lb", "hb").mapInArrow(run, "a long, b long")
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -373,17 +393,21 @@ def _pairs_of_blocks(asked: pd.DataFrame, met: pd.DataFrame, threshold: float) -
     and that lengths, histograms and the words that one side lacks leave possible."""
     found = []
     if len(asked) and len(met):
-        counts = np.frombuffer(b"".join(met["counts"]), np.uint8).reshape(len(met), -1).astype(np.int16)
+        halved = [lower_half(w) for w in met["low"]]
+        counts = np.frombuffer(b"".join(map(histogram, halved)), np.uint8).reshape(len(met), -1).astype(np.int16)
         keys, bands, nodes, labels, sizes, main = (met[c].to_numpy() for c in ("key", "band", "node", "label", "n_words", "main"))
-        bags = [numbered(np.frombuffer(w, np.uint32)) for w in met["words"]]
-        for key, band, node, label, size, own, words in asked[["key", "band", "node", "label", "n_words", "counts", "words"]].itertuples(index=False):
+        bags = [numbered(w) for w in halved]
+        for key, band, node, label, size, low in asked[["key", "band", "node", "label", "n_words", "low"]].itertuples(index=False):
             most = ((1 - threshold) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
             off = np.abs(sizes - size)
             some = np.flatnonzero((keys == key) & (bands == band) & (labels != label) & (off <= most) & (main | (nodes > node)))
-            apart = np.abs(counts[some] - np.frombuffer(own, np.uint8).astype(np.int16))
+            if not len(some):
+                continue
+            words = lower_half(low)
+            apart = np.abs(counts[some] - np.frombuffer(histogram(words), np.uint8).astype(np.int16))
             single, double = apart[:, :HISTOGRAM].sum(axis=1), apart[:, HISTOGRAM:].sum(axis=1)
             some = some[(single + off[some] <= 2 * most[some]) & (double + off[some] <= 4 * most[some])]
-            bag = numbered(np.frombuffer(words, np.uint32)) if len(some) else None
+            bag = numbered(words) if len(some) else None
             found += [(node, nodes[n]) for n in some.tolist() if max(size, sizes[n]) - len(np.intersect1d(bag, bags[n], assume_unique=True)) <= most[n]]
     return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
 
@@ -392,11 +416,13 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Nodes of the buckets that hold several components: (key, node, label, main, held), main for nodes of the
     bucket's largest component, held the number of the bucket's nodes. Buckets with the same largest component are one bucket, named by it, if
     its pairs of an outside node and any other are no more than those of the buckets one by one."""
-    held = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    held = buckets.select("key", "node").join(small_or_not(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    held = materialise(held, "held")
     each = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     mixed = materialise(mixed.select("key", "held", F.col("main.label").alias("of"), (F.col("held") - F.col("main.n")).alias("out")), "several")
-    apart = materialise(held.join(mixed, "key").select("key", "node", "label", "of", "held"), "apart")
+    apart = materialise(held.join(small_or_not(mixed.drop("out")), "key").select("key", "node", "label", "of", "held"), "apart")
+    discard(held)
     once = materialise(apart.select("of", "node", "label").distinct(), "once")
     sums = once.groupBy("of").agg(F.count(F.lit(1)).alias("held"), F.sum((F.col("label") != F.col("of")).cast("long")).alias("out"))
     by_one = mixed.groupBy("of").agg(F.sum(F.col("held") * F.col("out")).alias("most"))
@@ -411,7 +437,8 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
     outside a bucket's main component meet the nodes of their own and the two neighbouring bands, block by block, so a
     task holds two blocks whatever the size of the bucket. Small groups are taken together, about four blocks at a time."""
     band = F.floor(F.log(F.greatest("n_words", F.lit(1)) + F.lit(1e-9)) / F.log(F.lit(1 / threshold))).cast("int")
-    rows = materialise(mixed.join(texts, "node").withColumn("band", F.when(F.col("held") > BLOCK, band).otherwise(0)), "banded")
+    lengths = small_or_not(texts.select("node", "n_words"))
+    rows = materialise(mixed.join(lengths, "node").withColumn("band", F.when(F.col("held") > BLOCK, band).otherwise(0)), "banded")
     each = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("main")).cast("long")).alias("out"))
     each = each.groupBy("key").agg(F.collect_list(F.struct("band", "n", "out")).alias("bands"))  # bands grow with the log of the longest text
 
@@ -435,11 +462,12 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
         spread = some.withColumn("in", F.explode(bands)).drop("band", "bands").select("*", "in.*").drop("in")
         return spread.withColumn("small", small).withColumn("pack", F.when(small, F.pmod(F.xxhash64("key", "band"), F.lit(packs))).otherwise(F.xxhash64("key", "band")))
 
-    asked = in_bands(placed.where("NOT main"), F.col("bands"))
-    met = in_bands(placed, F.filter("bands", lambda x: x["band"] == F.col("band")))
+    asked = materialise(in_bands(placed.where("NOT main"), F.col("bands")), "asking")
+    met = materialise(in_bands(placed, F.filter("bands", lambda x: x["band"] == F.col("band"))), "meeting")
+    asked, met = (texts.select("node", "low").join(small_or_not(x), "node") for x in (asked, met))
     asked = asked.withColumn("i", F.pmod(F.xxhash64("node"), blocks("outside"))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
     met = met.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outside") - 1))).withColumn("j", F.pmod(F.xxhash64("node"), blocks("n")))
-    names = ("key", "band", "node", "label", "main", "n_words", "counts", "words")
+    names = ("key", "band", "node", "label", "main", "n_words", "low")
     places = [F.col(c).cast("long").alias(c) for c in ("pack", "i", "j")]  # rows of an int and a long that are equal go to different tasks
     asked, met = (x.select("small", *places, *[F.col(c).alias(c) for c in names]).groupBy("small", "pack", "i", "j") for x in (asked, met))
     pairs = asked.cogroup(met).applyInPandas(lambda a, b: _pairs_of_blocks(a, b, threshold), "a long, b long").distinct()
@@ -449,7 +477,7 @@ def residual_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> Data
 
 
 def fetch_words(docs: DataFrame, texts: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
-    """(node, n_words, words, counts) of some nodes, one row each; only their texts are taken to words."""
+    """(node, n_words, low, high) of some nodes, one row each; only their texts are taken to words."""
     needed = materialise(texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("digest").alias("of")), "needed")
     one = small_or_not(needed)
     rows = named_texts(docs, text)
@@ -462,25 +490,30 @@ def fetch_words(docs: DataFrame, texts: DataFrame, nodes: DataFrame, text: str =
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept, text_sha256) of every row: the smallest doc_id of its class, and whether that is the row's own."""
     rows = materialise(sketch_rows(docs, text), "sketches")
-    named = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    ids = materialise(rows.select("doc_id", "digest"), "ids")
+    named = materialise(ids.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     texts = named.where("node IS NOT NULL").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = materialise(texts, "texts")
     one = small_or_not(texts)
     named_rows = rows.join(one, (rows["doc_id"] == one["node"]) & (rows["digest"] == one["digest"])).drop(one["digest"])
     single = named_rows.select("node", "twos", "threes").where("size(twos) + size(threes) > 0").dropDuplicates(["node"])
-    rare = materialise(rare_keys(materialise(single, "short")), "rare")
+    short = materialise(single, "short")
+    rare = materialise(rare_keys(short), "rare")
+    discard(short)
     keyed = named_rows.select("node", F.explode("buckets").alias("key")).union(rare).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     buckets = materialise(keyed.join(shared, "key").select("key", "node", "a").distinct(), "buckets")
+    discard(rows)  # keys and runs are most of what is written
     pairs = materialise(buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     words = fetch_words(docs, texts, pairs.select(F.explode(F.array("a", "b")).alias("node")), text)
     edges = materialise(verify(pairs, words, threshold), "edges")
-    labels = components(edges)
+    labels = materialise(components(edges), "components")
     mixed = materialise(mixed_buckets(buckets, labels), "mixed")
+    discard(buckets)
     more = materialise(residual_links(mixed, words, threshold), "links")
     first = named.join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("class_id"))
     ends = (labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
     lifted = more.join(next(ends), "a", "left").join(next(ends), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     joined = components(lifted.distinct()).select(F.col("node").alias("class_id"), "label")  # components of components
     known = first.join(joined, "class_id", "left").select("digest", F.coalesce("label", "class_id").alias("class_id"))
-    return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return ids.join(known, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -266,3 +266,31 @@ def test_buckets_of_one_component_are_one_where_that_makes_fewer_pairs(spark, ho
     assert {(r["key"], r["node"]) for r in x.mixed_buckets(same, labels).collect()} == {(0, i) for i in range(100)}
     rows = x.mixed_buckets(apart, labels).collect()
     assert {(r["key"], r["node"], r["main"], r["held"]) for r in rows} >= {(1, 60, False, 3), (2, 61, False, 3)} and len(rows) == 6
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=40), st.lists(st.integers(0, 2**32 - 1), max_size=40))
+def test_lower_halves_of_words_give_bounds(a, b):
+    one, two = (np.array(v, np.uint32) for v in (a, b))
+    assert x.whole(*x.halves(one)).tolist() == a
+    low = [x.lower_half(x.halves(v)[0]) for v in (one, two)]
+    assert x.histogram(low[0]) == x.histogram(one)
+    assert x.least_distance(*low) <= x.least_distance(one, two)
+
+
+def test_words_are_written_once_and_sketches_go_early(spark, monkeypatch):
+    """Tables of buckets, bands and blocks hold no words, and the keys of all texts are gone before words are aligned."""
+    wide, gone, write, drop = set(), [], x.materialise, x.discard
+
+    def written(df, name, *more):
+        if {"words", "counts", "low", "high"} & set(df.columns):
+            wide.add(name)
+        if name == "words":
+            gone.append("words")
+        return write(df, name, *more)
+
+    monkeypatch.setattr(x, "materialise", written)
+    monkeypatch.setattr(x, "discard", lambda df: (gone.extend(f.split("/foliant-")[1].split("-")[0] for f in df.inputFiles()[:1] if "/foliant-" in f), drop(df)))
+    rows = made(4, 3)
+    assert got(x.near_duplicates(documents(spark, rows))) == brute(rows)
+    assert wide == {"words"} and gone.index("sketches") < gone.index("words")
