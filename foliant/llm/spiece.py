@@ -36,7 +36,7 @@ UNKNOWN_COST = 10.0
 CACHE_SEGMENTS = 200_000
 #: Segments, and table cells (segments times the longest one's bytes), that go through the trie together; one segment always may.
 CHUNK = 4096
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -248,7 +248,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 #: Texts encoded at once within an Arrow batch.
-TEXTS = 256
+TEXTS = 64
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:

@@ -48,6 +48,8 @@ FOLDS = 5
 INNER = 3
 #: Distinct windows whose gain a Python worker remembers.
 CACHE_WINDOWS = 400_000
+#: Texts scored at once within an Arrow batch.
+TEXTS = 256
 
 
 @dataclass(frozen=True)
@@ -217,11 +219,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score_texts(b.column("text").to_pylist(), model)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), b.column("text_sha256")],
-                names=["doc_id", "held_out", "score", "predicted", "text_sha256"],
-            )
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                s = score_texts(part.column("text").to_pylist(), model)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), part.column("text_sha256")],
+                    names=["doc_id", "held_out", "score", "predicted", "text_sha256"],
+                )
 
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), body(text).alias("text"), text_digest(text))
     return inputs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, text_sha256 string")

@@ -96,3 +96,12 @@ def test_rows(spark, model):
     back = x.decode(spark.createDataFrame([(1, None), (2, []), (3, [10**6, -1, None])], "doc_id long, ids array<int>"), PIECES).collect()
     assert [r["text"] for r in sorted(back)] == ["", "", ""]
     assert x.encode(documents(spark, []), PIECES).count() == 0
+
+
+def test_tables_of_paths_stay_small(monkeypatch):
+    """Many long segments go through the trie in parts of at most half a million cells."""
+    from foliant.llm import spiece
+
+    cells = []
+    monkeypatch.setattr(spiece, "_paths", lambda some, model: cells.append(len(some) * (max(map(len, some)) + 1)) or [None] * len(some))
+    assert len(spiece.viterbi([b"x" * 300] * 5000, None)) == 5000 and max(cells) <= 1 << 19
